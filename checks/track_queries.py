@@ -25,10 +25,10 @@ def interpolate_gaps(spark, sf):
 
 
 @query("e2_savgol_smooth", sql(
-    f"SELECT entity_id, class, grp, idx, row, CAST(frame AS BIGINT) AS frame, seen, {rd('xs')} AS x, {rd('ys')} AS y, {rd('zs')} AS z FROM smooth",
+    f"SELECT entity_id, class, grp, idx, row, CAST(frame AS BIGINT) AS frame, seen, {rd("xs", 8)} AS x, {rd("ys", 8)} AS y, {rd("zs", 8)} AS z FROM smooth",
     "smooth"))
 def savgol_smooth(spark, sf):
-    return rounded(se.savgol_smooth(fx.tracks(spark, sf)))
+    return rounded(se.savgol_smooth(fx.tracks(spark, sf)), digits=8)
 
 
 @query("e3_rms_speed", sql(

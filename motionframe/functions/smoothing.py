@@ -1,11 +1,14 @@
-"""Savitzky-Golay weights as column expressions."""
+"""Savitzky-Golay smoothing as SQL expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
-from pyspark.sql import Column, functions as F
 
-REACH = 6  # farthest neighbour any weight can touch, for window 7
+# Farthest neighbour that can influence a smoothed frame: the last frame takes the
+# polynomial of the last full window, which for window 7 starts 6 frames earlier.
+REACH = 6
 
 
 def hat_matrix(window: int, order: int) -> np.ndarray:
@@ -15,37 +18,39 @@ def hat_matrix(window: int, order: int) -> np.ndarray:
     return design @ np.linalg.pinv(design)
 
 
-def offset_weights(window: int, order: int, position: int) -> list[float]:
-    """Weights over offsets -REACH..REACH for one position inside the window."""
-    row = hat_matrix(window, order)[position]
-    out = [0.0] * (2 * REACH + 1)
-    for j, w in enumerate(row):
-        out[j - position + REACH] = round(float(w), 15)
-    return out
+def fit_weights(window: int, order: int, power: int) -> list[float]:
+    """Weights over the window that give one coefficient of the fitted polynomial."""
+    x = np.arange(window, dtype=float) - window // 2
+    return [float(w) for w in np.linalg.pinv(np.vander(x, order + 1, increasing=True))[power]]
+
+
+def _lengths(window: int) -> list[tuple[str, int]]:
+    """(condition on n, window) pairs: the longest odd window that fits."""
+    if window % 2 == 0 or window > REACH + 1:
+        raise ValueError(f"window must be odd and at most {REACH + 1}")
+    return [(f"n >= {w}", w) for w in range(window, 2, -2)]
+
+
+def half_window(n: str, window: int) -> str:
+    """Half the window used for a series of n frames; 0 where nothing is smoothed."""
+    cases = " ".join(f"WHEN {c} THEN {w // 2}" for c, w in _lengths(window))
+    return f"(CASE {cases} ELSE 0 END)".replace("n >=", f"{n} >=")
 
 
-def weight_array(pos: Column, n_frames: Column, window: int = 7, order: int = 2) -> Column:
-    """Literal weight array for a frame at 0-based `pos` in a series of `n_frames`.
+def by_length(window: int, order: int, power: int, value: Mapping[int, str]) -> str:
+    """One coefficient of the polynomial fitted around a frame, by series length `n`.
 
-    The window shrinks to the longest odd length that fits; the first and last
-    half window come from the polynomial fitted to the first and last full window.
+    `value` maps a frame offset to the column that holds it. Series shorter than 3
+    frames are left as they are.
     """
-    if window > REACH + 1:
-        raise ValueError(f"window may not exceed {REACH + 1}")
-    identity = [1.0 if k == REACH else 0.0 for k in range(2 * REACH + 1)]
-
-    def literal(values: list[float]) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-
-    expr = F.when(n_frames < 3, literal(identity))
-    sizes = list(range(3, window + 1, 2))
-    for w in sizes:
-        fits = (n_frames >= w) if w == window else ((n_frames >= w) & (n_frames < w + 2))
-        half = w // 2
+    cases = []
+    for cond, w in _lengths(window):
         po = min(order, w - 1)
-        for i in range(half):
-            expr = expr.when(fits & (pos == i), literal(offset_weights(w, po, i)))
-            expr = expr.when(fits & (pos == n_frames - 1 - i),
-                             literal(offset_weights(w, po, w - 1 - i)))
-        expr = expr.when(fits, literal(offset_weights(w, po, half)))
-    return expr
+        if power > po:
+            text = "0.0D"
+        else:
+            weights = fit_weights(w, po, power)
+            text = " + ".join(f"{wt!r}D * {value[i - w // 2]}" for i, wt in enumerate(weights)
+                              if abs(wt) > 1e-12)
+        cases.append(f"WHEN {cond} THEN {text}")
+    return f"(CASE {' '.join(cases)} ELSE {value[0] if power == 0 else '0.0D'} END)"

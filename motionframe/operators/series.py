@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from motionframe.functions.smoothing import REACH, weight_array
+from motionframe.functions.smoothing import REACH, by_length, half_window
 
 KEY = ["entity_id", "row"]
 ATTRS = ["class", "grp", "idx"]
@@ -41,80 +41,64 @@ def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str]
                    size: int, margin: int) -> DataFrame:
     """Boundary and carry rows of every (entity, channel, segment)."""
     attrs = _attrs(tracks)
-    seg = _segment(F.col("frame"), size)
-    pos = F.col("frame") - seg * size
+    keys = [*KEY, *attrs]
+    tracks = tracks.selectExpr(*keys, f"floor(frame / {size}) AS seg", "frame", *axes)
+    pos = f"(frame - seg * {size})"
+    # first and last observed value; "in" variants leave out the rows that the
+    # neighbouring segment gets as copies anyway
+    variants = [("first", "min", "true"), ("firstin", "min", f"{pos} >= {margin}"),
+                ("last", "max", "true"), ("lastin", "max", f"{pos} < {size - margin}")]
     aggs = [F.min("frame").alias("lo"), F.max("frame").alias("hi")]
     for a in axes:
-        seen = F.col(a).isNotNull()
-        for name, cond, pick, edge in (
-            ("first", seen, F.min_by, F.min),
-            ("firstin", seen & (pos >= margin), F.min_by, F.min),
-            ("last", seen, F.max_by, F.max),
-            ("lastin", seen & (pos < size - margin), F.max_by, F.max),
-        ):
-            at = F.when(cond, F.col("frame"))
-            aggs += [edge(at).alias(f"{name}_{a}_f"), pick(F.col(a), at).alias(f"{name}_{a}_v")]
-    parts = tracks.groupBy(*KEY, *attrs, seg.alias("seg")).agg(*aggs)
-
-    def point(name: str, a: str) -> Column:
-        return F.when(F.col(f"{name}_{a}_f").isNotNull(),
-                      F.struct(F.col(f"{name}_{a}_f").cast("long").alias("f"),
-                               F.col(f"{name}_{a}_v").cast("double").alias("v")))
-
-    parts = parts.select(
-        *KEY, *attrs, "seg", "lo", "hi",
-        *[point(n, a).alias(f"{n}_{a}") for a in axes
-          for n in ("first", "firstin", "last", "lastin")])
-    whole = W.partitionBy(*extent)
+        for name, fn, cond in variants:
+            at = f"CASE WHEN {a} IS NOT NULL AND {cond} THEN frame END"
+            aggs += [F.expr(f"{fn}({at}) AS {name}_{a}_f"), F.expr(f"{fn}_by({a}, {at}) AS {name}_{a}_v")]
+    parts = tracks.groupBy(*keys, "seg").agg(*aggs)
+
     over = _over(KEY, ["seg"])
-    parts = parts.select(
-        "*", F.min("lo").over(whole).cast("long").alias("f0"),
-        F.max("hi").over(whole).cast("long").alias("f1"))
-    parts = parts.select(
-        "*",
-        F.expr(f"lag(seg) {over}").alias("prev_seg"),
-        F.expr(f"lead(seg) {over}").alias("next_seg"),
-        *[F.expr(f"lag(last_{a}) IGNORE NULLS {over}").alias(f"past_{a}") for a in axes],
-        *[F.expr(f"lead(first_{a}) IGNORE NULLS {over}").alias(f"later_{a}") for a in axes])
-
-    def axis_point(a: str, p: Column) -> Column:
-        return F.when(p.isNotNull(), F.struct(
-            p["f"].alias("frame"),
-            *[(p["v"] if b == a else F.lit(None).cast("double")).alias(b) for b in axes]))
-
-    forward = F.array(*[axis_point(a, p) for a in axes for p in (
-        F.coalesce(F.col(f"lastin_{a}"), F.col(f"past_{a}")),
-        F.coalesce(F.col(f"last_{a}"), F.col(f"past_{a}")))])
-    backward = F.array(*[axis_point(a, p) for a in axes for p in (
-        F.coalesce(F.col(f"firstin_{a}"), F.col(f"later_{a}")),
-        F.coalesce(F.col(f"first_{a}"), F.col(f"later_{a}")))])
-    parts = parts.select(*KEY, *attrs, "seg", "f0", "f1", "prev_seg", "next_seg",
-                         forward.alias("forward"), backward.alias("backward"))
-    none = F.slice(F.col("forward"), 1, 0)
-    parts = parts.select(
+    whole = f"OVER (PARTITION BY {', '.join(extent)})"
+    parts = parts.selectExpr(
+        *keys, "seg", f"min(lo) {whole} AS f0", f"max(hi) {whole} AS f1",
+        *[f"CASE WHEN {n}_{a}_f IS NOT NULL THEN named_struct('f', {n}_{a}_f, 'v', {n}_{a}_v) END AS {n}_{a}"
+          for a in axes for n, _, _ in variants])
+    parts = parts.selectExpr(
+        "*", f"lag(seg) {over} AS prev_seg", f"lead(seg) {over} AS next_seg",
+        *[f"lag(last_{a}) IGNORE NULLS {over} AS past_{a}" for a in axes],
+        *[f"lead(first_{a}) IGNORE NULLS {over} AS later_{a}" for a in axes])
+
+    def points(names: Sequence[tuple[str, str]]) -> str:
+        out = []
+        for a in axes:
+            values = ", ".join(f"'{b}', {'p.v' if a == b else 'CAST(NULL AS DOUBLE)'}" for b in axes)
+            items = ", ".join(f"coalesce({n}_{a}, {e}_{a})" for n, e in names)
+            out.append(f"transform(filter(array({items}), p -> p IS NOT NULL), "
+                       f"p -> named_struct('frame', p.f, {values}))")
+        return f"concat({', '.join(out)})"
+
+    parts = parts.selectExpr(
+        *keys, "seg", "f0", "f1", "prev_seg", "next_seg",
+        points([("lastin", "past"), ("last", "past")]) + " AS forward",
+        points([("firstin", "later"), ("first", "later")]) + " AS backward")
+    # segments without any row of the channel are filled in between its neighbours
+    parts = parts.selectExpr(
         "*",
-        F.coalesce(F.expr(f"lag(forward) {over}"), none).alias("from_past"),
-        F.coalesce(F.expr(f"lead(backward) {over}"), none).alias("from_later"))
-    start = F.when(F.col("prev_seg").isNull(), _segment(F.col("f0"), size)).otherwise(F.col("seg"))
-    stop = F.when(F.col("next_seg").isNull(), _segment(F.col("f1"), size)).otherwise(
-        F.col("next_seg") - 1)
-    parts = parts.select("*", F.explode(F.sequence(start, stop)).alias("at"))
-    carried = (F.when(F.col("at") < F.col("seg"), F.col("backward"))
-               .when(F.col("at") == F.col("seg"), F.concat("from_past", "from_later"))
-               .otherwise(F.concat("forward", "from_later")))
-    parts = parts.select(
-        *KEY, *attrs, F.col("at").alias("seg"), "f0", "f1",
-        F.greatest(F.col("f0"), F.col("at") * size - margin).alias("lo"),
-        F.least(F.col("f1"), F.col("at") * size + (size - 1 + margin)).alias("hi"),
-        F.array_compact(carried).alias("carried"))
-    edge = F.struct(F.col("lo").alias("frame"),
-                    *[F.lit(None).cast("double").alias(a) for a in axes])
+        f"coalesce(lag(forward) {over}, slice(forward, 1, 0)) AS from_past",
+        f"coalesce(lead(backward) {over}, slice(forward, 1, 0)) AS from_later",
+        f"""explode(sequence(
+              CASE WHEN prev_seg IS NULL THEN floor(f0 / {size}) ELSE seg END,
+              CASE WHEN next_seg IS NULL THEN floor(f1 / {size}) ELSE next_seg - 1 END)) AS at""")
+    parts = parts.selectExpr(
+        *keys, "at AS seg", "f0", "f1",
+        f"greatest(f0, at * {size} - {margin}) AS lo",
+        f"least(f1, at * {size} + {size - 1 + margin}) AS hi",
+        """CASE WHEN at < seg THEN backward WHEN at = seg THEN concat(from_past, from_later)
+           ELSE concat(forward, from_later) END AS carried""")
+    edge = ", ".join(f"'{a}', CAST(NULL AS DOUBLE)" for a in axes)
     return (parts
-            .select(*KEY, *attrs, "seg", "lo", "hi", "f0", "f1",
-                    F.explode(F.concat(F.array(edge), F.col("carried"))).alias("p"))
-            .select(*KEY, *attrs, "seg", F.col("p.frame").alias("frame"),
-                    *[F.col(f"p.{a}").alias(a) for a in axes],
-                    "lo", "hi", "f0", "f1", F.lit(0).alias("real")))
+            .selectExpr(*keys, "seg", "lo", "hi", "f0", "f1",
+                        f"explode(concat(array(named_struct('frame', lo, {edge})), carried)) AS p")
+            .selectExpr(*keys, "seg", "p.frame AS frame", *[f"p.{a} AS {a}" for a in axes],
+                        "lo", "hi", "f0", "f1", "0 AS real"))
 
 
 def dense_series(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
@@ -131,18 +115,17 @@ def dense_series(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
     if size < 2 * margin:
         raise ValueError("segment_frames must be at least twice the margin")
     attrs = _attrs(tracks)
-    frame = F.col("frame").cast("long")
-    tracks = tracks.select(*KEY, *attrs, frame.alias("frame"),
-                           *[F.col(a).cast("double").alias(a) for a in axes])
-    seg = _segment(F.col("frame"), size)
-    pos = F.col("frame") - seg * size
-    here = F.array_compact(F.array(seg, F.when(pos < margin, seg - 1),
-                                   F.when(pos >= size - margin, seg + 1)))
-    null_long = F.lit(None).cast("long")
-    data = tracks.select(
-        *KEY, *attrs, F.explode(here).alias("seg"), "frame", *axes,
-        null_long.alias("lo"), null_long.alias("hi"), null_long.alias("f0"), null_long.alias("f1"),
-        F.lit(1).alias("real"))
+    keys = [*KEY, *attrs]
+    tracks = tracks.selectExpr(*keys, "CAST(frame AS BIGINT) AS frame",
+                               *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes])
+    pos = f"(frame - floor(frame / {size}) * {size})"
+    data = tracks.selectExpr(
+        *keys,
+        f"""explode(array_compact(array(floor(frame / {size}),
+              CASE WHEN {pos} < {margin} THEN floor(frame / {size}) - 1 END,
+              CASE WHEN {pos} >= {size - margin} THEN floor(frame / {size}) + 1 END))) AS seg""",
+        "frame", *axes, *[f"CAST(NULL AS BIGINT) AS {c}" for c in ("lo", "hi", "f0", "f1")],
+        "1 AS real")
     rows = data.unionByName(_boundary_rows(tracks, axes, extent, size, margin))
 
     part = [*KEY, "seg"]
@@ -150,37 +133,32 @@ def dense_series(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
     # steps below reuse this partitioning
     rows = rows.repartition(*part)
     over = _over(part, ["frame", "real"])
-    all_rows = W.partitionBy(*part).orderBy("frame", "real").rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.select("*", *[
-        F.when(F.col(a).isNotNull(), F.struct(F.col("frame").alias("f"), F.col(a).alias("v")))
-        .alias(f"own_{a}") for a in axes])
-    rows = rows.select(
+    whole = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    rows = rows.selectExpr("*", *[
+        f"CASE WHEN {a} IS NOT NULL THEN named_struct('f', frame, 'v', {a}) END AS own_{a}" for a in axes])
+    rows = rows.selectExpr(
         *part, *attrs, "frame", "real", *axes,
-        *[F.max(c).over(all_rows).alias(c) for c in ("lo", "hi", "f0", "f1")],
-        F.expr(f"lead(frame) {over}").alias("next_frame"),
-        *[F.expr(f"coalesce(own_{a}, lag(own_{a}) IGNORE NULLS {over})").alias(f"before_{a}")
-          for a in axes],
-        *[F.expr(f"lead(own_{a}) IGNORE NULLS {over}").alias(f"after_{a}") for a in axes])
-    # a copy row of a segment that the entity never reaches has no boundary row: lo is NULL
-    first = F.greatest(F.col("frame"), F.col("lo"))
-    last = F.least(F.coalesce(F.col("next_frame"), F.col("hi") + 1) - 1, F.col("hi"))
-    rows = rows.where(F.col("lo").isNotNull() & (first <= last))
-    rows = rows.select("*", F.explode(F.sequence(first, last)).alias("t"))
-    t = F.col("t")
-    real = (t == F.col("frame")) & (F.col("real") == 1)
-
-    def filled(a: str) -> Column:
-        b, n = F.col(f"before_{a}"), F.col(f"after_{a}")
-        return (F.when(b["f"] == t, b["v"]).when(b.isNull(), n["v"]).when(n.isNull(), b["v"])
-                .otherwise(b["v"] + (n["v"] - b["v"]) * (t - b["f"]) / (n["f"] - b["f"])))
-
-    return rows.select(
-        *part, *attrs, t.alias("frame"), "f0", "f1",
-        *[F.when(real, F.col(a)).alias(a) for a in axes],
-        *[filled(a).alias(f"{a}_fill") for a in axes],
-        F.coalesce(real & F.col(axes[0]).isNotNull(), F.lit(False)).alias("seen"),
-        t.between(F.col("seg") * size, F.col("seg") * size + (size - 1)).alias("core"))
+        *[f"max({c}) {whole} AS {c}" for c in ("lo", "hi", "f0", "f1")],
+        f"lead(frame) {over} AS next_frame",
+        *[f"coalesce(own_{a}, lag(own_{a}) IGNORE NULLS {over}) AS before_{a}" for a in axes],
+        *[f"lead(own_{a}) IGNORE NULLS {over} AS after_{a}" for a in axes])
+    # copies in a segment the entity never reaches have no boundary row: lo is NULL
+    first, last = "greatest(frame, lo)", "least(coalesce(next_frame, hi + 1) - 1, hi)"
+    rows = rows.where(f"lo IS NOT NULL AND {first} <= {last}")
+    rows = rows.selectExpr("*", f"explode(sequence({first}, {last})) AS t")
+
+    def filled(a: str) -> str:
+        return f"""CASE WHEN before_{a}.f = t THEN before_{a}.v WHEN before_{a} IS NULL THEN after_{a}.v
+            WHEN after_{a} IS NULL THEN before_{a}.v
+            ELSE before_{a}.v + (after_{a}.v - before_{a}.v) * (t - before_{a}.f) / (after_{a}.f - before_{a}.f)
+            END AS {a}_fill"""
+
+    real = "t = frame AND real = 1"
+    return rows.selectExpr(
+        *part, *attrs, "t AS frame", "f0", "f1",
+        *[f"CASE WHEN {real} THEN {a} END AS {a}" for a in axes], *[filled(a) for a in axes],
+        f"coalesce({real} AND {axes[0]} IS NOT NULL, false) AS seen",
+        f"t BETWEEN seg * {size} AND seg * {size} + {size - 1} AS core")
 
 
 def frame_grid(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
@@ -200,24 +178,45 @@ def interpolate_gaps(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *
 
 
 def _smoothed(series: DataFrame, axes: Sequence[str], window: int, order: int) -> DataFrame:
-    """Adds `<axis>_smooth`; one window step over the partitioning already there."""
+    """Adds `<axis>_smooth`; window steps over the partitioning already there.
+
+    Each frame gets the coefficients of the polynomial fitted around it. Interior
+    frames take its centre value; the first and last half window evaluate the
+    polynomial of the first and last full window.
+    """
     part = [*KEY, "seg"]
     over = _over(part, ["frame"])
-    n = F.col("f1") - F.col("f0") + 1
-    series = series.select("*", *[
-        F.expr(f"{'lag' if k < 0 else 'lead'}({a}_fill, {abs(k)}) {over}").alias(f"{a}_at{k + REACH}")
-        for a in axes for k in range(-REACH, REACH + 1) if k != 0])
-    series = series.withColumn("w", weight_array(F.col("frame") - F.col("f0"), n, window, order))
-
-    def smooth(a: str) -> Column:
-        total = F.col("w")[REACH] * F.col(f"{a}_fill")
-        for k in range(2 * REACH + 1):
-            if k != REACH:
-                total = total + F.col("w")[k] * F.coalesce(F.col(f"{a}_at{k}"), F.lit(0.0))
-        return total
-
-    drop = [f"{a}_at{k}" for a in axes for k in range(2 * REACH + 1) if k != REACH]
-    return series.select("*", *[smooth(a).alias(f"{a}_smooth") for a in axes]).drop("w", *drop)
+    whole = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    reach = window // 2
+    cols = series.columns
+    series = series.selectExpr("*", "f1 - f0 + 1 AS n", "frame - f0 AS pos", *[
+        f"{'lag' if k < 0 else 'lead'}({a}_fill, {abs(k)}) {over} AS {a}_at{k + reach}"
+        for a in axes for k in range(-reach, reach + 1) if k != 0])
+
+    def coefficients(a: str, power: int) -> str:
+        value = {k: f"{a}_fill" if k == 0 else f"{a}_at{k + reach}" for k in range(-reach, reach + 1)}
+        return by_length(window, order, power, value)
+
+    names = [f"{a}{p}" for a in axes for p in range(order + 1)]
+    series = series.selectExpr(*cols, "n", "pos", *[
+        f"{coefficients(a, p)} AS {a}{p}" for a in axes for p in range(order + 1)])
+    half = half_window("n", window)
+    packed = "named_struct(" + ", ".join(f"'{c}', {c}" for c in names) + ")"
+    series = series.selectExpr(
+        *cols, "n", "pos", *[f"{a}0" for a in axes], f"{half} AS half",
+        f"first_value(CASE WHEN pos = {half} THEN {packed} END) IGNORE NULLS {whole} AS head",
+        f"first_value(CASE WHEN n - 1 - pos = {half} THEN {packed} END) IGNORE NULLS {whole} AS tail")
+
+    def polynomial(a: str, side: str, at: str) -> str:
+        text = f"{side}.{a}{order}"
+        for p in range(order - 1, -1, -1):
+            text = f"({text} * {at} + {side}.{a}{p})"
+        return text
+
+    return series.selectExpr(*cols, *[
+        f"""CASE WHEN pos < half THEN {polynomial(a, 'head', '(pos - half)')}
+                 WHEN n - 1 - pos < half THEN {polynomial(a, 'tail', '(half - (n - 1 - pos))')}
+                 ELSE {a}0 END AS {a}_smooth""" for a in axes])
 
 
 def savgol_smooth(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
@@ -234,11 +233,9 @@ def savgol_smooth(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
 def _with_steps(series: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Adds the smoothed step along each axis and whether both ends were observed."""
     over = _over([*KEY, "seg"], ["frame"])
-    series = series.select(
-        "*",
-        *[F.expr(f"{a}_smooth - lag({a}_smooth) {over}").alias(f"{a}_step") for a in axes],
-        F.expr(f"seen AND coalesce(lag(seen) {over}, false)").alias("valid"))
-    return series.where("core")
+    return series.selectExpr(
+        "*", *[f"{a}_smooth - lag({a}_smooth) {over} AS {a}_step" for a in axes],
+        f"seen AND coalesce(lag(seen) {over}, false) AS valid").where("core")
 
 
 def speed_series(tracks: DataFrame, axes: Sequence[str], *, window: int = 7, order: int = 2,
