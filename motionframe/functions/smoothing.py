@@ -1,9 +1,7 @@
-"""Savitzky-Golay smoothing as SQL expressions."""
+"""Savitzky-Golay weights."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 import numpy as np
 
 # Farthest neighbour that can influence a smoothed frame: the last frame takes the
@@ -16,41 +14,3 @@ def hat_matrix(window: int, order: int) -> np.ndarray:
     x = np.arange(window, dtype=float) - window // 2
     design = np.vander(x, order + 1, increasing=True)
     return design @ np.linalg.pinv(design)
-
-
-def fit_weights(window: int, order: int, power: int) -> list[float]:
-    """Weights over the window that give one coefficient of the fitted polynomial."""
-    x = np.arange(window, dtype=float) - window // 2
-    return [float(w) for w in np.linalg.pinv(np.vander(x, order + 1, increasing=True))[power]]
-
-
-def _lengths(window: int) -> list[tuple[str, int]]:
-    """(condition on n, window) pairs: the longest odd window that fits."""
-    if window % 2 == 0 or window > REACH + 1:
-        raise ValueError(f"window must be odd and at most {REACH + 1}")
-    return [(f"n >= {w}", w) for w in range(window, 2, -2)]
-
-
-def half_window(n: str, window: int) -> str:
-    """Half the window used for a series of n frames; 0 where nothing is smoothed."""
-    cases = " ".join(f"WHEN {c} THEN {w // 2}" for c, w in _lengths(window))
-    return f"(CASE {cases} ELSE 0 END)".replace("n >=", f"{n} >=")
-
-
-def by_length(window: int, order: int, power: int, value: Mapping[int, str]) -> str:
-    """One coefficient of the polynomial fitted around a frame, by series length `n`.
-
-    `value` maps a frame offset to the column that holds it. Series shorter than 3
-    frames are left as they are.
-    """
-    cases = []
-    for cond, w in _lengths(window):
-        po = min(order, w - 1)
-        if power > po:
-            text = "0.0D"
-        else:
-            weights = fit_weights(w, po, power)
-            text = " + ".join(f"{wt!r}D * {value[i - w // 2]}" for i, wt in enumerate(weights)
-                              if abs(wt) > 1e-12)
-        cases.append(f"WHEN {cond} THEN {text}")
-    return f"(CASE {' '.join(cases)} ELSE {value[0] if power == 0 else '0.0D'} END)"

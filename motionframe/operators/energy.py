@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from motionframe.operators.series import SEGMENT_FRAMES, rms_of, speed_series
+from motionframe.operators.series import SEGMENT_FRAMES, rms_of, track_sums
 
 
 def _stats(value: str) -> list:
@@ -34,8 +34,8 @@ def scope_summary(energy: DataFrame) -> DataFrame:
 
 def axis_energy_share(tracks: DataFrame, *, segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
     """Mean speed per group over xyz and over xy, and the share of energy along z."""
-    steps = speed_series(tracks, ("x", "y", "z"), segment_frames=segment_frames)
-    per = steps.groupBy("entity_id", "grp", "row").agg(
+    parts = track_sums(tracks, ("x", "y", "z"), segment_frames=segment_frames)
+    per = parts.groupBy("entity_id", "grp", "row").agg(
         rms_of(("x", "y", "z")).alias("rms_xyz"), rms_of(("x", "y")).alias("rms_xy"))
     out = per.groupBy("grp").agg(
         F.avg("rms_xyz").alias("rms_xyz"), F.avg("rms_xy").alias("rms_xy"),

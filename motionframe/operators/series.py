@@ -9,7 +9,10 @@ segment needs from outside travels as extra rows:
 * carry rows hold the nearest observed values before and after that range, taken
   from a per-segment summary that is one row per (entity, channel, segment).
 
-Everything after that is one exchange on (entity, channel, segment).
+Everything after that is one exchange and one sort on (entity, channel, segment).
+Spark moves and sorts the rows; gap filling and smoothing then run on Arrow blocks
+of whole segments, because window functions with one frame per neighbour cost about
+fifty times as much per row.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from motionframe.functions.smoothing import REACH, by_length, half_window
+from motionframe.functions import track_kernel
+from motionframe.functions.smoothing import REACH
 
 KEY = ["entity_id", "row"]
 ATTRS = ["class", "grp", "idx"]
@@ -101,21 +105,12 @@ def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str]
                         "lo", "hi", "f0", "f1", "0 AS real"))
 
 
-def dense_series(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
-                 extent: Sequence[str] = ("entity_id",), margin: int = REACH,
-                 segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """Every channel on the contiguous frame range of its entity, gaps filled.
-
-    Adds per axis the raw value (NULL where not observed) and `<axis>_fill`
-    (linear between observed frames, nearest value beyond the ends, NULL if never
-    observed), `seen` (first axis observed), `f0`, `f1` (frame range), and `core`
-    (false on the margin copies a segment carries for its neighbours).
-    """
-    size = segment_frames
+def _segment_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str], margin: int,
+                  size: int) -> DataFrame:
+    """Track rows plus boundary and carry rows, partitioned and sorted by segment."""
     if size < 2 * margin:
         raise ValueError("segment_frames must be at least twice the margin")
-    attrs = _attrs(tracks)
-    keys = [*KEY, *attrs]
+    keys = [*KEY, *_attrs(tracks)]
     tracks = tracks.selectExpr(*keys, "CAST(frame AS BIGINT) AS frame",
                                *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes])
     pos = f"(frame - floor(frame / {size}) * {size})"
@@ -127,144 +122,78 @@ def dense_series(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
         "frame", *axes, *[f"CAST(NULL AS BIGINT) AS {c}" for c in ("lo", "hi", "f0", "f1")],
         "1 AS real")
     rows = data.unionByName(_boundary_rows(tracks, axes, extent, size, margin))
-
     part = [*KEY, "seg"]
-    # explicit exchange: a skewed join upstream may then be split, and the window
-    # steps below reuse this partitioning
-    rows = rows.repartition(*part)
-    over = _over(part, ["frame", "real"])
-    whole = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    rows = rows.selectExpr("*", *[
-        f"CASE WHEN {a} IS NOT NULL THEN named_struct('f', frame, 'v', {a}) END AS own_{a}" for a in axes])
-    rows = rows.selectExpr(
-        *part, *attrs, "frame", "real", *axes,
-        *[f"max({c}) {whole} AS {c}" for c in ("lo", "hi", "f0", "f1")],
-        f"lead(frame) {over} AS next_frame",
-        *[f"coalesce(own_{a}, lag(own_{a}) IGNORE NULLS {over}) AS before_{a}" for a in axes],
-        *[f"lead(own_{a}) IGNORE NULLS {over} AS after_{a}" for a in axes])
-    # copies in a segment the entity never reaches have no boundary row: lo is NULL
-    first, last = "greatest(frame, lo)", "least(coalesce(next_frame, hi + 1) - 1, hi)"
-    rows = rows.where(f"lo IS NOT NULL AND {first} <= {last}")
-    rows = rows.selectExpr("*", f"explode(sequence({first}, {last})) AS t")
-
-    def filled(a: str) -> str:
-        return f"""CASE WHEN before_{a}.f = t THEN before_{a}.v WHEN before_{a} IS NULL THEN after_{a}.v
-            WHEN after_{a} IS NULL THEN before_{a}.v
-            ELSE before_{a}.v + (after_{a}.v - before_{a}.v) * (t - before_{a}.f) / (after_{a}.f - before_{a}.f)
-            END AS {a}_fill"""
-
-    real = "t = frame AND real = 1"
-    return rows.selectExpr(
-        *part, *attrs, "t AS frame", "f0", "f1",
-        *[f"CASE WHEN {real} THEN {a} END AS {a}" for a in axes], *[filled(a) for a in axes],
-        f"coalesce({real} AND {axes[0]} IS NOT NULL, false) AS seen",
-        f"t BETWEEN seg * {size} AND seg * {size} + {size - 1} AS core")
+    return rows.repartition(*part).sortWithinPartitions(*part, "frame", "real")
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> list[str]:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"`{n}` {types[n]}" for n in names]
+
+
+def _frames(tracks: DataFrame, axes: Sequence[str], size: int, smooth: bool,
+            window: int = 7, order: int = 2) -> DataFrame:
+    rows = _segment_rows(tracks, axes, ("entity_id",), REACH if smooth else 0, size)
+    carry = [*KEY, *_attrs(tracks)]
+    schema = _fields(rows, carry) + ["frame bigint", "f0 bigint", "f1 bigint"]
+    schema += [f"{a} double" for a in axes] + [f"{a}_out double" for a in axes] + ["seen boolean"]
+    return rows.mapInArrow(
+        track_kernel.frames([*KEY, "seg"], carry, list(axes), size, window, order, smooth),
+        ", ".join(schema))
 
 
 def frame_grid(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
                segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
     """Each channel on every frame of its entity's range; missing frames are NULL rows."""
-    grid = dense_series(tracks, axes, segment_frames=segment_frames, margin=0)
-    return grid.where("core").select("entity_id", *_attrs(tracks), "row", "frame", *axes)
+    grid = _frames(tracks, axes, segment_frames, smooth=False)
+    return grid.select("entity_id", *_attrs(tracks), "row", "frame", *axes)
 
 
 def interpolate_gaps(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
                      segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """The frame grid with gaps filled in place."""
-    grid = dense_series(tracks, axes, segment_frames=segment_frames, margin=0)
-    return grid.where("core").select(
-        "entity_id", *_attrs(tracks), "row", "frame",
-        *[F.col(f"{a}_fill").alias(a) for a in axes], "seen")
-
+    """The frame grid with gaps filled: linear between observed frames, nearest value beyond.
 
-def _smoothed(series: DataFrame, axes: Sequence[str], window: int, order: int) -> DataFrame:
-    """Adds `<axis>_smooth`; window steps over the partitioning already there.
-
-    Each frame gets the coefficients of the polynomial fitted around it. Interior
-    frames take its centre value; the first and last half window evaluate the
-    polynomial of the first and last full window.
+    A channel that was never observed stays NULL; `seen` marks observed frames.
     """
-    part = [*KEY, "seg"]
-    over = _over(part, ["frame"])
-    whole = over[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    reach = window // 2
-    cols = series.columns
-    series = series.selectExpr("*", "f1 - f0 + 1 AS n", "frame - f0 AS pos", *[
-        f"{'lag' if k < 0 else 'lead'}({a}_fill, {abs(k)}) {over} AS {a}_at{k + reach}"
-        for a in axes for k in range(-reach, reach + 1) if k != 0])
-
-    def coefficients(a: str, power: int) -> str:
-        value = {k: f"{a}_fill" if k == 0 else f"{a}_at{k + reach}" for k in range(-reach, reach + 1)}
-        return by_length(window, order, power, value)
-
-    names = [f"{a}{p}" for a in axes for p in range(order + 1)]
-    series = series.selectExpr(*cols, "n", "pos", *[
-        f"{coefficients(a, p)} AS {a}{p}" for a in axes for p in range(order + 1)])
-    half = half_window("n", window)
-    packed = "named_struct(" + ", ".join(f"'{c}', {c}" for c in names) + ")"
-    series = series.selectExpr(
-        *cols, "n", "pos", *[f"{a}0" for a in axes], f"{half} AS half",
-        f"first_value(CASE WHEN pos = {half} THEN {packed} END) IGNORE NULLS {whole} AS head",
-        f"first_value(CASE WHEN n - 1 - pos = {half} THEN {packed} END) IGNORE NULLS {whole} AS tail")
-
-    def polynomial(a: str, side: str, at: str) -> str:
-        text = f"{side}.{a}{order}"
-        for p in range(order - 1, -1, -1):
-            text = f"({text} * {at} + {side}.{a}{p})"
-        return text
-
-    return series.selectExpr(*cols, *[
-        f"""CASE WHEN pos < half THEN {polynomial(a, 'head', '(pos - half)')}
-                 WHEN n - 1 - pos < half THEN {polynomial(a, 'tail', '(half - (n - 1 - pos))')}
-                 ELSE {a}0 END AS {a}_smooth""" for a in axes])
+    grid = _frames(tracks, axes, segment_frames, smooth=False)
+    return grid.select("entity_id", *_attrs(tracks), "row", "frame",
+                       *[F.col(f"{a}_out").alias(a) for a in axes], "seen")
 
 
 def savgol_smooth(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
                   window: int = 7, order: int = 2,
                   segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
     """Gap-filled and smoothed coordinates on the frame grid."""
-    series = _smoothed(dense_series(tracks, axes, segment_frames=segment_frames),
-                       axes, window, order)
-    return series.where("core").select(
-        "entity_id", *_attrs(tracks), "row", "frame",
-        *[F.col(f"{a}_smooth").alias(a) for a in axes], "seen")
-
-
-def _with_steps(series: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Adds the smoothed step along each axis and whether both ends were observed."""
-    over = _over([*KEY, "seg"], ["frame"])
-    return series.selectExpr(
-        "*", *[f"{a}_smooth - lag({a}_smooth) {over} AS {a}_step" for a in axes],
-        f"seen AND coalesce(lag(seen) {over}, false) AS valid").where("core")
+    grid = _frames(tracks, axes, segment_frames, smooth=True, window=window, order=order)
+    return grid.select("entity_id", *_attrs(tracks), "row", "frame",
+                       *[F.col(f"{a}_out").alias(a) for a in axes], "seen")
 
 
-def speed_series(tracks: DataFrame, axes: Sequence[str], *, window: int = 7, order: int = 2,
-                 extent: Sequence[str] = ("entity_id",),
-                 segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """Grid rows with smoothed steps; the shared input of every speed measure."""
-    series = dense_series(tracks, axes, extent=extent, segment_frames=segment_frames)
-    return _with_steps(_smoothed(series, axes, window, order), axes)
-
-
-def squared_step(axes: Sequence[str]) -> Column:
-    total = F.lit(0.0)
-    for a in axes:
-        total = total + F.col(f"{a}_step") * F.col(f"{a}_step")
-    return total
+def track_sums(tracks: DataFrame, axes: Sequence[str], *, window: int = 7, order: int = 2,
+               extent: Sequence[str] = ("entity_id",),
+               segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
+    """Partial sums per (entity, channel, segment); the shared input of every speed measure."""
+    rows = _segment_rows(tracks, axes, extent, REACH, segment_frames)
+    carry = [*KEY, *_attrs(tracks)]
+    schema = _fields(rows, carry) + [f"{n} {t}" for n, t in track_kernel.sum_fields(axes)]
+    return rows.mapInArrow(
+        track_kernel.sums([*KEY, "seg"], carry, list(axes), segment_frames, window, order),
+        ", ".join(schema))
 
 
-def rms_of(axes: Sequence[str]) -> Column:
-    """Aggregate: root mean squared step over valid transitions, NULL if there is none."""
-    return F.sqrt(F.avg(F.when(F.col("valid"), squared_step(axes))))
+def rms_of(axes: Sequence[str], kind: str = "valid") -> Column:
+    """Aggregate over partial sums: root mean squared step, NULL without any transition."""
+    total = F.sum(F.expr(" + ".join(f"{a}_{kind}" for a in axes)))
+    count = F.sum(f"n_{kind}")
+    return F.when(count > 0, F.sqrt(total / count))
 
 
 def rms_speed(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *, window: int = 7,
               order: int = 2, segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
     """RMS speed per (entity, channel); a step counts only if both ends were observed."""
-    steps = speed_series(tracks, axes, window=window, order=order, segment_frames=segment_frames)
-    return steps.groupBy("entity_id", *_attrs(tracks), "row").agg(
-        rms_of(axes).alias("rms_speed"),
-        F.count_if(F.col("valid")).alias("n_valid_transitions"))
+    parts = track_sums(tracks, axes, window=window, order=order, segment_frames=segment_frames)
+    return parts.groupBy("entity_id", *_attrs(tracks), "row").agg(
+        rms_of(axes).alias("rms_speed"), F.sum("n_valid").alias("n_valid_transitions"))
 
 
 def _positions(tracks: DataFrame, size: int) -> DataFrame:
@@ -287,14 +216,12 @@ def rms_speed_plain(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
     NULL when the channel has fewer rows than the window or an axis was never observed.
     """
     rows = _positions(tracks, segment_frames)
-    steps = speed_series(rows, axes, window=window, order=order, extent=KEY,
-                         segment_frames=segment_frames)
-    length = F.max(F.col("f1") - F.col("f0") + 1)
-    known = F.bool_and(F.lit(True))
-    for a in axes:
-        known = known & F.bool_and(F.col(f"{a}_fill").isNotNull())
-    return steps.groupBy("entity_id", *_attrs(tracks), "row").agg(
-        F.when((length >= window) & known, F.sqrt(F.avg(squared_step(axes)))).alias("motion_energy"))
+    parts = track_sums(rows, axes, window=window, order=order, extent=KEY,
+                       segment_frames=segment_frames)
+    unknown = F.sum(F.expr(" + ".join(f"{a}_unknown" for a in axes)))
+    return parts.groupBy("entity_id", *_attrs(tracks), "row").agg(
+        F.when((F.sum("n_frames") >= window) & (unknown == 0), rms_of(axes, "linked"))
+        .alias("motion_energy"))
 
 
 def pivot_frames(tracks: DataFrame, rows: Sequence[int], axes: Sequence[str] = ("x",)) -> DataFrame:
