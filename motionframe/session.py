@@ -46,3 +46,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for written intermediate tables."""
     return os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df):
+    """Write a result that several later steps read, and go on from the files."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
