@@ -213,3 +213,9 @@ def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 200_000) -> Dat
     near_m = m.groupBy(*feature).agg(F.avg(digamma("m")).alias("psi_m"))
     mi = digamma("total") + F.col("psi_k") - F.col("psi_size") - F.col("psi_m")
     return own.join(near_m, feature).select(*feature, F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
+def with_worst_classes(best: DataFrame, worst: DataFrame) -> DataFrame:
+    """The winning row next to each of its n worst classes (both sides are small by limit)."""
+    one = F.lit(1).alias("one")
+    return best.select("*", one).join(worst.select("*", one), "one").drop("one")

@@ -17,7 +17,8 @@ SAMPLE_PER_SPLIT = 20     # sampled keys per bucket boundary
 
 
 def _splits(value: str) -> Column:
-    return F.percentile_approx(value, [i / FINE_BUCKETS for i in range(1, FINE_BUCKETS)], 10_000)
+    probs = ", ".join(f"{i / FINE_BUCKETS}D" for i in range(1, FINE_BUCKETS))
+    return F.expr(f"percentile_approx(`{value}`, array({probs}), 10000)")
 
 
 def _bucket(value: str, splits: Column) -> Column:
