@@ -224,7 +224,8 @@ def confusion_counts(spark, sf):
     return ev.confusion_counts(fx.preds(spark, sf), ["run_id"])
 
 
-MC = """mc0 AS (SELECT run_id, label, pred, count(*) / sum(count(*)) OVER (PARTITION BY run_id, label)::DOUBLE AS rate FROM preds GROUP BY ALL),
+MC = """mcc AS (SELECT run_id, label, pred, count(*) AS n FROM preds GROUP BY ALL),
+mc0 AS (SELECT run_id, label, pred, n / sum(n) OVER (PARTITION BY run_id, label) AS rate FROM mcc),
 mc AS (SELECT label, pred, sum(rate) / (SELECT count(DISTINCT run_id) FROM preds) AS mean_rate FROM mc0 GROUP BY ALL)"""
 
 
