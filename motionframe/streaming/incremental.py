@@ -43,11 +43,13 @@ def incremental_descriptors(tracks: DataFrame, out: str, checkpoint: str) -> Str
 CAUSAL_STATE = "last_frame long, last_x double, last_y double, n long, mean double, m2 double"
 
 
-def causal_features(tracks: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
+def causal_features(tracks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Velocity and running deviation per frame as frames arrive, from past frames only.
 
     Keeps one small state per (entity, channel): the last frame with its position, and
-    count, mean and centred squares of x. Idle channels are dropped after the timeout.
+    count, mean and centred squares of x. With `timeout_ms`, idle channels are dropped
+    after that time; use it for queries that keep running, since a timeout makes Spark
+    plan batches without data and an available-now run would not end.
     """
     types = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
     out = (f"entity_id {types['entity_id']}, row {types['row']}, frame long, dx double, dy double, "
@@ -87,12 +89,14 @@ def causal_features(tracks: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame
         new_mean = centre + sum_all[-1] / max(n_new, 1)
         state.update((int(frame[-1]), None if np.isnan(x[-1]) else float(x[-1]),
                       None if np.isnan(y[-1]) else float(y[-1]), n_new, float(new_mean), float(var[-1] * n_new)))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"entity_id": key[0], "row": key[1], "frame": frame,
                             "dx": result["dx"], "dy": result["dy"], "running_std": std})
 
     return (tracks.select("entity_id", "row", "frame", "x", "y").groupBy("entity_id", "row")
-            .applyInPandasWithState(step, out, CAUSAL_STATE, "append", "ProcessingTimeTimeout"))
+            .applyInPandasWithState(step, out, CAUSAL_STATE, "append",
+                                    "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"))
 
 
 def live_presence(frames: DataFrame, keys: Sequence[str], *, ts: str = "ts", present: str = "present",
