@@ -168,7 +168,7 @@ def external_validation(recall: DataFrame, accuracy: DataFrame, on: str = "class
     return spearman(recall.join(accuracy, on), "recall", "accuracy")
 
 
-def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 200_000) -> DataFrame:
+def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 65_536) -> DataFrame:
     """Mutual information of each feature with the class by nearest neighbours.
 
     For a point with its k-th neighbour inside the class at distance r, m counts the

@@ -11,19 +11,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-FINE_BUCKETS = 256        # buckets of a large group
-LARGE_GROUP = 200_000     # rows from which a group is cut into buckets
+FAN = 16                  # a bucket is found in two steps of FAN comparisons
+FINE_BUCKETS = FAN * FAN  # buckets of a large group
+LARGE_GROUP = 65_536      # rows from which a group is cut into buckets
 SAMPLE_PER_SPLIT = 20     # sampled keys per bucket boundary
 
 
 def _splits(value: str) -> Column:
     probs = ", ".join(f"{i / FINE_BUCKETS}D" for i in range(1, FINE_BUCKETS))
-    return F.expr(f"percentile_approx(`{value}`, array({probs}), 10000)")
+    return F.expr(f"percentile_approx(`{value}`, array({probs}), 2000)")
 
 
-def _bucket(value: str, splits: Column) -> Column:
-    return F.when(splits.isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(splits, lambda s: s < F.col(value))))
+def _bucket(value: str) -> Column:
+    """Number of splits below the value: first among every FAN-th split, then within."""
+    below = f"s -> s < `{value}`"
+    return F.expr(f"""CASE WHEN splits IS NULL THEN 0 ELSE
+        {FAN} * size(filter(coarse, {below}))
+        + size(filter(slice(splits, {FAN} * size(filter(coarse, {below})) + 1, {FAN - 1}), {below})) END""")
 
 
 def _with_buckets(df: DataFrame, group: Sequence[str], value: str, weight: Column,
@@ -31,13 +35,14 @@ def _with_buckets(df: DataFrame, group: Sequence[str], value: str, weight: Colum
     """Adds `bucket` and, per group, the total weight `n`."""
     keep = F.when(F.count("*") > large, _splits(value))
     stats = df.groupBy(*group).agg(F.sum(weight).alias("n"), keep.alias("splits"))
+    coarse = f"transform(sequence({FAN}, {FINE_BUCKETS - FAN}, {FAN}), i -> element_at(splits, i))"
+    stats = stats.selectExpr("*", f"CASE WHEN splits IS NOT NULL THEN {coarse} END AS coarse")
     if group:
         df = df.join(stats, list(group))
     else:  # one row: a scalar subquery, not a join
-        one = stats.select(F.struct("n", "splits").alias("s")).scalar()
-        df = df.withColumn("s", one).withColumn("n", F.col("s.n")).withColumn(
-            "splits", F.col("s.splits")).drop("s")
-    return df.withColumn("bucket", _bucket(value, F.col("splits"))).drop("splits")
+        one = stats.select(F.struct("n", "splits", "coarse").alias("s")).scalar()
+        df = df.withColumn("s", one).select(*df.columns, "s.n", "s.splits", "s.coarse")
+    return df.withColumn("bucket", _bucket(value)).drop("splits", "coarse")
 
 
 def _bucket_starts(rows: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
