@@ -87,8 +87,10 @@ def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str]
     parts = parts.selectExpr(
         "*",
         f"coalesce(lag(forward) {over}, slice(forward, 1, 0)) AS from_past",
-        f"coalesce(lead(backward) {over}, slice(forward, 1, 0)) AS from_later",
-        f"""explode(sequence(
+        f"coalesce(lead(backward) {over}, slice(forward, 1, 0)) AS from_later")
+    # a step of its own: neighbours must be taken before rows are multiplied
+    parts = parts.selectExpr(
+        "*", f"""explode(sequence(
               CASE WHEN prev_seg IS NULL THEN floor(f0 / {size}) ELSE seg END,
               CASE WHEN next_seg IS NULL THEN floor(f1 / {size}) ELSE next_seg - 1 END)) AS at""")
     parts = parts.selectExpr(

@@ -22,7 +22,7 @@ def make_tracks():
     for t in list(range(1, 10)) + [13, 25, 61, 100]:
         for row in range(3):
             frames = range(5, 5 + t)
-            data[t, row] = {f: tuple(rng.normal(size=3)) for f in frames if row == 0 or rng.random() > 0.45}
+            data[t, row] = {f: tuple(float(v) for v in rng.normal(size=3)) for f in frames if row == 0 or rng.random() > 0.45}
         data[t, 0][5] = data[t, 0].get(5, (0.0, 0.0, 0.0))
     data[25, 3] = {f: (None, None, None) for f in (6, 9)}          # never observed
     data[61, 3] = {30: (1.0, 2.0, 3.0)}                             # observed once
