@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 
 from motionframe.functions import smoothing
 
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000  # small enough for the processor caches
 NO_FRAME = np.iinfo(np.int64).min
 
 # executors get these helpers with the task instead of importing them
@@ -103,28 +103,33 @@ class Block:
     """The dense frames of every segment in one sorted table."""
 
     def __init__(self, table, keys, axes, size, window, order, smooth):
+        margin = smoothing.REACH if smooth else 0
         starts = group_starts(table, keys)
         n = table.num_rows
         row_group = np.zeros(n, dtype=np.int64)
         row_group[starts[1:]] = 1
         row_group = np.cumsum(row_group)
-        bound = {c: np.maximum.reduceat(_ints(table, c), starts) for c in ("lo", "hi", "f0", "f1")}
-        # copies in a segment the entity never reaches have no boundary row
-        real_group = bound["lo"] != NO_FRAME
-        self.starts, self.keep = starts, real_group
-        self.lo = np.where(real_group, bound["lo"], 0)
-        self.f0, self.f1 = bound["f0"], bound["f1"]
-        self.length = np.where(real_group, bound["hi"] - self.lo + 1, 0)
+        self.seg = np.asarray(table.column("seg"), dtype=np.int64)[starts]
+        # the boundary row of a segment has the frame range and the channel's attributes;
+        # copies in a segment the entity never reaches have none
+        edges = np.flatnonzero(np.asarray(table.column("f0").is_valid()))
+        self.edge = np.full(len(starts), -1)
+        self.edge[row_group[edges]] = edges
+        real_group = self.keep = self.edge >= 0
+        self.f0 = np.where(real_group, _ints(table, "f0")[self.edge], 0)
+        self.f1 = np.where(real_group, _ints(table, "f1")[self.edge], -1)
+        self.lo = np.where(real_group, np.maximum(self.f0, self.seg * size - margin), 0)
+        last = np.minimum(self.f1, self.seg * size + size - 1 + margin)
+        self.length = np.where(real_group, last - self.lo + 1, 0)
         self.base = np.cumsum(self.length) - self.length
         self.group = np.repeat(np.arange(len(starts)), self.length)
         self.frame = np.arange(len(self.group)) - self.base[self.group] + self.lo[self.group]
-        self.seg = np.asarray(table.column("seg"), dtype=np.int64)[starts]
         at = self.frame - self.seg[self.group] * size
         self.core = (at >= 0) & (at < size)
 
-        frame, real = _ints(table, "frame"), np.asarray(table.column("real")) == 1
+        frame, real = _ints(table, "frame"), np.asarray(table.column("real"))
         inside = (real & real_group[row_group] & (frame >= self.lo[row_group])
-                  & (frame <= bound["hi"][row_group]))
+                  & (frame < (self.lo + self.length)[row_group]))
         target = self.base[row_group[inside]] + frame[inside] - self.lo[row_group[inside]]
         first_frame = int(frame.min()) if n else 0
         self.raw, self.fill, self.smooth = {}, {}, {}
@@ -158,7 +163,7 @@ def frames(keys, carry, axes, size, window, order, smooth):
         for table in whole_groups(batches, keys):
             b = Block(table, keys, axes, size, window, order, smooth)
             pick = np.flatnonzero(b.core)
-            source = b.starts[b.group[pick]]
+            source = b.edge[b.group[pick]]
             group = b.group[pick]
             cols = [table.column(c).take(pa.array(source)) for c in carry]
             cols += [pa.array(b.frame[pick]), pa.array(b.f0[group]), pa.array(b.f1[group])]
@@ -175,7 +180,7 @@ def sums(keys, carry, axes, size, window, order):
     def run(batches):
         for table in whole_groups(batches, keys):
             b = Block(table, keys, axes, size, window, order, True)
-            groups = len(b.starts)
+            groups = len(b.edge)
 
             def total(mask, weights=None):
                 return np.bincount(b.group[mask], None if weights is None else weights[mask], groups)
@@ -199,7 +204,7 @@ def sums(keys, carry, axes, size, window, order):
                 out[f"{a}_mean"] = mean
                 out[f"{a}_m2"] = total(seen, centred * centred)
             pick = np.flatnonzero(b.keep)
-            cols = [table.column(c).take(pa.array(b.starts[pick])) for c in carry]
+            cols = [table.column(c).take(pa.array(b.edge[pick])) for c in carry]
             cols += [pa.array(v[pick]) for v in out.values()]
             yield from pa.table(cols, names=[*carry, *out]).to_batches(max_chunksize=BLOCK_ROWS)
     return run

@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from motionframe.functions import track_kernel
 from motionframe.functions.smoothing import REACH
+from motionframe.session import materialize
 
 KEY = ["entity_id", "row"]
 ATTRS = ["class", "grp", "idx"]
 SEGMENT_FRAMES = 4096
+BROADCAST_TRACKS = 100_000  # tracks of several segments up to which their keys are broadcast
 
 
 def _over(keys: Sequence[str], order: Sequence[str]) -> str:
@@ -42,29 +44,52 @@ def _attrs(df: DataFrame) -> list[str]:
 
 
 def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str],
-                   size: int, margin: int) -> DataFrame:
-    """Boundary and carry rows of every (entity, channel, segment)."""
-    attrs = _attrs(tracks)
-    keys = [*KEY, *attrs]
-    tracks = tracks.selectExpr(*keys, f"floor(frame / {size}) AS seg", "frame", *axes)
+                   size: int, margin: int) -> tuple[DataFrame, bool]:
+    """One boundary row per (entity, channel, segment), and carry rows for longer tracks.
+
+    Also tells whether any track needs more than one segment.
+    """
+    keys = [*KEY, *_attrs(tracks)]
+    whole = f"OVER (PARTITION BY {', '.join(extent)})"
+    span = tracks.groupBy(*keys).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    # one row per track; written once because both branches below and the check read it
+    span = materialize(span.selectExpr(*keys, f"min(lo) {whole} AS f0", f"max(hi) {whole} AS f1"))
+    edges = span.selectExpr("*", f"explode(sequence(floor(f0 / {size}), floor(f1 / {size}))) AS seg")
+    edges = edges.selectExpr(
+        *keys, "seg", f"greatest(f0, seg * {size} - {margin}) AS frame",
+        *[f"CAST(NULL AS DOUBLE) AS {a}" for a in axes], "f0", "f1", "false AS real")
+    longer = span.where(f"floor(f0 / {size}) < floor(f1 / {size})").select(*KEY, "f0", "f1")
+    n_longer = longer.count()
+    if n_longer == 0:
+        return edges, False
+    if n_longer <= BROADCAST_TRACKS:
+        longer = F.broadcast(longer)
+    return edges.unionByName(_carry_rows(tracks, longer, axes, size, margin)), True
+
+
+def _carry_rows(tracks: DataFrame, longer: DataFrame, axes: Sequence[str], size: int,
+                margin: int) -> DataFrame:
+    """Nearest observed values before and after each segment, for tracks of several segments."""
+    keys = [*KEY, *_attrs(tracks)]
+    tracks = tracks.join(longer.select(*KEY), KEY, "left_semi").selectExpr(
+        *keys, f"floor(frame / {size}) AS seg", "frame", *axes)
     pos = f"(frame - seg * {size})"
     # first and last observed value; "in" variants leave out the rows that the
     # neighbouring segment gets as copies anyway
     variants = [("first", "min", "true"), ("firstin", "min", f"{pos} >= {margin}"),
                 ("last", "max", "true"), ("lastin", "max", f"{pos} < {size - margin}")]
-    aggs = [F.min("frame").alias("lo"), F.max("frame").alias("hi")]
+    aggs = []
     for a in axes:
         for name, fn, cond in variants:
             at = f"CASE WHEN {a} IS NOT NULL AND {cond} THEN frame END"
             aggs += [F.expr(f"{fn}({at}) AS {name}_{a}_f"), F.expr(f"{fn}_by({a}, {at}) AS {name}_{a}_v")]
-    parts = tracks.groupBy(*keys, "seg").agg(*aggs)
-
-    over = _over(KEY, ["seg"])
-    whole = f"OVER (PARTITION BY {', '.join(extent)})"
+    parts = tracks.groupBy(*keys, "seg").agg(*aggs).join(longer, KEY)
     parts = parts.selectExpr(
-        *keys, "seg", f"min(lo) {whole} AS f0", f"max(hi) {whole} AS f1",
+        *keys, "seg", "f0", "f1",
         *[f"CASE WHEN {n}_{a}_f IS NOT NULL THEN named_struct('f', {n}_{a}_f, 'v', {n}_{a}_v) END AS {n}_{a}"
           for a in axes for n, _, _ in variants])
+
+    over = _over(KEY, ["seg"])
     parts = parts.selectExpr(
         "*", f"lag(seg) {over} AS prev_seg", f"lead(seg) {over} AS next_seg",
         *[f"lag(last_{a}) IGNORE NULLS {over} AS past_{a}" for a in axes],
@@ -94,17 +119,11 @@ def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str]
               CASE WHEN prev_seg IS NULL THEN floor(f0 / {size}) ELSE seg END,
               CASE WHEN next_seg IS NULL THEN floor(f1 / {size}) ELSE next_seg - 1 END)) AS at""")
     parts = parts.selectExpr(
-        *keys, "at AS seg", "f0", "f1",
-        f"greatest(f0, at * {size} - {margin}) AS lo",
-        f"least(f1, at * {size} + {size - 1 + margin}) AS hi",
-        """CASE WHEN at < seg THEN backward WHEN at = seg THEN concat(from_past, from_later)
-           ELSE concat(forward, from_later) END AS carried""")
-    edge = ", ".join(f"'{a}', CAST(NULL AS DOUBLE)" for a in axes)
-    return (parts
-            .selectExpr(*keys, "seg", "lo", "hi", "f0", "f1",
-                        f"explode(concat(array(named_struct('frame', lo, {edge})), carried)) AS p")
-            .selectExpr(*keys, "seg", "p.frame AS frame", *[f"p.{a} AS {a}" for a in axes],
-                        "lo", "hi", "f0", "f1", "0 AS real"))
+        *keys, "at AS seg", """explode(CASE WHEN at < seg THEN backward
+            WHEN at = seg THEN concat(from_past, from_later) ELSE concat(forward, from_later) END) AS p""")
+    return parts.selectExpr(
+        *keys, "seg", "p.frame AS frame", *[f"p.{a} AS {a}" for a in axes],
+        *[f"CAST(NULL AS BIGINT) AS {c}" for c in ("f0", "f1")], "false AS real")
 
 
 def _segment_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str], margin: int,
@@ -115,17 +134,22 @@ def _segment_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str],
     keys = [*KEY, *_attrs(tracks)]
     tracks = tracks.selectExpr(*keys, "CAST(frame AS BIGINT) AS frame",
                                *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes])
-    pos = f"(frame - floor(frame / {size}) * {size})"
+    edges, several = _boundary_rows(tracks, axes, extent, size, margin)
+    seg = f"floor(frame / {size})"
+    if several:  # rows near a boundary also go to the neighbouring segment
+        pos = f"(frame - floor(frame / {size}) * {size})"
+        seg = f"""explode(CASE WHEN {pos} < {margin} THEN array({seg} - 1, {seg})
+            WHEN {pos} >= {size - margin} THEN array({seg}, {seg} + 1) ELSE array({seg}) END)"""
+    # attributes travel on the boundary rows only
+    types = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
     data = tracks.selectExpr(
-        *keys,
-        f"""explode(array_compact(array(floor(frame / {size}),
-              CASE WHEN {pos} < {margin} THEN floor(frame / {size}) - 1 END,
-              CASE WHEN {pos} >= {size - margin} THEN floor(frame / {size}) + 1 END))) AS seg""",
-        "frame", *axes, *[f"CAST(NULL AS BIGINT) AS {c}" for c in ("lo", "hi", "f0", "f1")],
-        "1 AS real")
-    rows = data.unionByName(_boundary_rows(tracks, axes, extent, size, margin))
+        *KEY, *[f"CAST(NULL AS {types[c]}) AS {c}" for c in _attrs(tracks)], f"{seg} AS seg", "frame", *axes,
+        *[f"CAST(NULL AS BIGINT) AS {c}" for c in ("f0", "f1")], "true AS real")
+    rows = data.unionByName(edges)
     part = [*KEY, "seg"]
-    return rows.repartition(*part).sortWithinPartitions(*part, "frame", "real")
+    # a hash in front lets the sort settle most comparisons on its 8-byte prefix
+    rows = rows.repartition(*part).withColumn("_h", F.xxhash64(*part))
+    return rows.sortWithinPartitions("_h", *part, "frame", "real").drop("_h")
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[str]:
