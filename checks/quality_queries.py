@@ -165,12 +165,13 @@ MEAS = [("any_hand_rate", True), ("jitter_hand", False), ("bone_cv", False), ("l
 
 
 @query("c7_paired_compare", sql(
-    " UNION ALL ".join(f"""SELECT '{m}' AS metric, {rd('avg(a.v)')} AS mean_a, {rd('avg(b.v)')} AS mean_b,
-      {rd('avg(b.v - a.v)')} AS mean_diff, count(CASE WHEN {'b.v > a.v' if up else 'b.v < a.v'} THEN 1 END) AS n_better,
-      count(CASE WHEN {'b.v < a.v' if up else 'b.v > a.v'} THEN 1 END) AS n_worse,
-      count(CASE WHEN b.v = a.v THEN 1 END) AS n_unchanged, count(*) AS n_units
+    " UNION ALL ".join(f"""SELECT '{m}' AS metric, {rd('avg(a)')} AS mean_a, {rd('avg(b)')} AS mean_b,
+      {rd('avg(b - a)')} AS mean_diff, count(CASE WHEN {'d > 0' if up else 'd < 0'} THEN 1 END) AS n_better,
+      count(CASE WHEN {'d < 0' if up else 'd > 0'} THEN 1 END) AS n_worse,
+      count(CASE WHEN d = 0 THEN 1 END) AS n_unchanged, count(*) AS n_units
+      FROM (SELECT a.v AS a, b.v AS b, CASE WHEN abs(b.v - a.v) <= greatest(abs(a.v), abs(b.v)) * 1e-9::DOUBLE THEN 0 ELSE b.v - a.v END AS d
       FROM (SELECT CAST(floor(entity_id / 2) AS BIGINT) AS u, {m} AS v FROM eq WHERE config = 'default' AND {m} IS NOT NULL) a
-      JOIN (SELECT CAST(floor(entity_id / 2) AS BIGINT) AS u, {m} AS v FROM eq WHERE config = 'strict' AND {m} IS NOT NULL) b USING (u)"""
+      JOIN (SELECT CAST(floor(entity_id / 2) AS BIGINT) AS u, {m} AS v FROM eq WHERE config = 'strict' AND {m} IS NOT NULL) b USING (u))"""
                        for m, up in MEAS),
     "tracks", "catalog", extra=QT + ", " + quality_sql("qtracks") + ", " + EQ))
 def paired_compare(spark, sf):

@@ -23,7 +23,10 @@ def paired_compare(df: DataFrame, unit: str, treatment: str, a: str, b: str,
     per = long.groupBy("metric", "up", unit).agg(
         F.max(F.when(F.col(treatment) == a, F.col("v"))).alias("a"),
         F.max(F.when(F.col(treatment) == b, F.col("v"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    gain = F.when(F.col("up"), F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
+    # summation order may differ between two evaluations: rounding noise is no change
+    noise = F.greatest(F.abs("a"), F.abs("b")) * 1e-9
+    diff = F.when(F.abs(F.col("b") - F.col("a")) <= noise, F.lit(0.0)).otherwise(F.col("b") - F.col("a"))
+    gain = F.when(F.col("up"), diff).otherwise(-diff)
     return per.groupBy("metric").agg(
         F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
         F.avg(F.col("b") - F.col("a")).alias("mean_diff"),
