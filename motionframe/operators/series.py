@@ -11,8 +11,8 @@ segment needs from outside travels as extra rows:
 
 Everything after that is one exchange and one sort on (entity, channel, segment).
 Spark moves and sorts the rows; gap filling and smoothing then run on Arrow blocks
-of whole segments, because window functions with one frame per neighbour cost about
-fifty times as much per row.
+of whole segments, because window functions with one frame per neighbour took about
+ten times as long in that stage.
 """
 
 from __future__ import annotations
