@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motionframe.llm import mixing
+from motionframe.llm import fingerprints, mixing, tokens
 from motionframe.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,17 @@ def mix(spark, sf_dir):
     return mixing.mix_datasets(entities).select(
         F.col("entity_id").alias("doc_id"), F.col("n_frames").alias("size"),
         F.col("dataset_size").alias("source_size"), "target", "taken")
+
+
+@query("op4_near_duplicate_notes")
+def near_duplicates(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
+    return fingerprints.near_duplicate_notes(runs).withColumnRenamed("run_id", "doc_id")
+
+
+@query("op8_token_ids")
+def token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
+    return tokens.token_ids(runs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("run_id", "doc_id")
