@@ -16,7 +16,6 @@ RADIUS = 3                     # differing bits of a link
 SHINGLE = 3                    # words
 SEED = 42                      # of XXH64
 VARIANTS_PER_TASK = 8_000_000  # variants that one bucket makes; the number of buckets follows the input
-TEXT_BATCH = 64                # rows: long notes must not pile up in one Arrow batch
 
 _BITS = 64
 
@@ -40,9 +39,9 @@ def fingerprint(text: bytes) -> int:
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], "<u8")
     ones = np.zeros(_BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0)
+    for at in range(0, len(hashes), 50_000):  # counts of a part fit 16 bits
+        part = hashes[at:at + 50_000].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     bits = ones * 2 > len(hashes)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
