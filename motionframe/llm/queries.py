@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motionframe.llm import fingerprints, mixing, tokens
+from motionframe.llm import archives, fingerprints, language, mixing, tokens
 from motionframe.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,28 @@ def token_ids(spark, sf_dir):
 
     runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
     return tokens.token_ids(runs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("run_id", "doc_id")
+
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first,
+             row_number() OVER (PARTITION BY payload_digest, page_id) AS n FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR (page_id = first AND n = 1) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR (page_id = first AND n = 1) THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
+@query("op7_archive_round_trip", ARCHIVE_SQL)
+def archive_round_trip(spark, sf_dir):
+    return archives.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op5_detect_language")
+def detect_language(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("text").alias("notes"), "lang", language.held_out("doc_id").alias("held_out"))
+    counts = language.language_counts(runs.where(~F.col("held_out")))
+    return language.detect_language(runs, counts, keep=("held_out",)).withColumnRenamed("run_id", "doc_id")
