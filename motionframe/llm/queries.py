@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motionframe.llm import archives, fingerprints, language, mixing, tokens
+from motionframe.llm import archives, fingerprints, language, mixing, neighbours, tokens
 from motionframe.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ def detect_language(spark, sf_dir):
         F.col("doc_id").alias("run_id"), F.col("text").alias("notes"), "lang", language.held_out("doc_id").alias("held_out"))
     counts = language.language_counts(runs.where(~F.col("held_out")))
     return language.detect_language(runs, counts, keep=("held_out",)).withColumnRenamed("run_id", "doc_id")
+
+
+@query("op3_nearest_entities")
+def nearest_entities(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("entity_id"), F.col("embedding").alias("features"))
+    found = neighbours.nearest_entities(vectors, vectors.where(F.col("entity_id") % 20 == 0), 20)
+    return found.withColumnRenamed("entity_id", "vec_id")
