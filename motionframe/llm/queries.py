@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from motionframe.llm import archives, fingerprints, language, mixing, neighbours, tokens
+from motionframe.llm import (
+    archives, fingerprints, language, mixing, neighbours, repeats, tokens)
 from motionframe.llm.words import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,9 @@ def nearest_entities(spark, sf_dir):
         F.col("vec_id").alias("entity_id"), F.col("embedding").alias("features"))
     found = neighbours.nearest_entities(vectors, vectors.where(F.col("entity_id") % 20 == 0), 20)
     return found.withColumnRenamed("entity_id", "vec_id")
+
+
+@query("op2_cut_repeated_passages")
+def cut_repeated_passages(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
+    return repeats.cut_repeated_passages(runs).withColumnRenamed("run_id", "doc_id")
