@@ -15,7 +15,7 @@ from motionframe.session import materialize
 RADIUS = 3                     # differing bits of a link
 SHINGLE = 3                    # words
 SEED = 42                      # of XXH64
-VARIANTS_PER_TASK = 8_000_000  # variants that one bucket makes; the number of buckets follows the input
+VARIANTS_PER_TASK = 4_000_000  # variants that one bucket makes; the number of buckets follows the input
 
 _BITS = 64
 
@@ -147,9 +147,11 @@ def links_in_bucket(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) among distinct fingerprints `fp`, enough to connect all within RADIUS bits.
 
-    Each fingerprint goes to every bucket that holds one of its variants, once; the
-    bucket makes the variants again and groups them. This is the shuffle on variants
-    with the shared part of their bits sent once.
+    Each fingerprint goes to every bucket that holds one of its variants, once, packed
+    with others; the bucket makes the variants again and groups them. This is the
+    shuffle on variants with the shared part of their bits sent once. There are as many
+    buckets as keep a task at VARIANTS_PER_TASK, and no fingerprint goes to more of them
+    than it has variants.
     """
     n = prints.count()
     per_print = len(flips()[0]) + len(flips()[1]) / 2
@@ -160,14 +162,18 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         for batch in batches:
             f = batch.column("fp").to_numpy().view(np.uint64)
             buckets = (_slot(f, bits)[:, None] ^ reach[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(f, len(reach)).view(np.int64))],
-                                             ["bucket", "fp"])
+            by = np.argsort(buckets, kind="stable")
+            names, at = np.unique(buckets[by], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(by)), pa.int32()),
+                                             pa.array(f[by // len(reach)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), lists], ["bucket", "fps"])
 
     def meet(key, table):
-        a, b = links_in_bucket(np.unique(table["fp"].to_numpy()).view(np.uint64), key[0].as_py(), bits)
+        fps = np.unique(table["fps"].combine_chunks().flatten().to_numpy()).view(np.uint64)
+        a, b = links_in_bucket(fps, key[0].as_py(), bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = prints.mapInArrow(send, "bucket long, fp long")
+    sent = prints.mapInArrow(send, "bucket long, fps array<long>")
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
