@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from motionframe.llm.words import text_bytes
+from motionframe.llm.words import row_id, text_bytes
 from motionframe.session import materialize
 
 RADIUS = 3                     # differing bits of a link
@@ -46,9 +46,11 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def note_fingerprints(runs: DataFrame, *, key: str = "run_id", notes: str = "notes") -> DataFrame:
-    """One row (key, fp) per run; `fp` holds the 64 bits as a signed long."""
-    schema = runs.select(F.col(key).alias("k"), F.lit(0).cast("long").alias("fp")).schema
+def note_fingerprints(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", row: str | None = None) -> DataFrame:
+    """One row (k, fp) per run, with the column `row` if it is named; `fp` holds the 64 bits as a signed long."""
+    more = [F.col(row).alias("row")] if row else []
+    rows = runs.select(F.col(key).alias("k"), *more, F.col(notes).alias("notes"))
+    schema = rows.select("k", *more and ["row"], F.lit(0).cast("long").alias("fp")).schema
 
     def tasks(batches):
         for batch in batches:
@@ -59,9 +61,10 @@ def note_fingerprints(runs: DataFrame, *, key: str = "run_id", notes: str = "not
                 raw = raw.tobytes()
                 fps = [fingerprint(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part["k"].combine_chunks(), pa.array(np.array(fps, np.uint64).view(np.int64))], ["k", "fp"])
+                    [*[c.combine_chunks() for c in part.columns[:-1]], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                    schema.names)
 
-    return runs.select(F.col(key).alias("k"), F.col(notes).alias("notes")).mapInArrow(tasks, schema)
+    return rows.mapInArrow(tasks, schema)
 
 
 @lru_cache(maxsize=1)
@@ -206,7 +209,14 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame, max_rounds: int = 60)
     root = F.coalesce("v", "node")
     rooted = nodes.join(edges, F.col("node") == F.col("u"), "left").select("node", "own", root.alias("root"))
     best = rooted.groupBy("root").agg(F.min("own").alias("best"))
-    return rooted.join(best, "root").select("node", "own", "best")
+    return rooted.join(best, "root").select("node", "own", "best", "root")
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """(node, own, best, root) per distinct fingerprint of (k, fp): its smallest key and its component's."""
+    nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("k").alias("own")))
+    links = fingerprint_links(nodes.select(F.col("node").alias("fp")))
+    return smallest_reachable(nodes, links)
 
 
 def near_duplicate_notes(runs: DataFrame, *, key: str = "run_id", notes: str = "notes") -> DataFrame:
@@ -220,9 +230,22 @@ def near_duplicate_notes(runs: DataFrame, *, key: str = "run_id", notes: str = "
     key. Repeated rows are kept, other columns ignored, an empty table gives no rows.
     """
     prints = materialize(note_fingerprints(runs, key=key, notes=notes))
-    nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("k").alias("own")))
-    links = fingerprint_links(nodes.select(F.col("node").alias("fp")))
-    classes = smallest_reachable(nodes, links)
+    classes = _classes(prints)
     return prints.join(classes, F.col("fp") == F.col("node")).select(
         F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("best").alias("component_id"))
+
+
+def one_note_of_each_group(runs: DataFrame, *, key: str = "run_id", notes: str = "notes") -> DataFrame:
+    """Runs with one kept of each near-duplicate component: the smallest key, NULL last, then the smallest row hash.
+
+    All columns stay. Which row stays is decided on narrow rows; the notes move once, to
+    meet the kept rows. Rows that are equal in all columns are one.
+    """
+    rows = runs.withColumn("_row", row_id(runs.columns))
+    prints = materialize(note_fingerprints(rows, key=key, notes=notes, row="_row"))
+    classes = _classes(prints)
+    turn = F.struct(F.col("k").isNull().alias("last"), "k", "row")
+    kept = prints.join(classes, F.col("fp") == F.col("node")).groupBy("root").agg(F.min(turn).alias("t"))
+    kept = kept.select(F.col("t.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*runs.columns)

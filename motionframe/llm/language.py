@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,14 +134,15 @@ def language_counts(labelled: DataFrame, *, key: str = "run_id", notes: str = "n
 
 
 def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id", notes: str = "notes",
-                    keep: tuple[str, ...] = ()) -> DataFrame:
+                    keep: Sequence[str] = ()) -> DataFrame:
     """Predicts the language of whole notes from `language_counts`.
 
     Returns (key, *keep, lang_pred, score) per input row; only the notes are looked at.
     The score is the language's share of likelihood among all, from 0 to 1. NULL notes
     and notes without a letter give `und` and 0, as do all notes if nothing was learnt;
     equal scores go to the first language in code point order. Repeated rows are kept,
-    other columns ignored, an empty table gives no rows.
+    other columns ignored, an empty table gives no rows. Columns of `keep` must not be
+    named lang_pred or score.
 
     The model is a bounded table (languages times the limits above), so it is sent to
     all tasks; a Python worker builds it once.
@@ -148,18 +150,20 @@ def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id",
     spark = runs.sparkSession
     # bounded by the limits of language_counts
     model = spark.sparkContext.broadcast(BackoffModel([tuple(r) for r in counts.collect()]))
-    shape = runs.select(key, *keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    names = list(dict.fromkeys([key, *keep]))
+    read = names if notes in names else [*names, notes]
+    shape = runs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def tasks(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [model.value.note(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                found = [model.value.note(t) for t in part.column(read.index(notes)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    [key, *keep, "lang_pred", "score"])
+                    [*part.columns[:len(names)], pa.array([f[0] for f in found], pa.string()),
+                     pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return runs.select(key, *keep, F.col(notes).alias("_notes")).mapInArrow(tasks, shape)
+    return runs.select(*read).mapInArrow(tasks, shape)
 
 
 def held_out(key: str | Column) -> Column:

@@ -65,8 +65,8 @@ def mix_datasets(entities: DataFrame, *, key: str = "entity_id", dataset: str =
     dataset's cumulative size divided by the dataset's target. Copies are ordered by
     that time over all datasets and taken until the sum of all sizes is reached.
 
-    Returns one row (key, size, dataset_size, target, taken) per input row; `taken` is
-    the size of the copies taken. NULL sizes count as 0. A NULL dataset is a dataset of
+    Returns one row (key, size, dataset_size, target, taken, copies) per input row; `taken`
+    is the size of the copies taken. NULL sizes count as 0. A NULL dataset is a dataset of
     its own, last in order. Repeated rows are separate entities. Ties in time are broken
     by dataset (NULL first), key, size and copy. Other columns are ignored. An empty
     table gives no rows.
@@ -114,4 +114,4 @@ def mix_datasets(entities: DataFrame, *, key: str = "entity_id", dataset: str =
         n_taken = n_taken + F.when(F.col("target") > 0, F.when(F.col("cut").isNull() | (at < F.col("cut")), 1).otherwise(0)).otherwise(0)
     return queued.crossJoin(F.broadcast(cut)).select(  # one row
         F.col("k").alias(key), F.col("size").alias(size), "dataset_size", "target",
-        (F.col("size") * n_taken).cast("long").alias("taken"))
+        (F.col("size") * n_taken).cast("long").alias("taken"), n_taken.cast("int").alias("copies"))

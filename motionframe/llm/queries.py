@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motionframe.llm import (
-    archives, fingerprints, language, mixing, neighbours, repeats, tokens)
+    archives, fingerprints, language, leaks, mixing, moderation, neighbours, repeats, rollups, tokens)
 from motionframe.llm.words import word_count
+from motionframe.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +127,55 @@ def nearest_entities(spark, sf_dir):
 def cut_repeated_passages(spark, sf_dir):
     runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
     return repeats.cut_repeated_passages(runs).withColumnRenamed("run_id", "doc_id")
+
+
+ROLLUP_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, source, lang, text, array_to_string(list_distinct(string_split(text, chr(10))), chr(10)) AS revised,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))), false) AS again FROM documents),
+c AS (
+    SELECT source, lang, again,
+        coalesce(len(regexp_extract_all(revised, '{WORD_SQL}')), 0) AS words,
+        coalesce(len(regexp_extract_all(revised, '\p{{L}}+|\p{{N}}+|[^\s\p{{L}}\p{{N}}]')), 0) AS pieces FROM d)
+SELECT source AS dataset, lang, v.name AS tokenizer_version, count(*) FILTER (NOT again)::BIGINT AS n_notes,
+       coalesce(sum(CASE v.name WHEN 'words-1' THEN words ELSE pieces END) FILTER (NOT again), 0)::BIGINT AS n_tokens
+FROM c, (SELECT unnest(['words-1', 'pieces-1']) AS name) v GROUP BY ALL
+"""
+
+
+@query("op10_token_totals", ROLLUP_SQL)
+def token_totals(spark, sf_dir):
+    """All documents come in; then lines that repeat within one go; then exact copies are deleted.
+
+    The second batch is committed twice, which changes nothing.
+    """
+    versions = {"words-1": rollups.pattern_counter(rollups.WORDS_1), "pieces-1": rollups.pattern_counter(rollups.PIECES_1)}
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("dataset"), "lang", F.col("text").alias("notes_before"),
+        F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("notes"))
+    digest = F.md5(F.coalesce("notes_before", F.lit("")))
+    first = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"))
+    later = docs.withColumn("digest", digest).select("doc_id", "digest").join(first, "digest").where("doc_id > first")
+    gone = docs.join(later.select("doc_id"), "doc_id")
+    ledger = scratch_dir(spark, "token-totals")
+    rollups.commit_batch(rollups.inserts(docs, versions, notes="notes_before"), ledger, 1)
+    for _ in range(2):
+        rollups.commit_batch(rollups.revisions(docs.where(~F.col("notes_before").eqNullSafe(F.col("notes"))), versions), ledger, 2)
+    rollups.commit_batch(rollups.deletes(gone, versions), ledger, 3)
+    return rollups.token_totals(spark, ledger)
+
+
+@query("op1_mark_leaks")
+def mark_leaks(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
+    marked = leaks.mark_leaks(runs, table(spark, sf_dir, "benchmark"))
+    return marked.select(F.col("run_id").alias("doc_id"), F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op9_moderate_notes")
+def moderate_notes(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.col("text").alias("notes"))
+    reviews = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("run_id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
+    model = moderation.train_chain(runs, reviews)
+    return moderation.moderate_notes(runs, model).withColumnRenamed("run_id", "doc_id")

@@ -23,6 +23,13 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_id(columns: list[str]) -> Column:
+    """128 hash bits of all columns of a row as text, NULL told from empty; equal rows have equal ones."""
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    flags = [t.isNull() for t in text]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *flags, *text)), 16, "0") for seed in (1, 2)])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))
