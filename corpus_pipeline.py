@@ -1,10 +1,69 @@
-"""The corpus pipeline: stages over a documents table, each one operator of motionframe.llm."""
+"""The corpus pipeline: stages over a documents table, each one operator of motionframe.llm.
+
+A stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of
+documents; the last returns what it wrote. `run` writes each stage's rows as Parquet and
+reads them again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from motionframe.llm import fingerprints, language, leaks, mixing, tokens
+from motionframe.llm.words import row_id, word_count
+from motionframe.session import scratch_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognizable language; a missing language is filled with the predicted one."""
+    counts = language.language_counts(docs, key="doc_id", notes="text")
+    found = language.detect_language(docs, counts, key="doc_id", notes="text", keep=docs.columns)
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*[lang if c == "lang" else c for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each near-duplicate group."""
+    return fingerprints.one_note_of_each_group(docs, key="doc_id", notes="text")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    marked = leaks.mark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), notes="text")
+    return marked.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come near their target weights."""
+    rows = docs.withColumn("_row", row_id(docs.columns))
+    entities = rows.select(F.col("_row").alias("entity_id"), F.col("source").alias("dataset"), word_count("text").alias("n_frames"))
+    # equal rows share an id: their copies are added up, and one of them stands for all
+    copies = mixing.mix_datasets(entities).groupBy(F.col("entity_id").alias("_row")).agg(F.sum("copies").alias("_copies"))
+    taken = rows.dropDuplicates(["_row"]).join(copies.where("_copies > 0"), "_row")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token ids and returns (doc_id, start, n_tokens, ids_crc32) read back from the files."""
+    return tokens.token_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), key="doc_id", notes="text")
+
+
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_leaks", drop_leaks),
+    ("mix_sources", mix_sources),
+    ("write_tokens", write_tokens),
+]
+
+ORACLE_SQL = None  # no stage but the mix can be said in SQL
 
 
-def run(spark, sf_dir):
-    raise RuntimeError("the pipeline has no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
