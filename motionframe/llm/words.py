@@ -13,6 +13,11 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
+
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _IS_SPACE[raw]
+
+
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)  # any odd number: it has an inverse modulo 2**64
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -23,6 +28,11 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_share(key: str | Column) -> Column:
+    """A number from 0 to 1 that depends on the key alone, even over all keys: a seeded draw without sorting."""
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+
 def row_id(columns: list[str]) -> Column:
     """128 hash bits of all columns of a row as text, NULL told from empty; equal rows have equal ones."""
     text = [F.col(f"`{c}`").cast("string") for c in columns]
