@@ -109,8 +109,7 @@ def hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     w = W.partitionBy("run_id").orderBy("o_orderkey")
-    h = (o.withColumn("run_id", F.col("o_custkey") % 50)
-         .withColumn("epoch", F.row_number().over(w)).where("epoch <= 40"))
+    h = o.withColumn("run_id", F.col("o_custkey")).withColumn("epoch", F.row_number().over(w))
     val = (F.col("epoch") / (F.col("epoch") + F.lit(8.0))
            + ((F.col("o_orderkey") * 31) % 7) / F.lit(1000.0))
     return (h.withColumn("val_acc", val)
@@ -214,11 +213,11 @@ CTE["runs"] = """runs AS (
                   (o_orderkey * 53 % 1000) / 1000.0::DOUBLE) AS accuracy
   FROM orders)"""
 CTE["hist"] = """hist0 AS (
-  SELECT o_custkey % 50 AS run_id, o_orderkey,
-         CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS epoch
+  SELECT o_custkey AS run_id, o_orderkey,
+         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS epoch
   FROM orders),
 hist1 AS (SELECT run_id, epoch, epoch / (epoch + 8.0::DOUBLE) + ((o_orderkey * 31) % 7) / 1000.0::DOUBLE AS val_acc
-  FROM hist0 WHERE epoch <= 40),
+  FROM hist0),
 hist AS (SELECT *, least(1.0::DOUBLE, val_acc + epoch * 0.004::DOUBLE) AS train_acc FROM hist1)"""
 CTE["manifest"] = """manifest AS (
   SELECT doc_id AS unit_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'done' END AS status,

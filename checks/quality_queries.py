@@ -236,7 +236,7 @@ def spearman(spark, sf):
     from motionframe.plans.ranking import spearman as rank_corr
 
     o = fx.table(spark, sf, "orders").select(F.round("o_totalprice", -3).alias("a"), F.col("o_custkey").alias("b"))
-    return rounded(rank_corr(o, "a", "b", large=500))
+    return rounded(rank_corr(o, "a", "b", rows_per_part=500))
 
 
 @query("b3_null_to_zero", sql(

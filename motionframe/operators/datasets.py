@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from motionframe.functions.columns import hash_order, null_to_zero
-from motionframe.plans.ranking import ordered_prefix
+from motionframe.plans.ranking import attach, ordered_prefix
 from motionframe.plans.selection import mark_first, sample_n
 
 
@@ -43,7 +43,7 @@ def subset_op(membership: DataFrame, a: str, b: str, op: str) -> DataFrame:
     """Rows of union, intersection or difference of two subsets."""
     left, right = (membership.where(F.col("subset") == s).select("row") for s in (a, b))
     ops = {"union": lambda: left.union(right).distinct(), "intersect": lambda: left.intersect(right),
-           "except": lambda: left.exceptAll(right).distinct()}
+           "except": lambda: left.subtract(right)}
     return ops[op]()
 
 
@@ -65,6 +65,9 @@ def subsample_uniform(seq: DataFrame, n: int) -> DataFrame:
 
     Each row finds its own output position, so nothing is grouped or joined.
     """
+    if n == 1:  # linspace of one point is its start
+        one = seq.where("n_frames <= 1 OR pos = 0").withColumn("pos", F.col("pos").cast("long"))
+        return one.withColumn("n_frames", F.least(F.col("n_frames"), F.lit(1)))
     step = f"((n_frames - 1) / {n - 1}D)"
     index = f"if(i = {n - 1}, n_frames - 1, floor(i * {step}))"
     near = f"floor(pos / {step})"
@@ -77,6 +80,8 @@ def subsample_uniform(seq: DataFrame, n: int) -> DataFrame:
 
 def resample_uniform(seq: DataFrame, n: int) -> DataFrame:
     """Exactly n frames by rounded linspace (half to even); short sequences repeat frames."""
+    if n == 1:
+        return seq.where("pos = 0").withColumn("pos", F.lit(0)).withColumn("n_frames", F.lit(1))
     step = f"((n_frames - 1) / {n - 1}D)"
     index = f"if(i = {n - 1}, CAST(n_frames - 1 AS DOUBLE), rint(i * {step}))"
     low = f"greatest(0, CAST(floor((pos - 0.5D) / {step}) AS INT) - 1)"
@@ -146,21 +151,22 @@ def encode_labels(df: DataFrame, label_map: DataFrame, col: str = "class") -> Da
 
 def encode_sorted(df: DataFrame, col: str = "class") -> DataFrame:
     """Adds `label`, the position of the class in sorted order."""
-    order = W.partitionBy(F.lit(0)).orderBy(col)  # one row per class
-    classes = df.select(col).distinct().withColumn("label", F.row_number().over(order) - 1)
-    return df.join(classes, col)
+    classes = ordered_prefix(df.select(col).distinct(), [col])
+    return df.join(classes.withColumnRenamed("before", "label"), col).withColumn("label", F.col("label").cast("int"))
 
 
 def label_distribution(df: DataFrame, col: str = "class", by: Sequence[str] = ()) -> DataFrame:
     """Rows per class with mean, mode, deviation and variance of the counts, and side of the mean."""
+    by = list(by)
     counts = df.groupBy(*by, col).agg(F.count("*").alias("count"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # one row per class
+    stats = counts.groupBy(*by).agg(F.avg("count").alias("mean"), F.stddev_samp("count").alias("std"),
+                                    F.var_samp("count").alias("variance"))
+    times = counts.groupBy(*by, "count").agg(F.count("*").alias("t"))
+    mode = times.groupBy(*by).agg(F.min(F.struct(-F.col("t"), "count"))["count"].alias("mode"))
+    out = attach(attach(counts, stats, by, ["mean", "std", "variance"]), mode, by, ["mode"])
     side = F.when(F.col("count") > F.col("mean"), "above").when(F.col("count") < F.col("mean"), "below")
-    freq = counts.withColumn("times", F.count("*").over((w if by else W).partitionBy(*by, "count")))
-    mode = F.min(F.struct((-F.col("times")).alias("t"), F.col("count").alias("c"))).over(w)["c"]
-    out = freq.select(*by, col, "count", F.avg("count").over(w).alias("mean"), mode.alias("mode"),
-                      F.stddev_samp("count").over(w).alias("std"), F.var_samp("count").over(w).alias("variance"))
-    return out.withColumn("side", F.coalesce(side, F.lit("equal")))
+    return out.select(*by, col, "count", "mean", "mode", "std", "variance",
+                      F.coalesce(side, F.lit("equal")).alias("side"))
 
 
 # -- unions -----------------------------------------------------------------
@@ -205,18 +211,19 @@ def sample_two_stage(df: DataFrame, k: int, n: int, seed: int, *, cls: str = "cl
 
 
 def class_quota(df: DataFrame, frac: float, cls: str = "class") -> DataFrame:
-    """Rows to take per class: total exactly ceil(frac * n), shares by largest remainder."""
-    one = W.partitionBy(F.lit(0))  # one row per class
-    sizes = df.groupBy(cls).agg(F.count("*").alias("size")).withColumn("n", F.sum("size").over(one))
+    """Rows to take per class: total exactly ceil(frac * n), shares by largest remainder.
+
+    Rows without a class are a class of their own.
+    """
+    sizes = df.groupBy(cls).agg(F.count("*").alias("size"))
+    n = sizes.agg(F.sum("size")).scalar()
+    sizes = sizes.withColumn("n", n)
     total = F.ceil(F.round(F.lit(float(frac)) * F.col("n"), 9))
-    sizes = sizes.withColumn("total", total)
-    share = F.expr("(total * size) div n").alias("base")
-    left = F.expr("(total * size) % n").alias("left")
-    sizes = sizes.select(cls, "total", share, left)
-    rank = F.row_number().over(one.orderBy(F.desc("left"), cls))
-    spare = F.col("total") - F.sum("base").over(one)
-    sizes = sizes.select(cls, "base", rank.alias("r"), spare.alias("spare"))
-    return sizes.select(cls, (F.col("base") + (F.col("r") <= F.col("spare")).cast("long")).alias("take"))
+    sizes = sizes.withColumn("total", total).select(
+        cls, "total", F.expr("(total * size) div n").alias("base"), F.expr("-((total * size) % n)").alias("left"))
+    spare = sizes.agg(F.max("total") - F.sum("base")).scalar()
+    ranked = ordered_prefix(sizes, ["left", cls])
+    return ranked.select(cls, (F.col("base") + (F.col("before") < spare).cast("long")).alias("take"))
 
 
 def stratified_split(df: DataFrame, frac: float, seed: int, *, cls: str = "class", key: str = "key",
@@ -241,7 +248,4 @@ def disjoint_slices(units: DataFrame, order: str, size: int, n_slices: int) -> D
     found = first.count()
     if found < size * n_slices:
         raise ValueError(f"{found} units are too few for {n_slices} slices of {size}")
-    rn = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1  # size * n_slices rows
-    return first.withColumn("slice", F.floor(rn / size))
-
-
+    return ordered_prefix(first, [order]).withColumn("slice", F.floor(F.col("before") / size)).drop("before")

@@ -25,16 +25,16 @@ def per_class_accuracy(preds: DataFrame, names: DataFrame | None = None,
 def eval_summary(preds: DataFrame, ends: int = 5) -> DataFrame:
     """One row: overall, macro and median class accuracy, weak classes, worst and best ones."""
     per = per_class_accuracy(preds)
-    ordered = F.array_sort(F.collect_list(F.struct("accuracy", "label")))
     out = per.agg(
         (F.sum(F.col("accuracy") * F.col("n_val")) / F.sum("n_val")).alias("overall_accuracy"),
         F.avg("accuracy").alias("macro_accuracy"), F.median("accuracy").alias("median_class_accuracy"),
-        F.count_if(F.col("accuracy") < 0.5).alias("n_classes_below_50pct"),
-        F.sum("n_val").alias("n_val"), ordered.alias("o"))
-    return out.select(
-        "overall_accuracy", "macro_accuracy", "median_class_accuracy", "n_classes_below_50pct", "n_val",
-        F.slice("o", 1, ends).alias("worst"),
-        F.slice("o", F.greatest(F.size("o") - (ends - 1), F.lit(1)), ends).alias("best"))
+        F.count_if(F.col("accuracy") < 0.5).alias("n_classes_below_50pct"), F.sum("n_val").alias("n_val"))
+
+    def end(name: str, *order) -> DataFrame:
+        rows = per.orderBy(*order).limit(ends)  # `ends` rows
+        return rows.agg(F.array_sort(F.collect_list(F.struct("accuracy", "label"))).alias(name))
+
+    return out.crossJoin(end("worst", "accuracy", "label")).crossJoin(end("best", F.desc("accuracy"), F.desc("label")))
 
 
 def balanced_accuracy(preds: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from motionframe.functions.columns import nan_mean
 from motionframe.operators import presence as pr
 from motionframe.operators.series import KEY, SEGMENT_FRAMES
-from motionframe.plans.ranking import exact_quantiles, ordered_prefix
+from motionframe.plans.ranking import attach, exact_quantiles, ordered_prefix
 from motionframe.session import materialize
 
 # Default weights of the composite, and the metric behind each one.
@@ -126,17 +126,27 @@ def zscore_composite(df: DataFrame, weights: Mapping[str, float] | None = None,
 
 def pick_extremes(frames: DataFrame, n_worst: int = 80, n_best: int = 10,
                   n_median: int = 10) -> DataFrame:
-    """Worst, best and middle frames in the order (quality, entity, frame)."""
-    frames = materialize(frames)
-    n = frames.agg(F.count("*")).scalar()
-    ranked = ordered_prefix(frames, ["quality", "entity_id", "frame"]).withColumn("n", n)
-    pos, mid = F.col("before"), F.floor(F.col("n") / 2)
-    kinds = F.array_compact(F.array(
-        F.when(pos < n_worst, F.lit("worst")),
-        F.when(pos >= F.col("n") - n_best, F.lit("best")),
-        F.when((pos >= mid - n_median // 2) & (pos < mid + (n_median + 1) // 2), F.lit("median"))))
-    return ranked.select(F.explode(kinds).alias("kind"), pos.alias("position"), "quality",
-                         "entity_id", "frame")
+    """Worst, best and middle frames in the order (quality, entity, frame).
+
+    The ends are limits. For the middle, counts per quality tell which values stand
+    there, and only frames of these are put in order.
+    """
+    order = ["quality", "entity_id", "frame"]
+    frames = materialize(frames.select(*order))  # read four times below
+    n = frames.count()
+    worst = ordered_prefix(frames.orderBy(*order).limit(n_worst), order)
+    best = ordered_prefix(frames.orderBy(*[F.desc(c) for c in order]).limit(n_best), order)
+    start, stop = max(0, n // 2 - n_median // 2), n // 2 + (n_median + 1) // 2
+    values = ordered_prefix(frames.groupBy("quality").agg(F.count("*").alias("c")), ["quality"], "c")
+    values = values.where((F.col("before") < stop) & (F.col("before") + F.col("c") > start))
+    near = attach(frames, values, ["quality"], [], "left_semi")
+    ahead = F.coalesce(values.agg(F.min("before")).scalar(), F.lit(0))
+    middle = ordered_prefix(near, order).withColumn("before", F.col("before") + ahead).where(
+        (F.col("before") >= start) & (F.col("before") < stop))
+    best = best.withColumn("before", F.col("before") + max(0, n - n_best))
+    parts = [rows.select(F.lit(kind).alias("kind"), F.col("before").alias("position"), *order)
+             for kind, rows in (("worst", worst), ("best", best), ("median", middle))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def config_scores(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from motionframe.functions.columns import digamma
-from motionframe.plans.ranking import exact_quantiles, group_ranks, running_weight, spearman
+from motionframe.plans.ranking import ROWS_PER_PART, exact_quantiles, group_ranks, running_weight, spearman
 
 
 def paired_compare(df: DataFrame, unit: str, treatment: str, a: str, b: str,
@@ -92,26 +92,21 @@ def f_ratio(desc: DataFrame, class_sizes: DataFrame | None = None) -> DataFrame:
     v = F.coalesce(F.col("value"), F.lit(0.0))
     cells = desc.groupBy("row", "descriptor", "class").agg(
         F.count("*").alias("c"), F.avg(v).alias("m"), F.var_pop(v).alias("v"))
-    # every feature meets every class, so a class without rows of a feature is all zeros
-    by_feature = cells.groupBy("row", "descriptor").agg(F.collect_list(
-        F.struct("class", "c", "m", "v")).alias("cells"))
-    all_sizes = sizes.agg(F.collect_list(F.struct("class", "size")).alias("sizes")).scalar()
-    full = by_feature.select("row", "descriptor", "cells", F.explode(all_sizes).alias("s"))
-    full = full.select("row", "descriptor", F.col("s.size").alias("n"),
-                       F.try_element_at(F.filter("cells", lambda x: x["class"] == F.col("s.class")),
-                                        F.lit(1)).alias("cell"))
-    c, m, var = (F.coalesce(F.col(f"cell.{x}").cast("double"), F.lit(0.0)) for x in ("c", "m", "v"))
-    n = F.col("n")
-    full = full.select("row", "descriptor", "n", (c * m / n).alias("mean"),
-                       (c * var + c * (n - c) / n * m * m).alias("m2"))
-    w = W.partitionBy("row", "descriptor")
-    grand = F.sum(n * F.col("mean")).over(w) / F.sum(n).over(w)
-    full = full.withColumn("dev", F.col("mean") - grand)
-    agg = full.groupBy("row", "descriptor").agg(
-        F.sum(n * F.col("dev") * F.col("dev")).alias("ssb"), F.sum("m2").alias("ssw"),
-        F.count("*").alias("k"), F.sum("n").alias("total"))
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("total") - F.col("k")))
-    ok = (F.col("ssw") > 0) & (F.col("k") > 1) & (F.col("total") > F.col("k"))
+    cells = cells.join(sizes.select("class", F.col("size").cast("double").alias("n")), "class")
+    total = sizes.agg(F.struct(F.sum("size").cast("double").alias("n"), F.count("*").alias("k"))).scalar()
+    # absent values of a class that has some are zeros
+    c, m, var, n = (F.col(x) for x in ("c", "m", "v", "n"))
+    cells = cells.select("row", "descriptor", "n", (c * m / n).alias("mean"), (c * var + c * (n - c) / n * m * m).alias("m2"))
+    # a class without any is all zeros: it adds its size times the squared grand mean
+    dev = F.col("mean") - F.col("grand")
+    grand = cells.groupBy("row", "descriptor").agg((F.sum(F.col("n") * F.col("mean"))).alias("sum"))
+    grand = grand.select("row", "descriptor", (F.col("sum") / total["n"]).alias("grand"))
+    agg = cells.join(grand, ["row", "descriptor"]).groupBy("row", "descriptor").agg(
+        F.sum(F.col("n") * dev * dev).alias("ssb"), F.sum("m2").alias("ssw"), F.sum("n").alias("present"),
+        F.max("grand").alias("grand"))
+    ssb = F.col("ssb") + (total["n"] - F.col("present")) * F.col("grand") * F.col("grand")
+    f = (ssb / (total["k"] - 1)) / (F.col("ssw") / (total["n"] - total["k"]))
+    ok = (F.col("ssw") > 0) & (total["k"] > 1) & (total["n"] > total["k"])
     return agg.select("row", "descriptor", F.when(ok, f).otherwise(F.lit(0.0)).alias("f"))
 
 
@@ -171,7 +166,7 @@ def external_validation(recall: DataFrame, accuracy: DataFrame, on: str = "class
     return spearman(recall.join(accuracy, on), "recall", "accuracy")
 
 
-def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 65_536) -> DataFrame:
+def mutual_info_knn(desc: DataFrame, k: int = 3, *, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Mutual information of each feature with the class by nearest neighbours.
 
     For a point with its k-th neighbour inside the class at distance r, m counts the
@@ -181,7 +176,7 @@ def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 65_536) -> Data
     """
     feature = ["row", "descriptor"]
     d = desc.select(*feature, "entity_id", "class", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
-    ranked = group_ranks(d, [*feature, "class"], "value", ["entity_id"], large=large).where("n > 1")
+    ranked = group_ranks(d, [*feature, "class"], "value", ["entity_id"], rows_per_part=rows_per_part).where("n > 1")
     # each point also appears in the blocks that need it as a neighbour
     block = 4096
     rows = ranked.selectExpr(
@@ -207,7 +202,8 @@ def mutual_info_knn(desc: DataFrame, k: int = 3, *, large: int = 65_536) -> Data
                        F.when(closed, 0).otherwise(2).alias("turn"), F.lit(-1).alias("sign"))
     highs = rows.select(*side, high.alias("at"), F.lit(0).alias("w"),
                         F.when(closed, 2).otherwise(0).alias("turn"), F.lit(1).alias("sign"))
-    line = running_weight(points.unionByName(lows).unionByName(highs), feature, "at", "turn", "w", large=large)
+    line = running_weight(points.unionByName(lows).unionByName(highs), feature, "at", "turn", "w", ["entity_id"],
+                          rows_per_part=rows_per_part)
     m = line.groupBy(*side).agg(F.sum(F.col("sign") * F.col("upto")).alias("m"))
     kk = F.least(F.lit(k), F.col("size") - 1)
     own = rows.groupBy(*feature).agg(

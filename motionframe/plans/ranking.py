@@ -1,8 +1,10 @@
 """Exact ranks, prefix sums and quantiles without ever sorting one group in one task.
 
-Rows are put into ordered buckets first: equi-depth ones, from approximate
-percentiles or from a bounded sample of keys. Buckets only balance the work. Ranks
-are exact because each bucket adds the full count of the buckets before it.
+Rows are written once in the global order of their keys: a range exchange, then a sort
+within each partition. Keys include ties, so a group and even one of its values may
+span partitions. How many rows and how much weight a group has in each partition is a
+small table; its prefix sums turn positions in a partition into exact ranks. The number
+of partitions follows the number of rows. NULLs come first.
 """
 
 from __future__ import annotations
@@ -11,97 +13,94 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-FAN = 16                  # a bucket is found in two steps of FAN comparisons
-FINE_BUCKETS = FAN * FAN  # buckets of a large group
-LARGE_GROUP = 65_536      # rows from which a group is cut into buckets
-SAMPLE_PER_SPLIT = 20     # sampled keys per bucket boundary
+from motionframe.session import materialize
 
+ROWS_PER_PART = 1_000_000  # rows that one task sorts
 
-def _splits(value: str) -> Column:
-    probs = ", ".join(f"{i / FINE_BUCKETS}D" for i in range(1, FINE_BUCKETS))
-    return F.expr(f"percentile_approx(`{value}`, array({probs}), 2000)")
+_ROW_BITS = 33  # a row's place within its partition, in the ids Spark gives
 
 
-def _bucket(value: str) -> Column:
-    """Number of splits below the value: first among every FAN-th split, then within."""
-    below = f"s -> s < `{value}`"
-    return F.expr(f"""CASE WHEN splits IS NULL THEN 0 ELSE
-        {FAN} * size(filter(coarse, {below}))
-        + size(filter(slice(splits, {FAN} * size(filter(coarse, {below})) + 1, {FAN - 1}), {below})) END""")
+def in_order(df: DataFrame, order: Sequence[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Rows in global order with `part` and `pos`, their partition and place in it; written once."""
+    df = materialize(df)
+    parts = max(1, -(-df.count() // rows_per_part))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("at", F.monotonically_increasing_id()))
+    place = F.col("at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return rows.select(*df.columns, F.shiftright("at", _ROW_BITS).alias("part"), place.alias("pos"))
 
 
-def _with_buckets(df: DataFrame, group: Sequence[str], value: str, weight: Column,
-                  large: int) -> DataFrame:
-    """Adds `bucket` and, per group, the total weight `n`."""
-    keep = F.when(F.count("*") > large, _splits(value))
-    stats = df.groupBy(*group).agg(F.sum(weight).alias("n"), keep.alias("splits"))
-    coarse = f"transform(sequence({FAN}, {FINE_BUCKETS - FAN}, {FAN}), i -> element_at(splits, i))"
-    stats = stats.selectExpr("*", f"CASE WHEN splits IS NOT NULL THEN {coarse} END AS coarse")
-    if group:
-        df = df.join(stats, list(group))
-    else:  # one row: a scalar subquery, not a join
-        one = stats.select(F.struct("n", "splits", "coarse").alias("s")).scalar()
-        df = df.withColumn("s", one).select(*df.columns, "s.n", "s.splits", "s.coarse")
-    return df.withColumn("bucket", _bucket(value)).drop("splits", "coarse")
+def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Adds columns of a table with one row per key; keys may be NULL, and there may be none."""
+    table = table.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *cols)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(table, cond, how).select(*rows.columns, *(cols if how != "left_semi" else []))
 
 
-def _bucket_starts(rows: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Weight before each bucket of its group; at most FINE_BUCKETS rows per group."""
-    parts = rows.groupBy(*group, "bucket").agg(F.sum(weight).alias("bucket_weight"))
-    earlier = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy(
-        "bucket").rowsBetween(W.unboundedPreceding, -1)
-    return parts.withColumn("before", F.coalesce(F.sum("bucket_weight").over(earlier), F.lit(0)))
+def _group_parts(rows: DataFrame, group: Sequence[str], weight: str | None) -> DataFrame:
+    """Per group and partition: `first` place, `size`, the weight `ahead` in earlier partitions, the group's `n`."""
+    size = F.sum(weight) if weight else F.count("*")
+    parts = rows.groupBy(*group, "part").agg(size.alias("size"), F.min("pos").alias("first"))
+    own = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))  # one row per partition that holds the group
+    before = own.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return parts.withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn(
+        "n", F.sum("size").over(own))
+
+
+def _before(rows: DataFrame, group: Sequence[str], weight: str) -> DataFrame:
+    """Adds `before`, the weight of the group's rows ahead of each row, and the group's `n`."""
+    local = W.partitionBy("part", *group).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    parts = _group_parts(rows, group, weight)
+    rows = rows.withColumn("local", F.coalesce(F.sum(weight).over(local), F.lit(0)))
+    return attach(rows, parts, [*group, "part"], ["ahead", "n"]).withColumn("before", F.col("ahead") + F.col("local")).drop(
+        "ahead", "local")
 
 
 def group_ranks(df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str] = (), *,
-                large: int = LARGE_GROUP) -> DataFrame:
+                rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Adds `rn`, the 1-based row number by (value, ties) in the group, and its size `n`."""
-    rows = _with_buckets(df, group, value, F.lit(1), large)
-    starts = _bucket_starts(rows, group, F.lit(1)).drop("bucket_weight")
-    local = F.row_number().over(W.partitionBy(*group, "bucket").orderBy(value, *ties))
-    rows = rows.withColumn("rn", local).join(starts, [*group, "bucket"])
-    return rows.withColumn("rn", F.col("rn") + F.col("before")).drop("before", "bucket")
-
-
-def running_weight(df: DataFrame, group: Sequence[str], value: str, turn: str, weight: str, *,
-                   large: int = LARGE_GROUP) -> DataFrame:
-    """Adds `upto`, the weight of the group's rows up to each row in the order (value, turn)."""
-    rows = _with_buckets(df, group, value, F.col(weight), large)
-    starts = _bucket_starts(rows, group, F.col(weight)).drop("bucket_weight")
-    local = F.sum(weight).over(W.partitionBy(*group, "bucket").orderBy(value, turn).rowsBetween(
-        W.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", local).join(starts, [*group, "bucket"])
-    return rows.withColumn("upto", F.col("upto") + F.col("before")).drop("before", "bucket", "n")
-
-
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
-                    probs: Mapping[str, float], *, large: int = LARGE_GROUP) -> DataFrame:
+    rows = in_order(df, [*group, value, *ties], rows_per_part)
+    parts = _group_parts(rows, group, None)
+    out = attach(rows, parts, [*group, "part"], ["first", "ahead", "n"])
+    return out.withColumn("rn", F.col("ahead") + F.col("pos") - F.col("first") + 1).drop("first", "ahead", "part", "pos")
+
+
+def running_weight(df: DataFrame, group: Sequence[str], value: str, turn: str, weight: str, ties: Sequence[str] = (), *,
+                   rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Adds `upto`, the weight of the group's rows up to each row in the order (value, turn, ties)."""
+    rows = _before(in_order(df, [*group, value, turn, *ties], rows_per_part), group, weight)
+    return rows.withColumn("upto", F.col("before") + F.col(weight)).drop("before", "n", "part", "pos")
+
+
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float], *,
+                    rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for groups of any size.
 
-    Equal values are counted first; then only buckets that hold a wanted rank are
-    sorted. NULL values are ignored; a group without values gives no row.
+    Equal values are counted first; then only partitions that hold a wanted rank are
+    looked into. NULL values are ignored; a group without values gives no row.
     """
-    pre = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    rows = _with_buckets(pre, group, value, F.col("c"), large)
-    starts = _bucket_starts(rows, group, F.col("c"))
-    rows = rows.join(starts, [*group, "bucket"])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
+    rows = in_order(counts, [*group, value], rows_per_part)
+    parts = _group_parts(rows, group, "c")
 
-    def rank(p: float, fn) -> Column:
-        return fn(F.lit(float(p)) * (F.col("n") - 1))
+    def rank(p: float, fn, n: Column) -> Column:
+        return fn(F.lit(float(p)) * (n - 1))
 
     wanted = F.lit(False)
     for p in probs.values():
         for fn in (F.floor, F.ceil):
-            wanted = wanted | ((rank(p, fn) >= F.col("before"))
-                               & (rank(p, fn) < F.col("before") + F.col("bucket_weight")))
-    rows = rows.where(wanted)
-    upto = F.sum("c").over(W.partitionBy(*group, "bucket").orderBy(value).rowsBetween(
-        W.unboundedPreceding, 0))
-    rows = rows.withColumn("stop", F.col("before") + upto)
+            at = rank(p, fn, F.col("n"))
+            wanted = wanted | ((at >= F.col("ahead")) & (at < F.col("ahead") + F.col("size")))
+    rows = attach(rows, parts.where(wanted), [*group, "part"], ["ahead", "n"])
+    local = W.partitionBy("part", *group).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("stop", F.col("ahead") + F.sum("c").over(local))
     start = F.col("stop") - F.col("c")
 
     def at(p: float, fn) -> Column:
-        return F.max(F.when((rank(p, fn) >= start) & (rank(p, fn) < F.col("stop")), F.col(value)))
+        r = rank(p, fn, F.col("n"))
+        return F.max(F.when((r >= start) & (r < F.col("stop")), F.col(value)))
 
     aggs = [F.max("n").alias("n")]
     for name, p in probs.items():
@@ -109,57 +108,30 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     out = rows.groupBy(*group).agg(*aggs)
     return out.select(*group, *[
         (F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo"))
-         * (rank(p, lambda c: c) - rank(p, F.floor))).alias(name) for name, p in probs.items()])
-
-
-def _split_tree(key: Column, splits: list[Column], lo: int, hi: int) -> Column:
-    """Number of splits not above the key, as a balanced tree of comparisons."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < splits[mid], _split_tree(key, splits, lo, mid)).otherwise(
-        _split_tree(key, splits, mid + 1, hi))
+         * (rank(p, lambda c: c, F.col("n")) - rank(p, F.floor, F.col("n")))).alias(name) for name, p in probs.items()])
 
 
 def ordered_prefix(df: DataFrame, order: Sequence[str], weight: str | None = None, *,
-                   buckets: int | None = None) -> DataFrame:
-    """Adds `before`, the total weight (or row count) ahead of each row in a global order.
+                   rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Adds `before`, the total weight (or row count) ahead of each row in a global order."""
+    rows = in_order(df, order, rows_per_part)
+    if weight:
+        return _before(rows, [], weight).drop("n", "part", "pos").withColumn("before", F.col("before").cast("long"))
+    parts = _group_parts(rows, [], None)
+    out = attach(rows, parts, ["part"], ["ahead"])
+    return out.withColumn("before", (F.col("ahead") + F.col("pos")).cast("long")).drop("ahead", "part", "pos")
 
-    `order` must be a unique key. Bucket boundaries come from a bounded sample of keys.
-    """
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = (df.select(*order).orderBy(F.xxhash64(*order), *order)
-              .limit(buckets * SAMPLE_PER_SPLIT).collect())
-    keys = sorted(tuple(r) for r in sample)
-    cuts = keys[len(keys) // buckets::max(1, len(keys) // buckets)] if len(keys) > buckets else []
-    types = {f.name: f.dataType for f in df.schema.fields}
-    literals = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
-    key = F.struct(*[F.col(c) for c in order])
-    w = F.col(weight) if weight else F.lit(1)
-    rows = df.withColumn("bucket", _split_tree(key, literals, 0, len(literals)))
-    # one row per bucket, so this side is always small
-    starts = F.broadcast(_bucket_starts(rows, [], w).select("bucket", F.col("before").alias("ahead")))
-    earlier = W.partitionBy("bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(w).over(earlier), F.lit(0))).join(starts, "bucket")
-    return rows.withColumn("before", (F.col("before") + F.col("ahead")).cast("long")).drop("ahead", "bucket")
-
-
-def spearman(df: DataFrame, a: str, b: str, *, large: int = LARGE_GROUP) -> DataFrame:
+
+def spearman(df: DataFrame, a: str, b: str, *, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Rank correlation with average ranks for ties; rows with a NULL in either are dropped."""
-    pairs = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-             .groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-             .agg(F.count("*").alias("w")))
+    pairs = materialize(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                        .groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+                        .agg(F.count("*").alias("w")))
 
     def ranks(c: str) -> DataFrame:
-        totals = pairs.groupBy(c).agg(F.sum("w").alias("c"))
-        rows = _with_buckets(totals, [], c, F.col("c"), large)
-        starts = _bucket_starts(rows, [], F.col("c")).select("bucket", "before")
-        earlier = W.partitionBy("bucket").orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-        rows = rows.withColumn("ahead", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        rows = rows.join(F.broadcast(starts), "bucket")  # one row per bucket
-        mid = F.col("before") + F.col("ahead") + (F.col("c") + 1) / 2 - (F.col("n") + 1) / 2
+        totals = in_order(pairs.groupBy(c).agg(F.sum("w").alias("c")), [c], rows_per_part)
+        rows = _before(totals, [], "c")
+        mid = F.col("before") + (F.col("c") + 1) / 2 - (F.col("n") + 1) / 2
         return rows.select(c, mid.alias(f"r{c}"))
 
     joined = pairs.join(ranks("a"), "a").join(ranks("b"), "b")

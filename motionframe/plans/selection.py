@@ -7,39 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from motionframe.functions.columns import hash_order
+from motionframe.plans.ranking import attach
 
 PREFIX = 3  # hex digits: 4096 even buckets per group
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows without replacement; the same rows for any partitioning."""
-    return df.orderBy(hash_order(seed, key), key).limit(n)
+    """n rows without replacement; the same rows for any partitioning, left where they are."""
+    quota = df.sparkSession.range(1).select(F.lit(n).alias("take"))
+    return mark_first(df, [], quota, seed, key).where("selected").drop("selected")
 
 
 def mark_first(df: DataFrame, group: Sequence[str], quota: DataFrame, seed: int, key: str,
                out: str = "selected") -> DataFrame:
-    """Marks the first `quota` rows of every group in hash order.
+    """Marks the first `quota` rows of every group in hash order; a NULL group is a group.
 
     `quota` has the group columns and `take`. Counting hash prefixes finds the bucket
     where a group's quota ends; only that bucket is ranked, which gives the last hash
     to take. The rows themselves are then compared with it and never sorted.
     """
+    group = list(group)
     rows = df.withColumn("h", hash_order(seed, key))
     bucket = F.substring("h", 1, PREFIX)
     counts = rows.groupBy(*group, bucket.alias("hb")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*group).orderBy("hb").rowsBetween(W.unboundedPreceding, 0))
-    edge = (counts.withColumn("upto", upto).join(quota, list(group))
-            .where((F.col("upto") - F.col("c") < F.col("take")) & (F.col("take") <= F.col("upto")))
-            .select(*group, "hb", (F.col("take") - F.col("upto") + F.col("c")).alias("left_over")))
-    ranked = (rows.select(*group, key, "h", bucket.alias("hb")).join(edge, [*group, "hb"])
-              .withColumn("rn", F.row_number().over(W.partitionBy(*group, "hb").orderBy("h", key)))
+    own = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))  # one row per hash prefix
+    counts = counts.withColumn("upto", F.sum("c").over(own.orderBy("hb").rowsBetween(W.unboundedPreceding, 0)))
+    reach = attach(counts, quota, group, ["take"])
+    edge = reach.where((F.col("upto") - F.col("c") < F.col("take")) & (F.col("take") <= F.col("upto"))).select(
+        *group, "hb", (F.col("take") - F.col("upto") + F.col("c")).alias("left_over"))
+    near = rows.select(*group, key, "h", bucket.alias("hb"))
+    near = attach(near, edge, [*group, "hb"], ["left_over"])
+    ranked = (near.withColumn("rn", F.row_number().over(W.partitionBy(*group, "hb").orderBy("h", key)))
               .where(F.col("rn") == F.col("left_over"))
-              .select(*group, F.struct(F.col("h"), F.col(key).alias("k")).alias("cutoff")))
+              .select(*group, F.struct(F.col("h"), F.col(key).alias("k")).alias("cutoff"), F.lit(False).alias("all_rows")))
     # a quota of the whole group or more has no edge bucket beyond the last one
-    whole = (counts.groupBy(*group).agg(F.sum("c").alias("size")).join(quota, list(group))
-             .where(F.col("take") >= F.col("size")).select(*group, F.lit(True).alias("all_rows")))
-    limits = ranked.join(whole, list(group), "full_outer")
-    joined = rows.join(limits, list(group), "left")
-    inside = F.coalesce(F.col("all_rows"),
-                        F.struct(F.col("h"), F.col(key).alias("k")) <= F.col("cutoff"), F.lit(False))
+    sizes = counts.groupBy(*group).agg(F.sum("c").alias("size"))
+    whole = attach(sizes, quota, group, ["take"]).where(F.col("take") >= F.col("size")).select(
+        *group, F.lit(None).cast(ranked.schema["cutoff"].dataType).alias("cutoff"), F.lit(True).alias("all_rows"))
+    limits = ranked.unionByName(whole).groupBy(*group).agg(
+        F.max("cutoff").alias("cutoff"), F.max("all_rows").alias("all_rows"))
+    joined = attach(rows, limits, group, ["cutoff", "all_rows"], "left")
+    inside = F.coalesce(F.col("all_rows"), F.lit(False)) | F.coalesce(
+        F.struct(F.col("h"), F.col(key).alias("k")) <= F.col("cutoff"), F.lit(False))
     return joined.select(*df.columns, inside.alias(out))
