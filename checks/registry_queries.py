@@ -8,6 +8,7 @@ from checks import fixtures as fx
 from checks.fixtures import rounded, sql, sql_round as rd
 from checks.registry import query
 from motionframe import schemas
+from motionframe.functions.columns import clip_seconds, epoch_seconds, iso_timestamp
 from motionframe.operators import operations as op, registry as rg
 from motionframe.operators.checks import Expect
 from motionframe.session import scratch_dir
@@ -20,7 +21,7 @@ RUN_COLS = "run_id, dataset, architecture, subset, train_val_acc, eval_status, o
     ORDER BY accuracy DESC, run_id LIMIT 200""", "runs"))
 def query_runs(spark, sf):
     return rg.query_runs(fx.runs(spark, sf), "metrics.eval_status = 'pending' AND subset = 'ME_126'",
-                         "accuracy DESC, run_id", 200)
+                         [F.desc("accuracy"), "run_id"], 200)
 
 
 @query("f1_leaderboard", sql(f"SELECT {RUN_COLS} FROM runs WHERE dataset = 'F'", "runs"))
@@ -93,12 +94,16 @@ def _with_assets(df, log, extra):
     CASE WHEN n IS NULL OR (o IS NOT NULL AND coalesce(tested, false)) THEN tested ELSE false END AS tested,
     CASE WHEN n IS NULL OR (o IS NOT NULL AND coalesce(tested, false)) THEN platform END AS platform,
     CASE WHEN n IS NULL THEN notes WHEN run_id % 2 = 0 THEN CASE WHEN o IS NULL THEN '' ELSE notes END ELSE 'new' END AS notes,
+    CASE WHEN o IS NOT NULL THEN 'kept ' || r END AS legacy, CASE WHEN o IS NOT NULL THEN run_id END AS old_metric,
     CASE WHEN n IS NULL THEN 'log=a' || r || ',old=v' WHEN o IS NULL THEN 'log=b' || r || ',new=v' ELSE 'log=b' || r || ',new=v,old=v' END AS assets
   FROM (SELECT *, eval_status AS old_status, CAST(run_id AS VARCHAR) AS r, CASE WHEN run_id % 5 <> 1 THEN 1 END AS o,
                CASE WHEN run_id % 5 <> 2 THEN 1 END AS n FROM runs)""", "runs"))
 def upsert_protected(spark, sf):
     r = fx.runs(spark, sf)
     old = _with_assets(r.where("run_id % 5 <> 1"), "a", "old")
+    # fields that only the old records have
+    old = old.withColumn("legacy", F.concat(F.lit("kept "), F.col("run_id").cast("string"))).withColumn(
+        "metrics", F.col("metrics").withField("old_metric", F.col("run_id")))
     new = _with_assets(r.where("run_id % 5 <> 2"), "b", "new")
     new = new.withColumn("metrics", F.struct(F.lit(0.5).alias("overall_accuracy"), F.lit(0.25).alias("train_val_acc"),
                                              F.lit("provisional").alias("eval_status")))
@@ -110,16 +115,39 @@ def upsert_protected(spark, sf):
     rank = F.transform(entries, lambda e: F.struct(
         F.when(e.startswith("log"), 0).when(e.startswith("new"), 1).otherwise(2).alias("r"), e.alias("e")))
     return m.select("run_id", "metrics.eval_status", "metrics.overall_accuracy", "metrics.train_val_acc",
-                    "submission.tested", "submission.platform", "notes",
+                    "submission.tested", "submission.platform", "notes", "legacy", "metrics.old_metric",
                     F.array_join(F.transform(F.array_sort(rank), lambda s: s["e"]), ",").alias("assets"))
 
 
 @query("c10_mark_done", sql("""SELECT run_id, CASE WHEN run_id % 8 = 1 THEN true ELSE tested END AS tested,
-    CASE WHEN run_id % 8 = 1 THEN 'remote' ELSE platform END AS platform FROM runs""", "runs"))
+    CASE WHEN run_id % 8 = 1 AND NOT coalesce(tested, false) THEN 'remote' ELSE platform END AS platform,
+    run_id % 8 = 1 AND NOT coalesce(tested, false) AS stamped FROM runs""", "runs"))
 def mark_done(spark, sf):
-    r = fx.runs(spark, sf)
+    r = fx.runs(spark, sf).withColumn("submission", F.when(F.col("submission").isNotNull(), F.col("submission").withField(
+        "submitted_at", F.lit(None).cast("string"))))
     u = r.where("run_id % 8 = 1").select("run_id", F.lit("remote").alias("platform"))
-    return rg.mark_done(r, u).select("run_id", "submission.tested", "submission.platform")
+    return rg.mark_done(r, u).select("run_id", "submission.tested", "submission.platform",
+                                     F.col("submission.submitted_at").isNotNull().alias("stamped"))
+
+
+@query("f_compare_runs", sql("""SELECT run_id, subset, CASE WHEN run_id % 3 = 0 THEN 'xy' ELSE 'xyz' END AS coords,
+    CAST(run_id % 543 AS BIGINT) AS n_landmarks, run_id * 10 AS n_params, CAST(run_id % 90 AS BIGINT) AS epochs,
+    run_id % 9 <> 0 AS finished, run_id % 4 = 1 AS early_stopped, train_val_acc, eval_status, overall_accuracy FROM runs""", "runs"))
+def compare_runs(spark, sf):
+    k = F.col("run_id")
+    r = fx.runs(spark, sf).withColumns({
+        "coords": F.when(k % 3 == 0, "xy").otherwise("xyz"), "n_landmarks": (k % 543).cast("long"), "n_params": k * 10,
+        "training": F.struct((k % 90).cast("long").alias("epochs_trained"), (k % 9 != 0).alias("finished"),
+                             (k % 4 == 1).alias("early_stopped"))})
+    return rg.compare_runs(r)
+
+
+@query("s_times", sql("""SELECT o_orderkey AS run_id, strftime(make_timestamp((1784400000 + o_orderkey) * 1000000), '%Y-%m-%dT%H:%M:%S') AS created,
+    CASE WHEN o_custkey % 4 > 0 THEN CAST(o_custkey AS DOUBLE) / (o_custkey % 4 * 15) END AS seconds FROM orders"""))
+def times(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("run_id"), iso_timestamp(epoch_seconds(F.col("o_orderkey") + 1784400000)).alias("created"),
+                    clip_seconds("o_custkey", F.col("o_custkey") % 4 * 15).alias("seconds"))
 
 
 @query("f5_operating_point", sql("""SELECT * FROM pilot ORDER BY (cpu_mean_pct <= 75) DESC, videos_per_s DESC, trial LIMIT 1""", "pilot"))
@@ -174,13 +202,16 @@ def read_runs(spark, sf):
                     "metrics.eval_status", "submission.tested", "submission.platform", "schema_version")
 
 
-@query("a7_read_history", sql(f"SELECT run_id, epoch, {rd('train_acc')} AS train_acc, {rd('val_acc')} AS val_acc FROM hist", "hist"))
+@query("a7_read_history", sql(f"SELECT run_id, CAST(epoch AS INTEGER) AS epoch, {rd('train_acc')} AS train_acc, {rd('val_acc')} AS val_acc FROM hist", "hist"))
 def read_history(spark, sf):
     h = fx.hist(spark, sf).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "train_acc", "val_acc"))).alias("e"))
     none = F.transform("e", lambda x: F.lit(None).cast("double"))
-    docs = h.select("run_id", none.alias("train_loss"), F.col("e.train_acc").alias("train_acc"), none.alias("val_loss"),
-                    F.col("e.val_acc").alias("val_acc"), none.alias("lr"))
-    return rounded(rs.history_rows(docs).select("run_id", "epoch", "train_acc", "val_acc"))
+    # one folder per run, below a folder whose name is a number too
+    root = f"{scratch_dir(spark, 'history')}/2024"
+    docs = h.select("run_id", F.to_json(F.struct(none.alias("train_loss"), F.col("e.train_acc").alias("train_acc"),
+                                                 F.col("e.val_acc").alias("val_acc"))).alias("value"))
+    docs.repartition("run_id").write.partitionBy("run_id").text(root)
+    return rounded(rs.read_history(spark, f"{root}/*/part-*", multiline=False).select("run_id", "epoch", "train_acc", "val_acc"))
 
 
 @query("a8_write_dataset", sql("SELECT class, entity_id, path FROM catalog WHERE class <> 'c0' UNION ALL SELECT class, entity_id, 'again' FROM catalog WHERE class = 'c0'", "catalog"))

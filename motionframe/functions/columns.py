@@ -27,6 +27,26 @@ def normalize_path(c) -> Column:
     return F.regexp_replace(F.replace(_col(c), F.lit("\\"), F.lit("/")), r"^file:/+", "/")
 
 
+def decoded_path(c) -> Column:
+    """File paths of Spark's metadata column are percent-encoded; a plus sign there is a plus sign."""
+    return F.url_decode(F.replace(_col(c), F.lit("+"), F.lit("%2B")))
+
+
+def epoch_seconds(c) -> Column:
+    """Timestamp of seconds since 1970, as run ids are."""
+    return F.timestamp_seconds(_col(c))
+
+
+def iso_timestamp(c) -> Column:
+    """A timestamp as ISO 8601 text to the second, in the session's time zone."""
+    return F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def clip_seconds(n_frames, fps) -> Column:
+    """Length of a clip; NULL without a frame rate."""
+    return safe_ratio(_col(n_frames).cast("double"), fps)
+
+
 def path_stem(c) -> Column:
     """File name without its directory and last extension."""
     return F.regexp_replace(F.element_at(F.split(_col(c), "/"), -1), r"\.[^.]*$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from motionframe import schemas
-from motionframe.functions.columns import normalize_path
+from motionframe.functions.columns import decoded_path, normalize_path
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
@@ -27,15 +27,19 @@ def read_runs(spark: SparkSession, glob: str, schema: StructType = schemas.RUN,
 
 
 def read_history(spark: SparkSession, glob: str, *, multiline: bool = True) -> DataFrame:
-    """Per-epoch rows from history files `<run_id>/.../history.json`."""
+    """Per-epoch rows from history files `<run_id>/.../history.json`, or `run_id=<run_id>/...`.
+
+    The last folder that is a number is the run's.
+    """
     df = spark.read.schema(schemas.HISTORY).option("multiLine", multiline).json(glob)
-    run = F.regexp_extract(normalize_path("_metadata.file_path"), r"/(\d+)/", 1).cast("long")
+    run = F.regexp_extract(normalize_path(decoded_path("_metadata.file_path")), r".*/(?:run_id=)?(\d+)/", 1).cast("long")
     return history_rows(df.select("*", run.alias("run_id")))
 
 
 def history_rows(df: DataFrame) -> DataFrame:
-    """One row per epoch (1-based) from equal-length arrays."""
+    """One row per epoch (1-based) from equal-length arrays; an absent array is NULL in every row."""
     names = schemas.HISTORY.names
+    df = df.withColumns({n: F.coalesce(n, F.array().cast("array<double>")) for n in names})
     zipped = F.posexplode(F.arrays_zip(*names)).alias("pos", "e")
     return df.select("run_id", zipped).select(
         "run_id", (F.col("pos") + 1).alias("epoch"), *[F.col(f"e.{n}").alias(n) for n in names])

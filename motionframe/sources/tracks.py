@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from motionframe import schemas
-from motionframe.functions.columns import missing_to_null, normalize_path, path_parent, path_stem
+from motionframe.functions.columns import decoded_path, missing_to_null, normalize_path, path_parent, path_stem
 
 # executors get the decoder with the task instead of importing it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,13 +36,20 @@ def read_tracks(spark: SparkSession, paths: str | Sequence[str], catalog: DataFr
     """Track rows of the given files (or globs) with their catalog columns; NaN becomes NULL."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = spark.read.schema(schema).parquet(*paths)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("file_path"))
+    rows = rows.select("*", decoded_path("_metadata.file_path").alias("file_path"))
     for c in ("x", "y", "z"):
         if c in rows.columns:
             rows = rows.withColumn(c, missing_to_null(c))
     return attach_catalog(rows, catalog)
 
 
+def unmatched_files(spark: SparkSession, paths: str | Sequence[str], catalog: DataFrame) -> DataFrame:
+    """(file_path) of track files without a catalog row, which `read_tracks` leaves out."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").load(paths).select(normalize_path("path").alias("file_path"))
+    return files.join(catalog.select(normalize_path("abs_path").alias("file_path")), "file_path", "left_anti")
+
+
 def register_track_view(spark: SparkSession, name: str, glob: str, catalog: DataFrame,
                         schema: StructType | str = schemas.TRACK_FILE) -> DataFrame:
     """SQL view of all tracks joined to the catalog."""
