@@ -338,18 +338,40 @@ def _features(spark, sf):
         F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
-@query("j3_probe_subset")
-def probe_subset(spark, sf):
-    return ln.probe_subset(_features(spark, sf), fx.DESC_SUBSETS["EVEN_8"], 4)[0]
+# What SQL can derive of a probe: sizes and the split per class. The fitted numbers are
+# tested against a plain solver.
+PROBE = """em AS (SELECT vec_id AS key, label AS class FROM embeddings),
+""" + quota_sql("pq", "em", "0.1")
 
 
-@query("j4_probe_leaderboard")
+@query("j3_probe_subset", sql(
+    """SELECT class AS label, CAST(take AS BIGINT) AS n_val, 8 AS n_channels, true AS valid FROM pq WHERE take > 0""", extra=PROBE))
+def probe_subset(spark, sf):
+    summary, per_class = ln.probe_subset(_features(spark, sf), fx.DESC_SUBSETS["EVEN_8"], 4)
+    fitted = (F.col("n_iter") > 0) & F.col("probe_acc").between(0, 1)
+    one = summary.select("n_channels", fitted.alias("fitted"))
+    return per_class.crossJoin(F.broadcast(one)).select(  # one row
+        "label", "n_val", "n_channels", (F.col("recall").between(0, 1) & F.col("fitted")).alias("valid"))
+
+
+@query("j4_probe_leaderboard", sql(
+    f"""SELECT s.subset, CAST(s.n AS INTEGER) AS n_channels, (SELECT CAST(sum(take) AS BIGINT) FROM pq) AS n_val, {rd('s.median_f')} AS median_f, true AS valid
+    FROM (SELECT m.subset, count(*) AS n, median(f.f_max) AS median_f FROM desc_membership m JOIN fm f USING (row) GROUP BY m.subset) s""",
+    "descr", "desc_membership", extra=PROBE + """,
+nn AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT class)::DOUBLE AS k FROM em),
+cl AS (SELECT row, descriptor, class, count(*)::DOUBLE AS c, avg(value) AS m, var_pop(value) AS v FROM descr GROUP BY ALL),
+gr AS (SELECT row, descriptor, avg(value) AS g FROM descr GROUP BY ALL),
+ff AS (SELECT row, descriptor, (sum(c * (m - g) * (m - g)) / (any_value(k) - 1)) / (sum(c * v) / (any_value(n) - any_value(k))) AS f
+       FROM cl JOIN gr USING (row, descriptor), nn GROUP BY row, descriptor),
+fm AS (SELECT row, max(f) AS f_max FROM ff GROUP BY row)"""))
 def probe_leaderboard(spark, sf):
     from motionframe.operators import scoring as sc
 
     f = sc.max_per_channel(sc.f_ratio(fx.desc(spark, sf)), "f", "f_max")
     med = sc.subset_median(fx.membership(spark, fx.DESC_SUBSETS), f, "f_max", "median_f")
-    return ln.probe_leaderboard(_features(spark, sf), fx.DESC_SUBSETS, 4, med)
+    board = ln.probe_leaderboard(_features(spark, sf), fx.DESC_SUBSETS, 4, med)
+    return rounded(board.select("subset", "n_channels", "n_val", "median_f",
+                                (F.col("probe_macro").between(0, 1) & F.col("probe_acc").between(0, 1)).alias("valid")))
 
 
 @query("j5_score_entities", sql(

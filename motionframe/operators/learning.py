@@ -34,23 +34,31 @@ def probe_subset(features: DataFrame, rows: Sequence[int], n_descriptors: int, *
     """Multinomial logistic probe on a subset's features with a stratified split.
 
     `features` has entity_id, class (an integer label) and the full feature array.
-    Returns (one-row summary, per-class recall).
+    Features are scaled with mean and population deviation of the training rows.
+    Returns (one-row summary, per-class recall with n_val).
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     wanted = F.array(*[F.lit(r * n_descriptors + d + 1) for r in sorted(rows) for d in range(n_descriptors)])
     picked = F.transform(wanted, lambda i: F.element_at("features", i))
-    data = features.select("entity_id", F.col("class").alias("label"), array_to_vector(picked).alias("raw"))
+    data = features.select("entity_id", F.col("class").alias("label"), picked.alias("raw"))
     data = materialize(stratified_split(data, frac, seed, cls="label", key="entity_id"))
     train = data.where("split = 'train'")
-    n_train = train.count()
-    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    # one row of as many numbers as there are features
+    stats = train.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("raw")).alias("s")).first().s
+    n_train = stats["count"]
+    mean, var = stats["mean"].toArray(), stats["variance"].toArray() * (n_train - 1) / max(1, n_train)
+    flat = var <= (abs(mean) * 1e-12) ** 2
+    scale = [1.0 if f else float(v) ** 0.5 for f, v in zip(flat, var)]
+    scaled = F.zip_with("raw", F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, scale)]),
+                        lambda x, k: (x - k["m"]) / k["s"])
+    data = data.withColumn("scaled", array_to_vector(scaled))
     model = LogisticRegression(
         featuresCol="scaled", labelCol="label", family="multinomial", regParam=1.0 / n_train,
-        maxIter=max_iter, tol=tol, standardization=False).fit(scaler.transform(train).select("label", "scaled"))
-    scored = model.transform(scaler.transform(data.where("split = 'val'")))
+        maxIter=max_iter, tol=tol, standardization=False).fit(data.where("split = 'train'").select("label", "scaled"))
+    scored = model.transform(data.where("split = 'val'"))
     per_class = materialize(scored.groupBy("label").agg(
         F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("recall"),
         F.count("*").alias("n_val")))

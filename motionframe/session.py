@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,8 @@ from pyspark.sql import SparkSession
 # cluster may set them in its defaults instead.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    # checkpoints go when the driver no longer refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,11 +38,24 @@ def build_session(app_name: str = "motionframe", master: str | None = None,
     return builder.getOrCreate()
 
 
+SHARED_FOLDER = "spark.checkpoint.dir"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder of the session; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared folder for intermediate tables, from the setting spark.checkpoint.dir.
+
+    Only a local session may go without it and gets a temporary folder: on a cluster the
+    executors would not see the driver's.
+    """
+    root = spark.conf.get(SHARED_FOLDER, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError(f"set {SHARED_FOLDER} to a folder that all executors share; {master} has none")
         root = tempfile.mkdtemp(prefix="motionframe-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(root)
+    elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
 

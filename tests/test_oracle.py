@@ -1,18 +1,17 @@
-"""A few registered queries against their SQL on the smallest tables; checks.compare runs all."""
+"""Every registered query with SQL against it on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import compare
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["e3_rms_speed", "d7_detection_rates", "d18_classification_report", "f2_untested_queue",
-         "h4_stratified_split", "b7_subsample_uniform", "d25_progress", "e13_plateau"]
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, name):
-    result, _ = compare(spark, SMALL, entry.queries()[name], entry.oracle_sql()[name])
+    result, _ = compare(spark, SMALL, registry.QUERIES[name], registry.SQL[name])
     assert result.startswith("ok"), result
 
 

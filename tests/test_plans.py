@@ -155,3 +155,67 @@ def test_null_keys_and_groups(spark):
     q = {r.k: r.m for r in rk.exact_quantiles(df, ["k"], "v", {"m": 0.5}, rows_per_part=1).collect()}
     assert q == {None: 2.0, "a": 2.0, "b": 4.0}
     assert rk.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+def test_probe_equals_a_plain_solver(spark):
+    """Accuracy of the probe against gradient descent on population-scaled features."""
+    from motionframe.operators import learning as ln
+
+    rng = np.random.default_rng(9)
+    n, k, d = 600, 3, 4
+    cls = rng.integers(0, k, n)
+    x = rng.normal(size=(n, d)) * [1, 5, 0.1, 2] + np.eye(k, d)[cls] * [1.5, 8, 0.1, 2]
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(cls, x))],
+                               "entity_id int, class int, features array<double>")
+    summary, per_class = ln.probe_subset(df, [0, 1], 2, tol=1e-7)
+    split = {r.entity_id: r.split for r in ds.stratified_split(df, 0.1, 42, cls="class", key="entity_id").collect()}
+    train = np.array([split[i] == "train" for i in range(n)])
+    z = (x - x[train].mean(0)) / x[train].std(0)
+    w, b, y = np.zeros((d, k)), np.zeros(k), np.eye(k)[cls]
+    for _ in range(3000):
+        p = np.exp(z[train] @ w + b)
+        g = (p / p.sum(1, keepdims=True) - y[train]) / train.sum()
+        w -= 0.5 * (z[train].T @ g + w / train.sum())
+        b -= 0.5 * g.sum(0)
+    right = (z[~train] @ w + b).argmax(1) == cls[~train]
+    assert abs(summary.first().probe_acc - right.mean()) < 1e-9
+    assert {r.label: r.recall for r in per_class.collect()} == {c: right[cls[~train] == c].mean() for c in range(k)}
+
+
+def test_selection_with_null_groups_and_empty_quota(spark):
+    df = spark.range(200).selectExpr("id AS key", "CASE WHEN id % 6 = 0 THEN NULL ELSE concat('c', id % 3) END AS class")
+    got = ds.stratified_split(df, 0.1, 3)
+    assert got.where("split = 'val'").count() == 20 and got.count() == 200
+    from motionframe.plans.selection import sample_n
+    assert sample_n(df, 17, 1, "key").count() == 17 and sample_n(df, 500, 1, "key").count() == 200
+
+
+def test_single_frame_sequences(spark):
+    seq = spark.range(5).selectExpr("1 AS entity_id", "CAST(id AS INT) AS pos", "5 AS n_frames", "id * 1.0 AS x")
+    for fn in (ds.subsample_uniform, ds.resample_uniform):
+        rows = fn(seq, 1).collect()
+        assert [(r.pos, r.n_frames, float(r.x)) for r in rows] == [(0, 1, 0.0)]
+
+
+def test_f_ratio_is_linear_in_classes(spark):
+    import time
+
+    def took(k):
+        df = spark.range(4 * k).selectExpr("id AS entity_id", f"id % {k} AS class", "0 AS row", "0 AS descriptor", "rand(1) AS value")
+        start = time.perf_counter()
+        f_ratio(df).collect()
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(8000) < 5 + 3 * took(2000)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from motionframe import session
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d),
+                           sparkContext=SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(fake)

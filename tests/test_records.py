@@ -126,3 +126,25 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     rows = spark.read.parquet(out).collect()
     assert sorted(r.entity_id for r in rows) == [1, 2]
     assert len({(r.rms_speed_xy, r.x_mean) for r in rows}) == 1
+
+
+def test_dataset_names_are_values_not_text(spark):
+    runs = spark.createDataFrame([(1, "O'B", "a")], "run_id long, dataset string, architecture string").selectExpr(
+        "*", "named_struct('overall_accuracy', 0.5D, 'train_val_acc', 0.4D, 'eval_status', 'pending') AS metrics",
+        "CAST(NULL AS STRUCT<tested: BOOLEAN>) AS submission")
+    for fn in (rg.leaderboard, rg.untested_queue):
+        assert [r.run_id for r in fn(runs, "O'B").collect()] == [1]
+        assert fn(runs, "x' OR '1'='1").count() == 0
+    assert rg.eval_backlog(runs, "O'B", runs).count() == 1
+
+
+def test_track_files_with_odd_names(spark, tmp_path):
+    root = tmp_path / "set one + 50%"
+    os.makedirs(root)
+    for name in ("a b", "c"):
+        pd.DataFrame({"frame": [0, 1], "x": [1.0, 2.0]}).to_parquet(root / f"{name}.parquet")
+    cat = spark.createDataFrame([(f"{root}/a b.parquet", "k")], "abs_path string, class string")
+    rows = tr.read_tracks(spark, f"{root}/*.parquet", cat, "frame long, x double")
+    assert rows.count() == 2
+    left = tr.unmatched_files(spark, f"{root}/*.parquet", cat).collect()
+    assert [os.path.basename(r.file_path) for r in left] == ["c.parquet"]
