@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from motionframe.operators.descriptors import channel_descriptors
 
@@ -27,78 +27,116 @@ def track_stream(spark: SparkSession, path: str, schema: StructType | str, *,
 
 
 def incremental_descriptors(tracks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Descriptors of the track files that are new since the last run.
+    """Descriptors of all entities with frames that are new since the last run.
 
-    A file holds whole entities. Each micro-batch overwrites its own `batch=` folder,
-    so a retried batch leaves no duplicates; the stream checkpoint takes the place of
-    a work manifest.
+    An entity's frames may come in several files and batches. Each micro-batch stores
+    its rows below `tracks/batch=`, computes the touched entities again from all their
+    rows so far, and writes them below `descriptors/batch=`; a retried batch overwrites
+    its own folders. `read_descriptors` gives the latest rows of every entity. The
+    stream checkpoint takes the place of a work manifest.
     """
     def write(batch: DataFrame, number: int) -> None:
-        channel_descriptors(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/tracks/batch={number}")
+        schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
+        stored = spark.read.schema(schema).parquet(f"{out}/tracks").where(F.col("batch") <= number)
+        touched = stored.where(F.col("batch") == number).select("entity_id").distinct()
+        rows = stored.join(touched, "entity_id", "left_semi").select(*batch.columns)
+        channel_descriptors(rows).write.mode("overwrite").parquet(f"{out}/descriptors/batch={number}")
 
     return (tracks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-CAUSAL_STATE = "last_frame long, last_x double, last_y double, n long, mean double, m2 double"
+def read_descriptors(spark: SparkSession, out: str) -> DataFrame:
+    """The latest descriptors of every entity that `incremental_descriptors` has written."""
+    rows = spark.read.parquet(f"{out}/descriptors")
+    last = rows.groupBy("entity_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["entity_id", "batch"], "left_semi").drop("batch")
+
+
+CAUSAL_STATE = ("channels array<bigint>, last_frame array<bigint>, last_x array<double>, last_y array<double>, "
+                "n array<bigint>, mean array<double>, m2 array<double>, late array<bigint>")
 
 
 def causal_features(tracks: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Velocity and running deviation per frame as frames arrive, from past frames only.
 
-    Keeps one small state per (entity, channel): the last frame with its position, and
-    count, mean and centred squares of x. With `timeout_ms`, idle channels are dropped
-    after that time; use it for queries that keep running, since a timeout makes Spark
-    plan batches without data and an available-now run would not end.
+    Keeps one state per entity, with an element per channel: the last frame with its
+    position, and count, mean and centred squares of x. A frame that arrives in a later
+    batch than one after it is late: it is dropped, since what followed has been given
+    out already, and `n_late` counts such frames of the channel so far. Within a batch
+    order does not matter. With `timeout_ms`, idle entities are dropped after that time;
+    use it for queries that keep running, since a timeout makes Spark plan batches
+    without data and an available-now run would not end.
     """
     types = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
     out = (f"entity_id {types['entity_id']}, row {types['row']}, frame long, dx double, dy double, "
-           "running_std double")
+           "running_std double, n_late long")
 
     def step(key, chunks, state):
-        import numpy as np
         import pandas as pd
 
         if state.hasTimedOut:
             state.remove()
             return
-        last, lx, ly, n, mean, m2 = state.get if state.exists else (None, None, None, 0, 0.0, 0.0)
-        pdf = pd.concat(list(chunks)).sort_values("frame")
-        frame = pdf["frame"].to_numpy(dtype=np.int64)
-        result = {"dx": np.full(len(pdf), np.nan), "dy": np.full(len(pdf), np.nan)}
-        for name, before in (("dx", lx), ("dy", ly)):
-            v = pdf[name[1]].to_numpy(dtype=float)
-            result[name][1:] = np.where(np.diff(frame) == 1, np.diff(v), np.nan)
-            if last is None:
-                result[name][0] = 0.0
-            elif frame[0] == last + 1 and before is not None:
-                result[name][0] = v[0] - before
-        x, y = pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float)
-        # merge the running sums of this batch, centred on its first value, with the state
-        seen = ~np.isnan(x)
-        centre = x[seen][0] if seen.any() else 0.0
-        d = np.where(seen, x - centre, 0.0)
-        count, s, q = np.cumsum(seen), np.cumsum(d), np.cumsum(d * d)
-        shift = mean - centre
-        total = n + count
-        safe = np.maximum(total, 1)
-        sum_all, square_all = s + n * shift, q + m2 + n * shift * shift
-        var = np.maximum(square_all / safe - (sum_all / safe) ** 2, 0.0)
-        std = np.where(total > 0, np.sqrt(var), np.nan)
-        n_new = int(total[-1])
-        new_mean = centre + sum_all[-1] / max(n_new, 1)
-        state.update((int(frame[-1]), None if np.isnan(x[-1]) else float(x[-1]),
-                      None if np.isnan(y[-1]) else float(y[-1]), n_new, float(new_mean), float(var[-1] * n_new)))
+        known = {}
+        if state.exists:
+            known = {row: rest for row, *rest in zip(*state.get)}
+        parts = []
+        for row, pdf in pd.concat(list(chunks)).groupby("row", sort=True):
+            known[int(row)], part = _causal_channel(pdf.sort_values("frame"), known.get(int(row)))
+            parts.append(part.assign(entity_id=key[0], row=row))
+        state.update(tuple(list(c) for c in zip(*[(row, *rest) for row, rest in known.items()])))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"entity_id": key[0], "row": key[1], "frame": frame,
-                            "dx": result["dx"], "dy": result["dy"], "running_std": std})
+        yield pd.concat(parts)[["entity_id", "row", "frame", "dx", "dy", "running_std", "n_late"]]
 
-    return (tracks.select("entity_id", "row", "frame", "x", "y").groupBy("entity_id", "row")
+    return (tracks.select("entity_id", "row", "frame", "x", "y").groupBy("entity_id")
             .applyInPandasWithState(step, out, CAUSAL_STATE, "append",
                                     "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"))
 
 
+def _causal_channel(pdf, state):
+    """New state and output rows of one channel from its rows of a batch, in frame order."""
+    import numpy as np
+    import pandas as pd
+
+    last, lx, ly, n, mean, m2, late = state or (None, None, None, 0, 0.0, 0.0, 0)
+    if last is not None:
+        fresh = pdf["frame"] > last
+        late += int((~fresh).sum())
+        pdf = pdf[fresh]
+    frame = pdf["frame"].to_numpy(dtype=np.int64)
+    if not len(frame):
+        return (last, lx, ly, n, mean, m2, late), pd.DataFrame(
+            {c: pd.Series(dtype="int64" if c in ("frame", "n_late") else "float64") for c in ("frame", "dx", "dy", "running_std", "n_late")})
+    result = {"dx": np.full(len(pdf), np.nan), "dy": np.full(len(pdf), np.nan)}
+    for name, before in (("dx", lx), ("dy", ly)):
+        v = pdf[name[1]].to_numpy(dtype=float)
+        result[name][1:] = np.where(np.diff(frame) == 1, np.diff(v), np.nan)
+        if last is None:
+            result[name][0] = 0.0
+        elif frame[0] == last + 1 and before is not None:
+            result[name][0] = v[0] - before
+    x, y = pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float)
+    # merge the running sums of this batch, centred on its first value, with the state
+    seen = ~np.isnan(x)
+    centre = x[seen][0] if seen.any() else 0.0
+    d = np.where(seen, x - centre, 0.0)
+    count, s, q = np.cumsum(seen), np.cumsum(d), np.cumsum(d * d)
+    shift = mean - centre
+    total = n + count
+    safe = np.maximum(total, 1)
+    sum_all, square_all = s + n * shift, q + m2 + n * shift * shift
+    var = np.maximum(square_all / safe - (sum_all / safe) ** 2, 0.0)
+    std = np.where(total > 0, np.sqrt(var), np.nan)
+    n_new = int(total[-1])
+    state = (int(frame[-1]), None if np.isnan(x[-1]) else float(x[-1]), None if np.isnan(y[-1]) else float(y[-1]),
+             n_new, float(centre + sum_all[-1] / max(n_new, 1)), float(var[-1] * n_new), late)
+    return state, pd.DataFrame({"frame": frame, **result, "running_std": std, "n_late": late})
+
+
 def live_presence(frames: DataFrame, keys: Sequence[str], *, ts: str = "ts", present: str = "present",
                   window: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Presence rate per key and event-time window; frames later than `late` are dropped."""
@@ -113,3 +151,12 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process everything that has arrived into parquet, then stop."""
     (stream.writeStream.format("parquet").outputMode("append").option("path", out)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
+def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """As `run_available`, with the windows that are still open: the whole result, written anew by each batch."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    (stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())

@@ -123,9 +123,27 @@ def test_stream_processes_each_file_once(spark, tmp_path):
     arrive(2)
     for _ in range(2):
         inc.incremental_descriptors(inc.track_stream(spark, src, schema), out, state).awaitTermination()
-    rows = spark.read.parquet(out).collect()
+    rows = inc.read_descriptors(spark, out).collect()
     assert sorted(r.entity_id for r in rows) == [1, 2]
     assert len({(r.rms_speed_xy, r.x_mean) for r in rows}) == 1
+    # more frames of an entity that is known already: one row over all of them
+    more = [(1, "c", "g", 0, 0, f, float(f * f % 7), float(f)) for f in range(12, 20)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(src)
+    inc.incremental_descriptors(inc.track_stream(spark, src, schema), out, state).awaitTermination()
+    again = {r.entity_id: r for r in inc.read_descriptors(spark, out).collect()}
+    assert again[1].n_valid_transitions == 19 and again[1].y_mean == 9.5 and again[2].n_valid_transitions == 11
+
+
+def test_late_frames_are_dropped_and_counted(spark, tmp_path):
+    schema = "entity_id long, row int, frame int, x double, y double"
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for frames in ((0, 1, 2, 5, 6), (3, 4, 7)):
+        rows = [(1, c, f, float(f * f + c), float(f)) for f in frames for c in (0, 3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        inc.run_available(inc.causal_features(inc.track_stream(spark, src, schema)), out, state)
+    got = {(r.row, r.frame): (r.dx, r.n_late) for r in spark.read.parquet(out).collect()}
+    assert sorted(f for c, f in got if c == 3) == [0, 1, 2, 5, 6, 7]
+    assert got[0, 7] == got[3, 7] == (13.0, 2) and got[0, 5] == (None, 0)
 
 
 def test_dataset_names_are_values_not_text(spark):
