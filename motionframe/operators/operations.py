@@ -9,7 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from motionframe.functions.columns import safe_ratio
-from motionframe.plans.ranking import exact_quantiles
+from motionframe.plans.ranking import attach, exact_quantiles
+from motionframe.sources.sinks import path_exists
 
 # executors get the task functions with the task instead of importing them
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,11 +112,16 @@ def latency_summary(samples: DataFrame, by: Sequence[str], value: str, batch: in
 UNIT_STATUS = "unit string, part int, status string, error string, n_rows long"
 
 
-def run_parts(data: DataFrame, unit: str, entity: str, fn: Callable, schema: str, parts: int = 16) -> DataFrame:
+ROWS_PER_PART = 100_000  # rows that one call of a unit function gets
+
+
+def run_parts(data: DataFrame, unit: str, entity: str, fn: Callable, schema: str,
+              rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Apply `fn` to parts of every unit; each output row carries the result or the error.
 
-    A part holds whole entities, so a large unit is spread over `parts` tasks. `fn`
-    takes and returns a pandas frame. An exception becomes an error row.
+    A part holds whole entities; a unit has as many as its rows need, so a large unit is
+    spread over tasks. `fn` takes and returns a pandas frame. An exception becomes an
+    error row.
     """
     from pyspark.sql.types import StructType
 
@@ -127,24 +133,26 @@ def run_parts(data: DataFrame, unit: str, entity: str, fn: Callable, schema: str
 
         head = {"unit": str(key[0]), "part": int(key[1])}
         try:
-            out = fn(pdf.drop(columns=["_part"]))[names].copy()
+            out = fn(pdf.drop(columns=["_unit", "_part"]))[names].copy()
             out["_kind"], out["_error"] = "row", None
             done = pd.DataFrame([{**{n: None for n in names}, "_kind": "done", "_error": None}])
-            out = pd.concat([out.astype(object), done.astype(object)], ignore_index=True)
+            out = pd.concat([out.astype(object), done.astype(object)], ignore_index=True) if len(out) else done
         except Exception as exc:
             out = pd.DataFrame([{**{n: None for n in names}, "_kind": "failed", "_error": repr(exc)}])
         out.insert(0, "_unit", head["unit"])
         out.insert(1, "_part", head["part"])
         return out[["_unit", "_part", "_kind", "_error", *names]]
 
-    part = F.pmod(F.xxhash64(entity), F.lit(parts)).cast("int")
-    keyed = data.withColumn("_part", part)
+    keyed = data.withColumn("_unit", F.col(unit).cast("string"))
+    sizes = keyed.groupBy("_unit").agg(F.ceil(F.count("*") / rows_per_part).alias("_parts"))
+    keyed = attach(keyed, sizes, ["_unit"], ["_parts"])
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64(entity), F.col("_parts")).cast("int")).drop("_parts")
     ddl = "_unit string, _part int, _kind string, _error string, " + schema
-    return keyed.groupBy(F.col(unit).cast("string").alias("_unit"), "_part").applyInPandas(run, ddl)
+    return keyed.groupBy("_unit", "_part").applyInPandas(run, ddl)
 
 
 def process_units(data: DataFrame, unit: str, entity: str, fn: Callable, schema: str, root: str,
-                  parts: int = 16) -> DataFrame:
+                  rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Run `fn` over all units that are not done yet and record the outcome.
 
     Below `root`: `results/unit=<id>` holds the rows of done units, `manifest` one row
@@ -161,14 +169,15 @@ def process_units(data: DataFrame, unit: str, entity: str, fn: Callable, schema:
     if not data.isEmpty():
         attempt = spark.sql("SELECT uuid()").first()[0]
         staged = f"{root}/staging/{attempt}"
-        run_parts(data, unit, entity, fn, schema, parts).write.mode("overwrite").parquet(staged)
+        run_parts(data, unit, entity, fn, schema, rows_per_part).write.mode("overwrite").parquet(staged)
         out = spark.read.parquet(staged)
         errors = out.where("_kind <> 'row'").groupBy(F.col("_unit").alias("unit")).agg(
             F.max("_error").alias("error"))
         rows = out.where("_kind = 'row'").join(
             errors.where("error IS NULL").select(F.col("unit").alias("_unit")), "_unit", "left_semi")
         names = [c for c in out.columns if not c.startswith("_")]
-        (rows.select(*names, F.col("_unit").alias("unit")).write.mode("overwrite")
+        # one file per part of a unit
+        (rows.repartition("_unit", "_part").select(*names, F.col("_unit").alias("unit")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("unit").parquet(f"{root}/results"))
         counts = rows.groupBy(F.col("_unit").alias("unit")).agg(F.count("*").alias("n_rows"))
         status = errors.join(counts, "unit", "left").select(
@@ -176,13 +185,14 @@ def process_units(data: DataFrame, unit: str, entity: str, fn: Callable, schema:
             "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
             F.current_timestamp().alias("ts"))
         status.write.mode("append").parquet(f"{root}/manifest")
+        # the staged copy is no longer needed: an empty table takes its place
+        spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(staged)
     return read_manifest(spark, root)
 
 
 def read_manifest(spark, root: str) -> DataFrame | None:
     """Latest record per unit, or None before the first run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not path_exists(spark, f"{root}/manifest"):
         return None
     log = spark.read.parquet(f"{root}/manifest")
     last = F.max_by(F.struct("status", "error", "n_rows", "ts"), "ts").alias("m")

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, for any file system that Spark reads."""
+    try:
+        spark.read.schema("value string").text(path)  # resolved now, read never
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write left its success marker."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def write_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = (), *,

@@ -84,15 +84,16 @@ def test_process_units_resumes(spark, tmp_path):
             raise ValueError("no b today")
         return double(pdf)
 
-    first = op.process_units(df, "unit_name", "entity_id", broken_b, "entity_id long, twice double", root, 4)
+    first = op.process_units(df, "unit_name", "entity_id", broken_b, "entity_id long, twice double", root, 10)
     assert {r.unit: (r.status, r.n_rows) for r in first.collect()} == {
         "a": ("done", 5), "b": ("failed", 0), "hot": ("done", 40)}
     stamps = {r.unit: r.ts for r in first.collect()}
-    second = op.process_units(df, "unit_name", "entity_id", double, "entity_id long, twice double", root, 4)
+    second = op.process_units(df, "unit_name", "entity_id", double, "entity_id long, twice double", root, 10)
     after = {r.unit: r for r in second.collect()}
     assert {u: r.status for u, r in after.items()} == {"a": "done", "b": "done", "hot": "done"}
     assert after["a"].ts == stamps["a"] and after["hot"].ts == stamps["hot"]  # only b ran again
     out = spark.read.parquet(f"{root}/results")
+    assert not [f for f in (tmp_path / "units" / "staging").rglob("*.parquet") if spark.read.parquet(str(f)).count()]
     assert out.count() == 50 and out.agg(F.sum("twice")).first()[0] == 2 * sum(r[2] for r in rows)
 
 
