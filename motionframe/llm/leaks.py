@@ -6,7 +6,7 @@ import re
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 ERROR_SHARE = 0.08          # edits per character of an item that still count as a leak
 MIN_WORDS = 5               # shorter items are no passages and are left out
@@ -166,11 +166,11 @@ def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_
     out = runs.select(*columns, F.array().cast(LEAK).alias("leaks"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        out = _one_block(out, [tuple(r) for r in part.orderBy("item_id", "text").collect()], columns, notes, share)
+        out = _one_block(out, [tuple(r) for r in part.orderBy("item_id", "text").collect()], notes, share)
     return out
 
 
-def _one_block(runs: DataFrame, items: list[tuple[int, str]], columns: list[str], notes: str, share: float) -> DataFrame:
+def _one_block(runs: DataFrame, items: list[tuple[int, str]], notes: str, share: float) -> DataFrame:
     finder = runs.sparkSession.sparkContext.broadcast(ItemFinder(items, share))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -179,8 +179,8 @@ def _one_block(runs: DataFrame, items: list[tuple[int, str]], columns: list[str]
             at = batch.schema.get_field_index(notes)
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = [finder.value.find(t) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, "found"])
+                # `leaks` is the last column: what earlier blocks found comes first
+                found = [known + finder.value.find(t) for known, t in zip(part.columns[-1].to_pylist(), part.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], part.schema.names)
 
-    marked = runs.mapInArrow(tasks, T.StructType([*runs.schema.fields, T.StructField("found", runs.schema["leaks"].dataType)]))
-    return marked.select(*columns, F.concat("leaks", "found").alias("leaks"))
+    return runs.mapInArrow(tasks, runs.schema)
