@@ -11,9 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from motionframe.llm.words import hash_share
 from motionframe.session import materialize
 
-SAMPLE_PER_LANGUAGE = 2_000   # labelled notes that the model is fitted on, per language (by hash order)
+SAMPLE_PER_LANGUAGE = 2_000   # labelled notes that the model is fitted on, per language (about; by hash)
 WORDS_PER_LANGUAGE = 20_000   # most frequent words kept per language
 GRAMS_PER_LANGUAGE = 20_000   # most frequent character n-grams kept per language and length
 LONGEST_GRAM = 5
@@ -110,15 +111,16 @@ def language_counts(labelled: DataFrame, *, key: str = "run_id", notes: str = "n
                     grams: int = GRAMS_PER_LANGUAGE) -> DataFrame:
     """(language, n, item, count): the most frequent words (n = 0) and n-grams per language.
 
-    Counted over at most `sample` labelled notes per language, the first by hash of the
-    key; the keys are chosen before any text is read. Rows with NULL language or notes
-    are left out.
+    Counted over about `sample` labelled notes per language, drawn by hash of the key at a
+    rate that follows from the language's number of notes; all notes where there are
+    fewer. Rows with NULL language or notes are left out. Only the drawn notes' words are
+    moved; the rates are one row per language, as is the model itself.
     """
-    labelled = labelled.where(F.col(lang).isNotNull() & F.col(notes).isNotNull())
-    turn = F.row_number().over(W.partitionBy("language").orderBy(F.xxhash64("k"), "k"))
-    chosen = (labelled.select(F.col(key).alias("k"), F.col(lang).alias("language"))
-              .withColumn("turn", turn).where(F.col("turn") <= sample).select("k").distinct())
-    texts = labelled.select(F.col(key).alias("k"), F.col(lang).alias("language"), F.col(notes).alias("notes")).join(chosen, "k")
+    labelled = labelled.where(F.col(lang).isNotNull() & F.col(notes).isNotNull()).select(
+        F.col(key).alias("k"), F.col(lang).alias("language"), F.col(notes).alias("notes"))
+    rates = labelled.groupBy("language").agg((sample / F.count("*")).alias("rate"))
+    draw = F.coalesce(hash_share("k"), F.lit(0.0))
+    texts = labelled.join(F.broadcast(rates), "language").where(draw < F.col("rate"))
     found = texts.select("language", F.explode(F.regexp_extract_all(F.lower("notes"), F.lit(LETTERS), F.lit(0))).alias("word"))
     found = found.groupBy("language", "word").agg(F.count("*").alias("count"))
     found = materialize(found)
