@@ -99,53 +99,56 @@ def _smooth(values, group, base, length, at_start, at_end, n_frames, window, ord
     return out
 
 
+def _merge_repeats(row_group, frame, real, values):
+    """Rows of one channel and frame become one, with the larger value of each axis that is known."""
+    same = (row_group[1:] == row_group[:-1]) & (frame[1:] == frame[:-1]) & real[1:] & real[:-1]
+    if not same.any():
+        return row_group, frame, real, values
+    at = np.flatnonzero(np.concatenate([[True], ~same]))
+    values = {a: np.fmax.reduceat(v, at) for a, v in values.items()}
+    return row_group[at], frame[at], real[at], values
+
+
 class Block:
-    """The dense frames of every segment in one sorted table."""
+    """The dense frames of every group (a segment of a channel) of a table.
+
+    `source` is, per group, the table row that holds its attributes, -1 for groups to
+    leave out; `f0` and `f1` are the group's frame range, `offset` is added to frames
+    that are given out.
+    """
 
-    def __init__(self, table, keys, axes, size, window, order, smooth):
+    def __init__(self, row_group, frame, real, values, source, seg, f0, f1, offset, size, window, order, smooth):
         margin = smoothing.REACH if smooth else 0
-        starts = group_starts(table, keys)
-        n = table.num_rows
-        row_group = np.zeros(n, dtype=np.int64)
-        row_group[starts[1:]] = 1
-        row_group = np.cumsum(row_group)
-        self.seg = np.asarray(table.column("seg"), dtype=np.int64)[starts]
-        # the boundary row of a segment has the frame range and the channel's attributes;
-        # copies in a segment the entity never reaches have none
-        edges = np.flatnonzero(np.asarray(table.column("f0").is_valid()))
-        self.edge = np.full(len(starts), -1)
-        self.edge[row_group[edges]] = edges
-        real_group = self.keep = self.edge >= 0
-        self.f0 = np.where(real_group, _ints(table, "f0")[self.edge], 0)
-        self.f1 = np.where(real_group, _ints(table, "f1")[self.edge], -1)
-        self.lo = np.where(real_group, np.maximum(self.f0, self.seg * size - margin), 0)
-        last = np.minimum(self.f1, self.seg * size + size - 1 + margin)
-        self.length = np.where(real_group, last - self.lo + 1, 0)
+        row_group, frame, real, values = _merge_repeats(row_group, frame, real, values)
+        self.source, self.seg, self.offset = source, seg, offset
+        self.keep = source >= 0
+        self.f0, self.f1 = np.where(self.keep, f0, 0), np.where(self.keep, f1, -1)
+        self.lo = np.where(self.keep, np.maximum(self.f0, seg * size - margin), 0)
+        last = np.minimum(self.f1, seg * size + size - 1 + margin)
+        self.length = np.where(self.keep, last - self.lo + 1, 0)
         self.base = np.cumsum(self.length) - self.length
-        self.group = np.repeat(np.arange(len(starts)), self.length)
+        self.group = np.repeat(np.arange(len(source)), self.length)
         self.frame = np.arange(len(self.group)) - self.base[self.group] + self.lo[self.group]
-        at = self.frame - self.seg[self.group] * size
+        at = self.frame - seg[self.group] * size
         self.core = (at >= 0) & (at < size)
 
-        frame, real = _ints(table, "frame"), np.asarray(table.column("real"))
-        inside = (real & real_group[row_group] & (frame >= self.lo[row_group])
+        inside = (real & self.keep[row_group] & (frame >= self.lo[row_group])
                   & (frame < (self.lo + self.length)[row_group]))
         target = self.base[row_group[inside]] + frame[inside] - self.lo[row_group[inside]]
-        first_frame = int(frame.min()) if n else 0
+        first_frame = int(frame.min()) if len(frame) else 0
         self.raw, self.fill, self.smooth = {}, {}, {}
-        series_length = np.where(real_group, self.f1 - self.f0 + 1, 0)
-        for a in axes:
-            v = _doubles(table, a)
+        series_length = np.where(self.keep, self.f1 - self.f0 + 1, 0)
+        for a, v in values.items():
             self.raw[a] = np.full(len(self.group), np.nan)
             self.raw[a][target] = v[inside]
-            known = ~np.isnan(v) & real_group[row_group]
+            known = ~np.isnan(v) & self.keep[row_group]
             self.fill[a] = _fill(self.group, self.frame, row_group[known], frame[known], v[known], first_frame)
             if smooth:
                 self.smooth[a] = _smooth(
                     self.fill[a], self.group, self.base, self.length,
                     self.lo == self.f0, self.lo + self.length - 1 == self.f1,
                     series_length, window, order)
-        self.seen = ~np.isnan(self.raw[axes[0]])
+        self.seen = ~np.isnan(self.raw[next(iter(values))])
 
     def steps(self, a):
         step = np.zeros(len(self.group))
@@ -153,20 +156,57 @@ class Block:
         return step
 
 
+def segment_block(table, keys, axes, size, window, order, smooth):
+    """Block of a table sorted by segment and frame, with boundary and carry rows."""
+    starts = group_starts(table, keys)
+    row_group = np.zeros(table.num_rows, dtype=np.int64)
+    row_group[starts[1:]] = 1
+    row_group = np.cumsum(row_group)
+    # the boundary row of a segment has the frame range and the channel's attributes;
+    # copies in a segment the entity never reaches have none
+    edges = np.flatnonzero(np.asarray(table.column("f0").is_valid()))
+    edge = np.full(len(starts), -1)
+    edge[row_group[edges]] = edges
+    seg = np.asarray(table.column("seg"), dtype=np.int64)[starts]
+    return Block(row_group, _ints(table, "frame"), np.asarray(table.column("real")), {a: _doubles(table, a) for a in axes},
+                 edge, seg, _ints(table, "f0")[edge], _ints(table, "f1")[edge], np.zeros(len(starts), np.int64),
+                 size, window, order, smooth)
+
+
+def entity_block(table, axes, window, order, smooth):
+    """Block of a table of whole entities in any row order; every channel is one segment."""
+    code = np.asarray(pc.rank(table.column("entity_id"), tiebreaker="dense"), dtype=np.int64)
+    channel, frame = np.asarray(table.column("row"), dtype=np.int64), _ints(table, "frame")
+    by = np.lexsort((frame, channel, code))
+    code, channel, frame = code[by], channel[by], frame[by]
+    starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (channel[1:] != channel[:-1])]))
+    row_group = np.zeros(len(by), dtype=np.int64)
+    row_group[starts[1:]] = 1
+    row_group = np.cumsum(row_group)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    entity = np.searchsorted(first, starts, "right") - 1  # of each group
+    f0, f1 = np.minimum.reduceat(frame, first), np.maximum.reduceat(frame, first)
+    rel = frame - f0[np.searchsorted(first, np.arange(len(by)), "right") - 1]
+    values = {a: _doubles(table, a)[by] for a in axes}
+    zero = np.zeros(len(starts), np.int64)
+    return Block(row_group, rel, np.ones(len(by), bool), values, by[starts], zero, zero, (f1 - f0)[entity], f0[entity],
+                 1 << 40, window, order, smooth)
+
+
 def _column(values):
     return pa.array(values, from_pandas=True)
 
 
 def frames(keys, carry, axes, size, window, order, smooth):
-    """Task function: one row per segment frame, without the margins."""
+    """Task function: one row per segment frame, without the margins. Without a size, tables hold whole entities."""
     def run(batches):
         for table in whole_groups(batches, keys):
-            b = Block(table, keys, axes, size, window, order, smooth)
+            b = (segment_block(table, keys, axes, size, window, order, smooth) if size
+                 else entity_block(table, axes, window, order, smooth))
             pick = np.flatnonzero(b.core)
-            source = b.edge[b.group[pick]]
             group = b.group[pick]
-            cols = [table.column(c).take(pa.array(source)) for c in carry]
-            cols += [pa.array(b.frame[pick]), pa.array(b.f0[group]), pa.array(b.f1[group])]
+            cols = [table.column(c).take(pa.array(b.source[group])) for c in carry]
+            cols += [pa.array(v) for v in (b.frame[pick] + b.offset[group], b.f0[group] + b.offset[group], b.f1[group] + b.offset[group])]
             cols += [_column(b.raw[a][pick]) for a in axes]
             cols += [_column((b.smooth if smooth else b.fill)[a][pick]) for a in axes]
             cols += [pa.array(b.seen[pick])]
@@ -176,11 +216,12 @@ def frames(keys, carry, axes, size, window, order, smooth):
 
 
 def sums(keys, carry, axes, size, window, order):
-    """Task function: one row of partial sums per (entity, channel, segment)."""
+    """Task function: one row of partial sums per (entity, channel, segment). Without a size, tables hold whole entities."""
     def run(batches):
         for table in whole_groups(batches, keys):
-            b = Block(table, keys, axes, size, window, order, True)
-            groups = len(b.edge)
+            b = (segment_block(table, keys, axes, size, window, order, True) if size
+                 else entity_block(table, axes, window, order, True))
+            groups = len(b.source)
 
             def total(mask, weights=None):
                 return np.bincount(b.group[mask], None if weights is None else weights[mask], groups)
@@ -204,7 +245,7 @@ def sums(keys, carry, axes, size, window, order):
                 out[f"{a}_mean"] = mean
                 out[f"{a}_m2"] = total(seen, centred * centred)
             pick = np.flatnonzero(b.keep)
-            cols = [table.column(c).take(pa.array(b.edge[pick])) for c in carry]
+            cols = [table.column(c).take(pa.array(b.source[pick])) for c in carry]
             cols += [pa.array(v[pick]) for v in out.values()]
             yield from pa.table(cols, names=[*carry, *out]).to_batches(max_chunksize=BLOCK_ROWS)
     return run

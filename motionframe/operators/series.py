@@ -157,53 +157,75 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [f"`{n}` {types[n]}" for n in names]
 
 
+def _rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str], margin: int, size: int,
+          whole_entities: bool) -> tuple[DataFrame, list[str], int]:
+    """Rows for the kernel, the keys that must not be split, and the segment size (0: none)."""
+    if not whole_entities:
+        return _segment_rows(tracks, axes, extent, margin, size), [*KEY, "seg"], size
+    return tracks.selectExpr(*KEY, *_attrs(tracks), "CAST(frame AS BIGINT) AS frame",
+                             *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes]), ["entity_id"], 0
+
+
+def whole(value: Column, whole_entities: bool) -> Column:
+    """The value, or an error where an entity that was declared whole came in several tasks."""
+    if not whole_entities:
+        return value
+    return F.when(F.count("*") > 1, F.raise_error(F.lit("entities are not whole in their files")).cast("double")).otherwise(value)
+
+
 def _frames(tracks: DataFrame, axes: Sequence[str], size: int, smooth: bool,
-            window: int = 7, order: int = 2) -> DataFrame:
-    rows = _segment_rows(tracks, axes, ("entity_id",), REACH if smooth else 0, size)
+            window: int = 7, order: int = 2, whole_entities: bool = False) -> DataFrame:
+    rows, keys, size = _rows(tracks, axes, ("entity_id",), REACH if smooth else 0, size, whole_entities)
     carry = [*KEY, *_attrs(tracks)]
     schema = _fields(rows, carry) + ["frame bigint", "f0 bigint", "f1 bigint"]
     schema += [f"{a} double" for a in axes] + [f"{a}_out double" for a in axes] + ["seen boolean"]
     return rows.mapInArrow(
-        track_kernel.frames([*KEY, "seg"], carry, list(axes), size, window, order, smooth),
+        track_kernel.frames(keys, carry, list(axes), size, window, order, smooth),
         ", ".join(schema))
 
 
 def frame_grid(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
-               segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
+               segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
     """Each channel on every frame of its entity's range; missing frames are NULL rows."""
-    grid = _frames(tracks, axes, segment_frames, smooth=False)
+    grid = _frames(tracks, axes, segment_frames, smooth=False, whole_entities=whole_entities)
     return grid.select("entity_id", *_attrs(tracks), "row", "frame", *axes)
 
 
 def interpolate_gaps(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
-                     segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
+                     segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
     """The frame grid with gaps filled: linear between observed frames, nearest value beyond.
 
     A channel that was never observed stays NULL; `seen` marks observed frames.
     """
-    grid = _frames(tracks, axes, segment_frames, smooth=False)
+    grid = _frames(tracks, axes, segment_frames, smooth=False, whole_entities=whole_entities)
     return grid.select("entity_id", *_attrs(tracks), "row", "frame",
                        *[F.col(f"{a}_out").alias(a) for a in axes], "seen")
 
 
 def savgol_smooth(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
                   window: int = 7, order: int = 2,
-                  segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
+                  segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
     """Gap-filled and smoothed coordinates on the frame grid."""
-    grid = _frames(tracks, axes, segment_frames, smooth=True, window=window, order=order)
+    grid = _frames(tracks, axes, segment_frames, smooth=True, window=window, order=order,
+                   whole_entities=whole_entities)
     return grid.select("entity_id", *_attrs(tracks), "row", "frame",
                        *[F.col(f"{a}_out").alias(a) for a in axes], "seen")
 
 
 def track_sums(tracks: DataFrame, axes: Sequence[str], *, window: int = 7, order: int = 2,
                extent: Sequence[str] = ("entity_id",),
-               segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """Partial sums per (entity, channel, segment); the shared input of every speed measure."""
-    rows = _segment_rows(tracks, axes, extent, REACH, segment_frames)
+               segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
+    """Partial sums per (entity, channel, segment); the shared input of every speed measure.
+
+    `whole_entities` says that each file, and so each task, holds all rows of its
+    entities, as track files do. Then nothing is moved or sorted by Spark, and tracks
+    are not cut into segments.
+    """
+    rows, keys, segment_frames = _rows(tracks, axes, extent, REACH, segment_frames, whole_entities)
     carry = [*KEY, *_attrs(tracks)]
     schema = _fields(rows, carry) + [f"{n} {t}" for n, t in track_kernel.sum_fields(axes)]
     return rows.mapInArrow(
-        track_kernel.sums([*KEY, "seg"], carry, list(axes), segment_frames, window, order),
+        track_kernel.sums(keys, carry, list(axes), segment_frames, window, order),
         ", ".join(schema))
 
 
@@ -215,11 +237,14 @@ def rms_of(axes: Sequence[str], kind: str = "valid") -> Column:
 
 
 def rms_speed(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *, window: int = 7,
-              order: int = 2, segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """RMS speed per (entity, channel); a step counts only if both ends were observed."""
-    parts = track_sums(tracks, axes, window=window, order=order, segment_frames=segment_frames)
+              order: int = 2, segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
+    """RMS speed per (entity, channel); a step counts only if both ends were observed.
+
+    With `whole_entities`, an entity that was read by several tasks is an error.
+    """
+    parts = track_sums(tracks, axes, window=window, order=order, segment_frames=segment_frames, whole_entities=whole_entities)
     return parts.groupBy("entity_id", *_attrs(tracks), "row").agg(
-        rms_of(axes).alias("rms_speed"), F.sum("n_valid").alias("n_valid_transitions"))
+        whole(rms_of(axes), whole_entities).alias("rms_speed"), F.sum("n_valid").alias("n_valid_transitions"))
 
 
 def _positions(tracks: DataFrame, size: int) -> DataFrame:

@@ -150,3 +150,27 @@ def test_pivot_roundtrip(tracks):
     wide = se.pivot_frames(tracks, range(5), ("x", "y"))
     back = se.unpivot_frames(wide, range(5), ("x", "y")).where("x IS NOT NULL OR y IS NOT NULL")
     assert back.count() == tracks.where(F.col("x").isNotNull() | F.col("y").isNotNull()).count()
+
+
+def _values(df):
+    return sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+
+
+def test_whole_entities_straight_from_their_tasks(spark, tracks):
+    """No exchange of rows; frames in any order, below zero too; an entity in two tasks is an error."""
+    moved = tracks.withColumn("frame", F.col("frame") - 20)
+    own = moved.repartition(3, "entity_id").sortWithinPartitions("entity_id", F.xxhash64("row", "frame"))
+    for fn in (se.rms_speed, channel_descriptors, se.interpolate_gaps, se.savgol_smooth, se.frame_grid):
+        assert _values(fn(own, whole_entities=True)) == _values(fn(moved)), fn.__name__
+    plan = se.rms_speed(spark.createDataFrame(moved.limit(0).collect(), moved.schema), whole_entities=True)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the small aggregate
+    with pytest.raises(Exception, match="not whole"):
+        se.rms_speed(moved.repartition(7), whole_entities=True).collect()
+
+
+def test_repeated_frames_take_the_larger_value(spark):
+    rows = [(1, 0, f, float(v)) for f, v in ((0, 1), (1, 5), (1, 2), (2, 3))] + [(1, 0, 1, None)]
+    df = spark.createDataFrame(rows, "entity_id long, row int, frame int, x double")
+    for kw in ({}, {"whole_entities": True}):
+        got = se.frame_grid(df.coalesce(1), ("x",), **kw).orderBy("frame").collect()
+        assert [r.x for r in got] == [1.0, 5.0, 3.0]
