@@ -306,3 +306,19 @@ def assemble_features(spark, sf):
     long = de.long_descriptors(de.channel_descriptors(fx.tracks(spark, sf)))
     feats = de.assemble_features(long, 10, 6)
     return rounded(feats.select("entity_id", "class", F.posexplode("features").alias("pos", "value")))
+
+
+@query("p5_support_vs_accuracy", sql(
+    f"""SELECT {rd('corr(ra, rb)')} AS rho, count(*) AS n FROM (
+      SELECT rank() OVER (ORDER BY n_val) + (count(*) OVER (PARTITION BY n_val) - 1) / 2.0::DOUBLE AS ra,
+             rank() OVER (ORDER BY accuracy) + (count(*) OVER (PARTITION BY accuracy) - 1) / 2.0::DOUBLE AS rb FROM pc)""", "preds", extra=PC))
+def support_vs_accuracy(spark, sf):
+    return rounded(ev.support_vs_accuracy(fx.preds(spark, sf)))
+
+
+@query("p5_weak_class_overlap", sql(
+    f"""SELECT count(*) AS n_pairs, count(w.label) AS n_from_weak, {rd('count(w.label) / count(*)')} AS share, count(DISTINCT w.label) AS n_weak_classes
+    FROM (SELECT a.label FROM mc a WHERE a.label <> a.pred ORDER BY a.mean_rate DESC, a.label, a.pred LIMIT 20) p
+    LEFT JOIN (SELECT label FROM pc ORDER BY accuracy, label LIMIT 4) w ON w.label = p.label""", "preds", extra=MC + ", " + PC))
+def weak_class_overlap(spark, sf):
+    return rounded(ev.weak_class_overlap(fx.preds(spark, sf), 20, 4))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.fixtures import rounded, sql, sql_round as rd
 from checks.registry import query
-from motionframe.operators import energy as en, series as se
+from motionframe.operators import energy as en, geometry as ge, series as se
 
 
 @query("b5_frame_grid", sql(
@@ -120,3 +120,33 @@ def causal_velocity(spark, sf):
     FROM tracks""", "tracks"))
 def causal_running_std(spark, sf):
     return rounded(se.causal_running_std(fx.tracks(spark, sf)))
+
+
+# -- planned in the project, built here ---------------------------------------
+
+@query("p1_normalize_frames", sql(
+    f"""SELECT t.entity_id, t.class, t.grp, t.idx, t.row, t.frame, {rd('(t.x - (r.lx + r.rx) / 2) / r.s', 5)} AS x,
+    {rd('(t.y - (r.ly + r.ry) / 2) / r.s', 5)} AS y FROM tracks t LEFT JOIN (
+      SELECT *, CASE WHEN lx IS NOT NULL AND rx IS NOT NULL THEN greatest(sqrt((lx - rx) ** 2 + (ly - ry) ** 2), 0.5) END AS s FROM (
+        SELECT entity_id, frame, max(CASE WHEN row = 0 THEN x END) AS lx, max(CASE WHEN row = 0 THEN y END) AS ly,
+               max(CASE WHEN row = 6 THEN x END) AS rx, max(CASE WHEN row = 6 THEN y END) AS ry
+        FROM tracks WHERE row IN (0, 6) GROUP BY entity_id, frame)) r USING (entity_id, frame)""", "tracks"))
+def normalize_frames(spark, sf):
+    t = ge.normalize_frames(fx.tracks(spark, sf).drop("z"), 0, 6, floor=0.5)
+    return rounded(t.select("entity_id", "class", "grp", "idx", "row", "frame", "x", "y"), digits=5)
+
+
+@query("p2_acceleration", sql(
+    f"""SELECT entity_id, class, grp, idx, row, CAST(frame AS BIGINT) AS frame,
+    CASE WHEN ok THEN {rd('xs - 2 * x1 + x2', 5)} END AS d2x, CASE WHEN ok THEN {rd('ys - 2 * y1 + y2', 5)} END AS d2y FROM (
+      SELECT *, coalesce(seen AND lag(seen) OVER w AND lag(seen, 2) OVER w, false) AS ok, lag(xs) OVER w AS x1, lag(xs, 2) OVER w AS x2,
+             lag(ys) OVER w AS y1, lag(ys, 2) OVER w AS y2 FROM smooth WINDOW w AS (PARTITION BY entity_id, row ORDER BY frame))""", "smooth"))
+def acceleration(spark, sf):
+    return rounded(ge.acceleration(fx.tracks(spark, sf), segment_frames=14), digits=5)
+
+
+@query("p6_reference_reliability", sql(
+    f"""SELECT CAST(r.row AS INTEGER) AS row, count(DISTINCT entity_id) AS n_entities, {rd("count(t.x) / (SELECT sum(t)::DOUBLE FROM (SELECT max(frame) - min(frame) + 1 AS t FROM tracks GROUP BY entity_id))")} AS reliability
+    FROM (VALUES (0), (6), (42)) r(row) LEFT JOIN tracks t ON t.row = r.row AND t.x IS NOT NULL GROUP BY r.row""", "tracks"))
+def reference_reliability(spark, sf):
+    return rounded(ge.reference_reliability(fx.tracks(spark, sf), [0, 6, 42]))

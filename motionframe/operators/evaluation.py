@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from motionframe.functions.columns import ratio_or_zero
+from motionframe.plans.ranking import spearman
 
 
 def per_class_accuracy(preds: DataFrame, names: DataFrame | None = None,
@@ -150,3 +151,21 @@ def best_epoch_gap(hist: DataFrame) -> DataFrame:
                        F.col("b.val_acc").alias("val_acc"),
                        (F.col("b.train_acc") - F.col("b.val_acc")).alias("train_val_gap")).orderBy(
         F.desc("val_acc"), "run_id")
+
+
+def support_vs_accuracy(preds: DataFrame) -> DataFrame:
+    """Rank correlation of a class's number of samples with its accuracy: imbalance shows as a high one."""
+    return spearman(per_class_accuracy(preds), "n_val", "accuracy")
+
+
+def weak_class_overlap(preds: DataFrame, k: int = 20, weakest: int = 20) -> DataFrame:
+    """How many of the top k confused pairs start from one of the weakest classes.
+
+    One row: pairs found, pairs from a weak class, their share, and the weak classes hit.
+    """
+    pairs = confused_pairs(preds, k).select("label")
+    weak = per_class_accuracy(preds).orderBy("accuracy", "label").limit(weakest).select("label", F.lit(True).alias("weak"))
+    return pairs.join(F.broadcast(weak), "label", "left").agg(  # `weakest` rows
+        F.count("*").alias("n_pairs"), F.count("weak").alias("n_from_weak"),
+        ratio_or_zero(F.count("weak"), F.count("*")).alias("share"),
+        F.count_distinct(F.when(F.col("weak"), F.col("label"))).alias("n_weak_classes"))
