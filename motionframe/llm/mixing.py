@@ -10,7 +10,7 @@ from motionframe.session import materialize
 
 WEIGHTS = (5, 2, 1)         # weights of the datasets in name order, repeating
 MAX_REPEATS = 3             # copies of one entity at most
-ROWS_PER_BUCKET = 50_000    # rows that one task orders; the number of buckets follows the input
+ROWS_PER_BUCKET = 4_000    # rows that one task orders; the number of buckets follows the input
 
 
 def dataset_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
