@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motionframe.llm.words import hash_runs, hash_words, mix64, split_words, text_bytes
+from motionframe.session import ship_package
 
 WINDOW = 50                    # words
 GRAM = 25                      # words of the run that stands for a window in the sketch
-PART_BYTES = 8 << 20           # notes per task; the number of tasks follows the input
+PART_BYTES = 4 << 20           # notes per task; the number of tasks follows the input
 BYTES_PER_WORD = 6             # for sizing only
 CELLS_PER_GRAM = 4             # sketch width per selected gram
 DEPTH = 2                      # sketch rows
@@ -67,7 +68,7 @@ def windows_of(keys: pa.ChunkedArray, notes: pa.ChunkedArray) -> Windows:
 
 
 def _cells(gram: np.ndarray, row: int, width: int) -> np.ndarray:
-    return mix64(gram + np.uint64(row + 1) * np.uint64(0xA0761D6478BD642F)) % np.uint64(width)
+    return mix64(gram ^ np.uint64(0xA0761D6478BD642F >> row)) % np.uint64(width)
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -165,7 +166,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"], "hashes": pa.array([_blob(f) for f in found], pa.binary())})
 
 
-def _cut(table: pa.Table, answers: pa.Table, name: str, keep: list[str]) -> pa.Table:
+def _cut(table: pa.Table, answers: pa.Table, name: str) -> pa.Table:
     """Takes the removed windows out of a part's notes."""
     w = windows_of(table["k"], table["notes"])
     gone = np.zeros(len(w.start), bool)
@@ -210,6 +211,7 @@ def cut_repeated_passages(runs: DataFrame, *, key: str = "run_id", notes: str =
     share is one entry per part, and nothing is broadcast.
     """
     spark = runs.sparkSession
+    ship_package(spark)
     rows = runs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(notes), F.lit("")).alias("notes"))
     size = rows.agg(F.sum(F.octet_length("notes"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
@@ -230,4 +232,4 @@ def cut_repeated_passages(runs: DataFrame, *, key: str = "run_id", notes: str =
     schema = runs.select(F.col(key).cast("long").alias(key)).schema.add("n_words", "long").add(
         "n_removed", "long").add("kept_sha256", "string")
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
-        lambda t, a: _cut(t, a, key, []), schema)
+        lambda t, a: _cut(t, a, key), schema)
