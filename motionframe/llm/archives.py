@@ -13,7 +13,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from motionframe.session import scratch_dir
+from motionframe.session import scratch_dir, ship_package
 
 SEGMENT_BYTES = 8 << 10     # block bytes per record; longer ones go on in continuation records
 CHUNK_BYTES = 4 << 10       # chunk size of the transfer coding
@@ -111,6 +111,7 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     puts the two line ends behind each record, so files land wherever Spark can write.
     """
     spark = pages.sparkSession
+    ship_package(spark)
     text = F.coalesce(F.col(payload), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).alias("k"), name.alias("name"), F.coalesce(F.col(url), F.lit("")).alias("url"),
@@ -148,6 +149,7 @@ _HEADS = "id string, origin string, segment int, total long, kind string, refers
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of all archive files below a path, gzip or plain."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
     def tasks(batches):
@@ -199,6 +201,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     A group is one page, so its size is that of a page. A revisit has no payload: its
     digest and length are those that its record states.
     """
+    ship_package(records.sparkSession)
     whole = records.where("segment = 0").select("id", "kind", "refers_to", F.col("digest").alias("stated_digest"), "block",
                                                 F.lit(None).cast("string").alias("fault"))
     whole = whole.withColumn("blocks", F.array("block")).drop("block")

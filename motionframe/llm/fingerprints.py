@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from motionframe.llm.words import row_id, text_bytes
-from motionframe.session import materialize
+from motionframe.session import materialize, ship_package
 
 RADIUS = 3                     # differing bits of a link
 SHINGLE = 3                    # words
@@ -48,6 +48,7 @@ def fingerprint(text: bytes) -> int:
 
 def note_fingerprints(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", row: str | None = None) -> DataFrame:
     """One row (k, fp) per run, with the column `row` if it is named; `fp` holds the 64 bits as a signed long."""
+    ship_package(runs.sparkSession)
     more = [F.col(row).alias("row")] if row else []
     rows = runs.select(F.col(key).alias("k"), *more, F.col(notes).alias("notes"))
     schema = rows.select("k", *more and ["row"], F.lit(0).cast("long").alias("fp")).schema
@@ -156,6 +157,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     buckets as keep a task at VARIANTS_PER_TASK, and no fingerprint goes to more of them
     than it has variants.
     """
+    ship_package(prints.sparkSession)
     n = prints.count()
     per_print = len(flips()[0]) + len(flips()[1]) / 2
     bits = max(3, int(np.ceil(np.log2(max(1.0, n * per_print / VARIANTS_PER_TASK)))))

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from motionframe.llm.words import hash_share
-from motionframe.session import materialize
+from motionframe.session import materialize, ship_package
 
 SAMPLE_PER_LANGUAGE = 2_000   # labelled notes that the model is fitted on, per language (about; by hash)
 WORDS_PER_LANGUAGE = 20_000   # most frequent words kept per language
@@ -150,6 +150,7 @@ def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id",
     all tasks; a Python worker builds it once.
     """
     spark = runs.sparkSession
+    ship_package(spark)
     # bounded by the limits of language_counts
     model = spark.sparkContext.broadcast(BackoffModel([tuple(r) for r in counts.collect()]))
     names = list(dict.fromkeys([key, *keep]))

@@ -8,6 +8,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from motionframe.session import ship_package
+
 ERROR_SHARE = 0.08          # edits per character of an item that still count as a leak
 MIN_WORDS = 5               # shorter items are no passages and are left out
 GRAM = 4                    # characters of the counting filter before verification
@@ -157,7 +159,7 @@ def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_
     Notes are read once per block of items and never moved. A block is a share of the
     items by hash, sized by their summed bytes, so what is sent to the tasks is bounded.
     """
-    spark = runs.sparkSession
+    ship_package(runs.sparkSession)
     items = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from motionframe.llm.language import LETTERS, letter_runs
-from motionframe.session import materialize
+from motionframe.llm.words import hash_share
+from motionframe.session import materialize, ship_package
 
 CATEGORIES = ("low_quality", "toxic")  # order of the chain
-SAMPLE_ROWS = 8_000                    # labelled notes that the chain is fitted on, the first by hash of the key
+SAMPLE_ROWS = 8_000                    # labelled notes that the chain is fitted on (about; by hash of the key)
 WORDS_PER_CATEGORY = 300               # most telling words kept per category
 LEAST_NOTES = 4                        # notes a word must stand in
 FOLDS = 5
@@ -96,7 +97,7 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
 def train_chain(runs: DataFrame, reviews: DataFrame, categories: Sequence[str] = CATEGORIES, *, key: str = "run_id",
                 notes: str = "notes", sample: int = SAMPLE_ROWS, words: int = WORDS_PER_CATEGORY,
                 folds: int = FOLDS) -> ChainModel:
-    """Fits the chain on at most `sample` reviewed notes.
+    """Fits the chain on about `sample` reviewed notes, drawn by hash of the key.
 
     `reviews` has the key and one 0/1 column per category; rows with a NULL among them
     are left out. Words are chosen by the chi-squared statistic of their presence. What
@@ -110,8 +111,10 @@ def train_chain(runs: DataFrame, reviews: DataFrame, categories: Sequence[str] =
     ys = [f"y{i}" for i in range(len(categories))]
     labelled = labelled.select(F.col(key).alias("k"), *labels).groupBy("k").agg(*[F.max(y).alias(y) for y in ys])
     notes_of = runs.where(F.col(notes).isNotNull()).select(F.col(key).alias("k"), F.col(notes).alias("notes"))
-    # keys are chosen before any text is read
-    chosen = labelled.join(notes_of.select("k"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(sample)
+    # keys are drawn before any text is read; about `sample` of them are sent to the scan of the notes
+    known = materialize(labelled.join(notes_of.select("k"), "k", "left_semi"))
+    rate = sample / max(1, known.count())
+    chosen = known.where(hash_share("k") < rate)
     rows = notes_of.join(F.broadcast(chosen), "k").dropDuplicates(["k"])
     present = F.array_distinct(F.regexp_extract_all(F.lower("notes"), F.lit(LETTERS), F.lit(0)))
     rows = rows.select("k", *ys, present.alias("words"))
@@ -151,6 +154,7 @@ def moderate_notes(runs: DataFrame, model: ChainModel, *, key: str = "run_id", n
     ones, repeated rows are kept, other columns ignored, an empty table gives no rows.
     The model has a bounded number of words and is sent to all tasks.
     """
+    ship_package(runs.sparkSession)
     sent = runs.sparkSession.sparkContext.broadcast(model)
     names = [key, *[n for c in model.categories for n in (f"p_{c}", c)]]
     schema = runs.select(key, *[f for c in model.categories for f in (F.lit(0.0).alias(f"p_{c}"), F.lit(True).alias(c))]).schema

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from motionframe.session import ship_package
+
 SHARD_ROWS = 8_192      # vectors of one graph; the number of shards follows the input
 QUERY_ROWS = 4_096      # queries that one task holds
 DEGREE = 32             # out-edges of a node
@@ -176,6 +178,7 @@ def build_index(vectors: DataFrame, k: int, *, key: str = "entity_id", features:
     Within a shard equal vectors are one node. k + 1 keys are enough for an exact answer
     among copies: a query drops only itself.
     """
+    ship_package(vectors.sparkSession)
     rows = usable(vectors, key, features)
     shards = shards or max(1, -(-rows.count() // SHARD_ROWS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int"))

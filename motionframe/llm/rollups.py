@@ -30,7 +30,10 @@ def _tokenizer(path: str):
 
 
 def file_counter(path: str):
-    """Counts ids of a tokenizers file over whole notes, without special tokens; NULL notes count 0."""
+    """Counts ids of a tokenizers file over whole notes, without special tokens; NULL notes count 0.
+
+    Call `ship_package` first where the executors cannot import this package.
+    """
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

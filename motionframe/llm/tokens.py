@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from motionframe.llm.words import is_space, slices, text_bytes
-from motionframe.session import scratch_dir
+from motionframe.session import scratch_dir, ship_package
 
 END_ID = 0
 PART_BYTES = 12 << 20           # notes per file; the number of files follows the input
@@ -207,6 +207,7 @@ def write_token_ids(runs: DataFrame, path: str, tokenizer: str, *, key: str = "r
     and the page index finds the pages of a key range.
     """
     spark = runs.sparkSession
+    ship_package(spark)
     rows = runs.select(F.col(key).alias(key), F.coalesce(F.col(notes), F.lit("")).alias("notes"))
     size = rows.agg(F.sum(F.octet_length("notes"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
@@ -258,6 +259,7 @@ def read_token_digests(spark: SparkSession, path: str, *, key: str = "run_id") -
 
     Here n_tokens is counted from the ids.
     """
+    ship_package(spark)
     table = spark.read.parquet(path).select(key, "part", "pos", "ids")
     schema = table.select(key, "part", "pos", F.lit(0).cast("long").alias("n_tokens"),
                           F.lit(0).cast("long").alias("ids_crc32")).schema
