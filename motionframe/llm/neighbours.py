@@ -12,7 +12,7 @@ SHARD_ROWS = 8_192      # vectors of one graph; the number of shards follows the
 QUERY_ROWS = 4_096      # queries that one task holds
 DEGREE = 32             # out-edges of a node
 BUILD_BEAM = 64
-SEARCH_BEAM = 96
+SEARCH_BEAM = 128
 ALPHA = 1.2             # relaxation of the pruning rule
 EXPAND = 4              # nodes opened per step of a search
 STARTS = 32             # entry points of a search
@@ -33,9 +33,13 @@ def _nearest_first(ids: np.ndarray, dist: np.ndarray, width: int) -> tuple[np.nd
     return ids[:, :width], dist[:, :width]
 
 
-def beam_search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy search for a block of queries at once: per query the `width` nearest nodes met, -1 where fewer."""
-    norm = np.einsum("ij,ij->i", x, x)
+def beam_search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, q: np.ndarray, width: int,
+                inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search for a block of queries at once: per query the `width` nearest nodes met, -1 where fewer.
+
+    Nearest by squared distance (less the query's own square), or by inner product.
+    """
+    norm = np.zeros(len(x), x.dtype) if inner else np.einsum("ij,ij->i", x, x)
     ids = np.repeat(starts[None, :], len(q), 0)
     dist = norm[ids] - 2 * (q @ x[starts].T)
     rows = np.arange(len(q))[:, None]
@@ -101,8 +105,9 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, degree: int,
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """Directed graph over the rows of x and its entry points.
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA,
+                first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Directed graph over the rows of x and its entry points, `first` among them.
 
     Rows join in growing batches in a random order: a search in the graph so far
     proposes neighbours, pruning keeps diverse ones, and back edges are pruned likewise.
@@ -110,10 +115,12 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     n = len(x)
     edges = np.full((n, degree), -1, np.int32)
     order = np.random.RandomState(3).permutation(n)
+    if first is not None:
+        order = np.concatenate([first, order[~np.isin(order, first)]])
     starts = order[:min(n, STARTS)].astype(np.int32)
     done = min(n, 2 * degree)
-    first = order[:done]
-    edges[first] = robust_prune(x, first, np.repeat(first[None, :].astype(np.int32), done, 0), degree, alpha)
+    seed = order[:done]
+    edges[seed] = robust_prune(x, seed, np.repeat(seed[None, :].astype(np.int32), done, 0), degree, alpha)
     while done < n:
         batch = order[done:done + min(done, BATCH)]
         ids, _ = beam_search(x, edges, starts, x[batch], beam)
@@ -141,16 +148,13 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return edges, starts
 
 
-def _lifted(x: np.ndarray) -> np.ndarray:
-    """Scales rows to norms of at most 1 and adds the coordinate that makes all norms 1.
+def _directions(x: np.ndarray) -> np.ndarray:
+    return (x / np.sqrt(np.square(x).sum(1, keepdims=True))).astype(np.float32)
 
-    Among the lifted rows the nearest to a query with a zero added is the one with the
-    largest inner product.
-    """
-    norms = np.sqrt(np.square(x).sum(1))
-    top = norms.max()
-    rest = np.sqrt(np.maximum(0, 1 - np.square(norms / top)))
-    return np.concatenate([x / top, rest[:, None]], 1).astype(np.float32)
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over the longest one's length, so that 32-bit numbers hold them."""
+    return (x / np.sqrt(np.square(x).sum(1).max())).astype(np.float32)
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -174,6 +178,10 @@ def build_index(vectors: DataFrame, k: int, *, key: str = "entity_id", features:
                 shards: int | None = None) -> DataFrame:
     """One row per shard with its distinct vectors, their smallest k + 1 keys, and the graph.
 
+    The graph joins near directions; searches walk it by inner product and begin, among
+    others, at the longest vectors, where large inner products are found. That keeps
+    recall for vectors of any lengths, which a graph of the vectors themselves does not.
+
     Shards are by hash of the key, so copies of one vector spread over all of them.
     Within a shard equal vectors are one node. k + 1 keys are enough for an exact answer
     among copies: a query drops only itself.
@@ -195,7 +203,8 @@ def build_index(vectors: DataFrame, k: int, *, key: str = "entity_id", features:
         own = np.full((len(x), min(k + 1, int(place.max()) + 1)), _NONE)
         fits = place < own.shape[1]
         own[group[by][fits], place[fits]] = ids[by][fits]
-        edges, starts = build_graph(_lifted(x))
+        longest = np.argsort(-np.square(x).sum(1), kind="stable")[:STARTS // 2]
+        edges, starts = build_graph(_directions(x), first=longest)
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()),
                          "n": pa.array([len(x)], pa.int32()), "vectors": [x.tobytes()], "ids": [own.tobytes()],
                          "edges": [edges.tobytes()], "starts": [starts.tobytes()]})
@@ -216,12 +225,11 @@ def _search_shard(index: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.T
         starts = np.frombuffer(row["starts"], np.int32)
         if n <= beam:
             starts = np.arange(n, dtype=np.int32)  # a shard within the beam is looked at whole
-        lifted = _lifted(x)
+        scaled = _scaled(x)
         q_ids, q = queries["entity_id"].to_numpy(), _matrix(queries["features"], dim)
         for at in range(0, len(q), BATCH):
             part, part_ids = q[at:at + BATCH], q_ids[at:at + BATCH]
-            unit = part / np.sqrt(np.square(part).sum(1, keepdims=True))
-            ids, _ = beam_search(lifted, edges, starts, np.pad(unit, ((0, 0), (0, 1))).astype(np.float32), beam)
+            ids, _ = beam_search(scaled, edges, starts, _directions(part), beam, inner=True)
             score = np.einsum("bcd,bd->bc", x[ids], part)
             found = own[ids]
             found[ids < 0] = _NONE
