@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,12 +19,12 @@ def group_presence(tracks: DataFrame) -> DataFrame:
         F.bool_or(F.col("x").isNotNull()).alias("present"))
 
 
-def frame_flags(tracks: DataFrame, roles: Mapping[str, str] = IDENTITY) -> DataFrame:
-    """One row per (entity, frame): presence of each role, of either and of both hands."""
+def frame_flags(tracks: DataFrame, roles: Mapping[str, str] = IDENTITY, more: Sequence[Column] = ()) -> DataFrame:
+    """One row per (entity, frame): presence of each role, of either and of both hands; `more` aggregates beside them."""
     seen = F.col("x").isNotNull()
     flags = tracks.groupBy("entity_id", "frame").agg(
         *[F.coalesce(F.bool_or(seen & (F.col("grp") == roles[r])), F.lit(False)).alias(r) for r in ROLES],
-        F.count("x").alias("n_seen"))
+        F.count("x").alias("n_seen"), *more)
     return flags.select("*", (F.col("left_hand") | F.col("right_hand")).alias("any_hand"),
                         (F.col("left_hand") & F.col("right_hand")).alias("both_hands"))
 
@@ -55,8 +55,13 @@ def detection_rates(tracks: DataFrame, n_channels: int,
 
     Frames without any row count as frames without presence.
     """
+    return rates_of_flags(frame_flags(tracks, roles), n_channels)
+
+
+def rates_of_flags(flags: DataFrame, n_channels: int) -> DataFrame:
+    """The detection rates from per-frame flags."""
     n = F.max("frame") - F.min("frame") + 1
-    return frame_flags(tracks, roles).groupBy("entity_id").agg(
+    return flags.groupBy("entity_id").agg(
         n.cast("long").alias("n_frames"),
         *[_rate(r, n).alias(f"{r}_rate") for r in ROLES],
         ((F.count_if(F.col("left_hand")) + F.count_if(F.col("right_hand"))) / (2 * n)).alias("hand_rate"),

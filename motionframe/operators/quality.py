@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from motionframe.functions.columns import nan_mean
 from motionframe.operators import presence as pr
@@ -52,9 +52,17 @@ def segment_cv(tracks: DataFrame, segments: Mapping[str, tuple[int, int]] = ARM_
     Zero distances are dropped; NULL below two frames. `bone_cv` is the mean of all
     segments that have a value.
     """
+    wanted = {r for pair in segments.values() for r in pair}
+    return _cv_of_frames(tracks.where(F.col("row").isin(*wanted)).groupBy("entity_id", "frame").agg(*_ends(segments)), segments)
+
+
+def _ends(segments: Mapping[str, tuple[int, int]]) -> list[Column]:
+    """Positions of the segments' ends, as aggregates over a frame's rows."""
     wanted = sorted({r for pair in segments.values() for r in pair})
-    per = tracks.where(F.col("row").isin(wanted)).groupBy("entity_id", "frame").agg(
-        *[F.max(F.when(F.col("row") == r, F.col(a))).alias(f"{a}{r}") for r in wanted for a in "xy"])
+    return [F.max(F.when(F.col("row") == r, F.col(a))).alias(f"{a}{r}") for r in wanted for a in "xy"]
+
+
+def _cv_of_frames(per: DataFrame, segments: Mapping[str, tuple[int, int]]) -> DataFrame:
     aggs = []
     for name, (a, b) in segments.items():
         d = F.sqrt((F.col(f"x{a}") - F.col(f"x{b}")) ** 2 + (F.col(f"y{a}") - F.col(f"y{b}")) ** 2)
@@ -70,15 +78,19 @@ def segment_cv(tracks: DataFrame, segments: Mapping[str, tuple[int, int]] = ARM_
 def entity_quality(catalog: DataFrame, tracks: DataFrame, n_channels: int,
                    roles: Mapping[str, str] = pr.IDENTITY,
                    segments: Mapping[str, tuple[int, int]] = ARM_SEGMENTS) -> DataFrame:
-    """Every proxy per catalog entity; entities without frames get the defined defaults."""
-    rates = pr.detection_rates(tracks, n_channels, roles)
-    gaps = pr.longest_gap(pr.frame_flags(tracks, roles)).drop("n_frames")
+    """Every proxy per catalog entity; entities without frames get the defined defaults.
+
+    Rates, gaps and segments start from one row per frame, which is written once.
+    """
+    frames = materialize(pr.frame_flags(tracks, roles, _ends(segments)))
+    rates = pr.rates_of_flags(frames, n_channels)
+    gaps = pr.longest_gap(frames).drop("n_frames")
     jit = jitter(tracks, [roles[r] for r in ("left_hand", "right_hand", "pose")]).groupBy(
         "entity_id").agg(*[F.max(F.when(F.col("grp") == roles[r], F.col("jitter"))).alias(f"j_{r}")
                            for r in ("left_hand", "right_hand", "pose")])
     jit = jit.select("entity_id", nan_mean("j_left_hand", "j_right_hand").alias("jitter_hand"),
                      F.col("j_pose").alias("jitter_pose"))
-    cv = segment_cv(tracks, segments).select("entity_id", "bone_cv")
+    cv = _cv_of_frames(frames, segments).select("entity_id", "bone_cv")
     out = catalog.join(rates, "entity_id", "left").join(gaps, "entity_id", "left").join(
         jit, "entity_id", "left").join(cv, "entity_id", "left")
 
