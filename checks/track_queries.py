@@ -150,3 +150,37 @@ def acceleration(spark, sf):
     FROM (VALUES (0), (6), (42)) r(row) LEFT JOIN tracks t ON t.row = r.row AND t.x IS NOT NULL GROUP BY r.row""", "tracks"))
 def reference_reliability(spark, sf):
     return rounded(ge.reference_reliability(fx.tracks(spark, sf), [0, 6, 42]))
+
+
+@query("p3_infer_handedness", sql(
+    """SELECT entity_id, count(CASE WHEN grp = 'click' THEN x END) AS n_left, count(CASE WHEN grp = 'signup' THEN x END) AS n_right,
+    CASE WHEN count(CASE WHEN grp = 'click' THEN x END) > count(CASE WHEN grp = 'signup' THEN x END) THEN 'left' ELSE 'right' END AS hand
+    FROM tracks GROUP BY entity_id""", "tracks"))
+def infer_handedness(spark, sf):
+    return ge.infer_handedness(fx.tracks(spark, sf), "click", "signup")
+
+
+@query("p3_mirror", sql(
+    f"""SELECT entity_id, class, frame, CASE grp WHEN 'click' THEN 'signup' WHEN 'signup' THEN 'click' ELSE grp END AS grp, idx,
+    CAST(CASE grp WHEN 'click' THEN row + 6 WHEN 'signup' THEN row - 6 ELSE row END AS INTEGER) AS row,
+    {rd('100 - x')} AS x, {rd('y')} AS y FROM tracks""", "tracks"))
+def mirror(spark, sf):
+    pairs = [(i, i + 6, "signup", i) for i in (0, 1)] + [(i + 6, i, "click", i) for i in (0, 1)]
+    swap = spark.createDataFrame(pairs, "row int, to_row int, to_grp string, to_idx int")
+    t = ge.mirror(fx.tracks(spark, sf).drop("z"), swap, 100.0)
+    return rounded(t.select("entity_id", "class", "frame", "grp", "idx", "row", "x", "y"))
+
+
+def _u(*parts: str) -> str:
+    text = " || '|' || ".join(["'7'", *parts])
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query("p4_augment", sql(
+    f"""SELECT entity_id, class, grp, idx, row, frame, CASE WHEN kept THEN {rd('s * (x * cos(a) - y * sin(a)) + dx', 5)} END AS x,
+    CASE WHEN kept THEN {rd('s * (x * sin(a) + y * cos(a)) + dy', 5)} END AS y, CASE WHEN kept THEN {rd('s * z', 5)} END AS z FROM (
+      SELECT *, (2 * {_u("'0'", 'CAST(entity_id AS VARCHAR)')} - 1) * 0.2::DOUBLE AS a, 1 + (2 * {_u("'1'", 'CAST(entity_id AS VARCHAR)')} - 1) * 0.1::DOUBLE AS s,
+             (2 * {_u("'2'", 'CAST(entity_id AS VARCHAR)')} - 1) * 0.05::DOUBLE AS dx, (2 * {_u("'3'", 'CAST(entity_id AS VARCHAR)')} - 1) * 0.05::DOUBLE AS dy,
+             {_u("'frame'", 'CAST(entity_id AS VARCHAR)', 'CAST(frame AS VARCHAR)')} >= 0.1 AS kept FROM tracks)""", "tracks"))
+def augment(spark, sf):
+    return rounded(ge.augment(fx.tracks(spark, sf), 7), digits=5)

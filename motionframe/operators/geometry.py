@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from motionframe.operators.series import KEY, SEGMENT_FRAMES, savgol_smooth
 
@@ -60,3 +60,49 @@ def acceleration(tracks: DataFrame, axes: Sequence[str] = ("x", "y"), *, segment
     rows = rows.where(seg == F.col("seg"))
     keep = [c for c in ("entity_id", "class", "grp", "idx", "row", "frame") if c in rows.columns]
     return rows.select(*keep, *[F.when(F.col("ok"), F.col(f"d2{a}")).alias(f"d2{a}") for a in axes])
+
+
+def infer_handedness(tracks: DataFrame, left: str = "left_hand", right: str = "right_hand") -> DataFrame:
+    """Per entity the hand that is observed more often, with both counts; the right one on a tie."""
+    seen = F.col("x").isNotNull()
+    out = tracks.groupBy("entity_id").agg(
+        F.count_if(seen & (F.col("grp") == left)).alias("n_left"), F.count_if(seen & (F.col("grp") == right)).alias("n_right"))
+    return out.withColumn("hand", F.when(F.col("n_left") > F.col("n_right"), "left").otherwise("right"))
+
+
+def mirror(tracks: DataFrame, swap: DataFrame, width: float = 1.0) -> DataFrame:
+    """Mirrored tracks: x counts from the other side of `width`, and paired channels change places.
+
+    `swap` has row, to_row, to_grp and to_idx for channels that have a counterpart; the
+    others keep their place. One row per channel, so it is small whatever the tracks.
+    """
+    out = tracks.join(F.broadcast(swap), "row", "left")
+    place = {"row": "to_row", "grp": "to_grp", "idx": "to_idx"}
+    return out.select(*[
+        F.coalesce(place[c], c).cast(tracks.schema[c].dataType).alias(c) if c in place
+        else (F.lit(float(width)) - F.col("x")).alias("x") if c == "x" else F.col(c) for c in tracks.columns])
+
+
+def _draw(seed: int, *parts) -> Column:
+    """A number from 0 to 1 from a seed and columns, the same on every run and partitioning."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def augment(tracks: DataFrame, seed: int, *, angle: float = 0.2, scale: float = 0.1, shift: float = 0.05,
+            dropout: float = 0.1) -> DataFrame:
+    """Each entity rotated about the origin, scaled and moved as a whole, and some of its frames dropped.
+
+    One draw per entity, so that motion stays coherent: rotation up to `angle` radians
+    and scaling up to `scale` either way, moves up to `shift` along x and y. A dropped
+    frame's values are NULL in all channels, for gap filling. Nothing is moved or joined.
+    """
+    def both(i: int, most: float) -> Column:
+        return (2 * _draw(seed, F.lit(i), F.col("entity_id")) - 1) * most
+
+    turn, size = both(0, angle), 1 + both(1, scale)
+    kept = _draw(seed, F.lit("frame"), F.col("entity_id"), F.col("frame")) >= dropout
+    x = size * (F.col("x") * F.cos(turn) - F.col("y") * F.sin(turn)) + both(2, shift)
+    y = size * (F.col("x") * F.sin(turn) + F.col("y") * F.cos(turn)) + both(3, shift)
+    moved = {"x": x, "y": y, "z": size * F.col("z")}
+    return tracks.select(*[F.when(kept, moved[c]).alias(c) if c in moved else F.col(c) for c in tracks.columns])

@@ -28,7 +28,6 @@ from motionframe.session import materialize
 KEY = ["entity_id", "row"]
 ATTRS = ["class", "grp", "idx"]
 SEGMENT_FRAMES = 4096
-BROADCAST_TRACKS = 100_000  # tracks of several segments up to which their keys are broadcast
 
 
 def _over(keys: Sequence[str], order: Sequence[str]) -> str:
@@ -59,11 +58,8 @@ def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str]
         *keys, "seg", f"greatest(f0, seg * {size} - {margin}) AS frame",
         *[f"CAST(NULL AS DOUBLE) AS {a}" for a in axes], "f0", "f1", "false AS real")
     longer = span.where(f"floor(f0 / {size}) < floor(f1 / {size})").select(*KEY, "f0", "f1")
-    n_longer = longer.count()
-    if n_longer == 0:
+    if longer.isEmpty():  # then there is nothing to carry
         return edges, False
-    if n_longer <= BROADCAST_TRACKS:
-        longer = F.broadcast(longer)
     return edges.unionByName(_carry_rows(tracks, longer, axes, size, margin)), True
 
 
