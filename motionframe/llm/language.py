@@ -16,10 +16,10 @@ from motionframe.session import materialize, ship_package
 
 SAMPLE_PER_LANGUAGE = 2_000   # labelled notes that the model is fitted on, per language (about; by hash)
 WORDS_PER_LANGUAGE = 20_000   # most frequent words kept per language
-GRAMS_PER_LANGUAGE = 20_000   # most frequent character n-grams kept per language and length
+GRAMS_PER_LANGUAGE = 8_000    # most frequent character n-grams kept per language and length
 LONGEST_GRAM = 5
 UNKNOWN = "und"
-KNOWN_WORDS = 500_000         # scored words that a Python worker keeps
+KNOWN_WORDS = 200_000         # scored words that a Python worker keeps
 
 # Fixed: a word is a run of letters, here and in the training query.
 LETTERS = r"\p{L}+"
