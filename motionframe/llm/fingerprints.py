@@ -15,7 +15,7 @@ from motionframe.session import materialize, ship_package
 RADIUS = 3                     # differing bits of a link
 SHINGLE = 3                    # words
 SEED = 42                      # of XXH64
-VARIANTS_PER_TASK = 4_000_000  # variants that one bucket makes; the number of buckets follows the input
+VARIANTS_PER_TASK = 3_000_000  # variants that one bucket makes; the number of buckets follows the input
 
 _BITS = 64
 
