@@ -67,7 +67,7 @@ class BackoffModel:
         self.logs, self.unseen, self.memo = logs, size, {}
 
     def __reduce__(self):
-        return BackoffModel, (self.counts,)
+        return _in_worker, (self.counts,)
 
     def word(self, word: str) -> tuple[int, ...]:
         """The rows of `logs` that a word scores."""
@@ -106,6 +106,13 @@ class BackoffModel:
         return self.languages[best], float(share)
 
 
+def _in_worker(counts: list[tuple[str, int, str, int]]) -> BackoffModel:
+    """The model without the counts it came from, which only the driver sends on."""
+    model = BackoffModel(counts)
+    model.counts = []
+    return model
+
+
 def language_counts(labelled: DataFrame, *, key: str = "run_id", notes: str = "notes", lang: str = "lang",
                     sample: int = SAMPLE_PER_LANGUAGE, words: int = WORDS_PER_LANGUAGE,
                     grams: int = GRAMS_PER_LANGUAGE) -> DataFrame:
