@@ -18,6 +18,7 @@ PART_BYTES = 12 << 20           # notes per file; the number of files follows th
 ROW_GROUP_BYTES = 16 << 20      # several row groups per large file, each with its own dictionary
 PAGE_BYTES = 256 << 10          # small pages: the page index lets a reader take few of them
 PAGE_ROWS = 2_000
+SLICE_BYTES = 6 << 20           # notes whose pieces are made distinct together
 KNOWN_PIECES = 300_000          # pieces whose ids a Python worker keeps
 
 _BLANKS = b" \t\n\r\x0b\f"
@@ -211,15 +212,15 @@ def write_token_ids(runs: DataFrame, path: str, tokenizer: str, *, key: str = "r
     rows = runs.select(F.col(key).alias(key), F.coalesce(F.col(notes), F.lit("")).alias("notes"))
     size = rows.agg(F.sum(F.octet_length("notes"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    order = [F.asc_nulls_first(key), F.octet_length("notes"), F.xxhash64("notes")]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = [F.asc_nulls_first(key), F.octet_length("notes")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.xxhash64("notes"))
     schema = rows.select(key, F.lit(None).cast("array<int>").alias("ids"), F.lit(0).cast("long").alias("n_tokens"),
                          F.lit(0).alias("pos")).schema
 
     def tasks(batches):
         encoder, pos = piece_encoder(tokenizer), 0
         for batch in batches:
-            for notes, keys in slices(batch.column(1), batch.column(0), 8 << 20):
+            for notes, keys in slices(batch.column(1), batch.column(0), SLICE_BYTES):
                 ends, ids = encoder.encode(*text_bytes(notes), end_id)
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
