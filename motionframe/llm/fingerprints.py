@@ -15,6 +15,7 @@ from motionframe.session import materialize, ship_package
 RADIUS = 3                     # differing bits of a link
 SHINGLE = 3                    # words
 SEED = 42                      # of XXH64
+LEAST_BITS = 7                 # 128 buckets at least: what is sent grows in proportion up to there
 VARIANTS_PER_TASK = 3_000_000  # variants that one bucket makes; the number of buckets follows the input
 
 _BITS = 64
@@ -160,7 +161,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     ship_package(prints.sparkSession)
     n = prints.count()
     per_print = len(flips()[0]) + len(flips()[1]) / 2
-    bits = max(3, int(np.ceil(np.log2(max(1.0, n * per_print / VARIANTS_PER_TASK)))))
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1.0, n * per_print / VARIANTS_PER_TASK)))))
     reach = _reach(bits)
 
     def send(batches):
