@@ -58,6 +58,19 @@ def _odd_rows(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return odd
 
 
+def _rows_with(raw: np.ndarray, bounds: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Rows that hold one of the texts; a text over a boundary counts for the row it begins in."""
+    found = np.zeros(len(bounds) - 1, bool)
+    data = raw.tobytes() if texts else b""
+    for text in texts:
+        at = data.find(text)
+        while at >= 0:
+            row = np.searchsorted(bounds, at, "right") - 1
+            found[row] = True
+            at = data.find(text, bounds[row + 1])
+    return found
+
+
 def _split_marks(raw: np.ndarray, starts: np.ndarray, odd: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Cuts off up to four marks that close a piece behind a letter or digit: a token run of their own."""
     ends = np.append(starts[1:], len(raw))[:len(starts)]
@@ -77,7 +90,8 @@ class PieceEncoder:
     Byte-level splitting never joins what stands before a space with what stands after
     it. So a text is cut before single spaces between visible characters, before the marks
     that close a word and before the white space at its end, the library encodes each distinct piece, and the ids are put
-    together. A text with any other spaces is one piece.
+    together. A text with any other spaces is one piece, and so is one that holds an added
+    token of the file: the library looks for those before it splits.
     """
 
     def __init__(self, path: str, most: int = KNOWN_PIECES):
@@ -89,6 +103,9 @@ class PieceEncoder:
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(token)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # pieces put side by side could make up an added token with a space
+        self.joins = not any(b" " in t for t in self.added)
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
@@ -106,6 +123,7 @@ class PieceEncoder:
         spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
         second = data[np.minimum(at[:-1] + 1, at[1:] - 1)]
         plain = (data[at[:-1]] == 0x20) & (np.diff(spaces[at]) == 1) & ~is_space(data[at[1:] - 1]) & ~is_space(second)
+        plain &= self.joins & ~_rows_with(data[at[0]:at[-1]], at - at[0], self.added)
         sizes = np.zeros(n, np.int64)
         rows, parts = np.flatnonzero(plain), []
         own = pieces.filter(pa.array(plain))
@@ -134,7 +152,7 @@ class PieceEncoder:
         if len(self.known) > self.most:
             self.known.clear()
         cut = raw == 0x20
-        odd = _odd_rows(raw, bounds)
+        odd = _odd_rows(raw, bounds) | _rows_with(raw, bounds, self.added)
         for row in np.flatnonzero(odd):
             cut[bounds[row]:bounds[row + 1]] = False
         # the white space at a row's end is cut off as one piece

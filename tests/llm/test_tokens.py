@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from motionframe.llm import tokens
 from motionframe.llm.words import text_bytes
@@ -38,6 +38,32 @@ def test_any_texts(texts):
     assert encoded(OWN, texts) == [OWN.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+ADDED = ["junk <|endoftext|>", "junk<|endoftext|> x", "a <|endoftext|>\n", "<|endoftext|>", " <|endoftext|>", "a <|endoftext|>. b",
+         "x<|endoftext|><|endoftext|> y", "<|endoftext|", "|> <|endof text|>", "", "a b", "junk <|endoftext|>"]
+
+
+def test_added_tokens_are_never_cut():
+    plain, own = Tokenizer.from_file(PATH), tokens.PieceEncoder(PATH)
+    for texts in (ADDED, ADDED[::-1], ADDED[:1]):
+        assert encoded(own, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", "é", " ", "\n", ".", "'s", "7"]), max_size=9)
+                .map("".join), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_any_texts_with_added_tokens(texts):
+    assert encoded(OWN, texts) == [OWN.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_of_other_files(tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    plain.add_tokens([AddedToken("x y"), AddedToken("｜é｜", rstrip=True), AddedToken("Z", lstrip=True, single_word=True)])
+    path = str(tmp_path / "more.json")
+    plain.save(path)
+    own, texts = tokens.PieceEncoder(path), ["a x", " y b", "a x y b", "q ｜é｜ z", " ｜é｜", " b c", "aZ Z.", "a Z z"]
+    assert encoded(own, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("which", ["awkward", "odd"])
 def test_round_trip(spark, make, awkward, tmp_path, which):
     df = awkward if which == "awkward" else make(ODD)
