@@ -155,13 +155,15 @@ def token_totals(spark, sf_dir):
         F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("notes"))
     digest = F.md5(F.coalesce("notes_before", F.lit("")))
     first = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first"))
-    later = docs.withColumn("digest", digest).select("doc_id", "digest").join(first, "digest").where("doc_id > first")
-    gone = docs.join(later.select("doc_id"), "doc_id")
+    # counts instead of texts: each row is moved once, flagged by its own digest and doc_id
+    counts = docs.select("doc_id", "dataset", "lang", digest.alias("digest"), *[c("notes").alias(v) for v, c in versions.items()])
+    gone = counts.join(first, "digest").where("doc_id > first")
+    counted = {v: lambda _, v=v: F.col(v) for v in versions}
     ledger = scratch_dir(spark, "token-totals")
     rollups.commit_batch(rollups.inserts(docs, versions, notes="notes_before"), ledger, 1)
     for _ in range(2):
         rollups.commit_batch(rollups.revisions(docs.where(~F.col("notes_before").eqNullSafe(F.col("notes"))), versions), ledger, 2)
-    rollups.commit_batch(rollups.deletes(gone, versions), ledger, 3)
+    rollups.commit_batch(rollups.deletes(gone, counted, notes="digest"), ledger, 3)
     return rollups.token_totals(spark, ledger)
 
 

@@ -1,5 +1,7 @@
 """Registered queries: SQL where there is one, contracts and the pipeline on the smallest tables."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -15,6 +17,18 @@ def test_query_equals_sql(spark, name):
     assert result.startswith("ok"), result
 
 
+def test_totals_of_repeated_rows_and_doc_ids(spark, tmp_path):
+    docs = [(1, "one two"), (2, "one two"), (2, "one two"), (3, "one two"), (3, "three"), (4, "three"), (4, "one two"), (4, "one two"),
+            (5, None), (6, ""), (6, ""), (None, "one two"), (None, "three"), (None, "own"), (7, "a\na\nb"), (7, "a\na\nb"), (7, "a\nb")]
+    for i, rows in enumerate([docs[:3], [(1, "a"), (2, "a"), (2, "b")], docs]):
+        columns = {"doc_id": pa.array([k for k, _ in rows], pa.int64()), "source": ["s" if k != 6 else None for k, _ in rows],
+                   "lang": ["en" if k != 3 else None for k, _ in rows], "text": [t for _, t in rows]}
+        (tmp_path / str(i)).mkdir()
+        pq.write_table(pa.table(columns), tmp_path / str(i) / "documents.parquet")
+        result, _ = compare(spark, str(tmp_path / str(i)), queries.QUERIES["op10_token_totals"], queries.SQL["op10_token_totals"])
+        assert result.startswith("ok"), (rows, result)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
