@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, functions as F
 from motionframe.session import ship_package
 
 ERROR_SHARE = 0.08          # edits per character of an item that still count as a leak
-MIN_WORDS = 5               # shorter items are no passages and are left out
+MIN_WORDS = 5               # items of fewer words that may not be edited stand between word borders
 GRAM = 4                    # characters of the counting filter before verification
 BLOCK_BYTES = 4 << 20       # item text that one pass looks for; more items make more passes
 
 _OTHER = re.compile(r"[\W_]+")
 
+# Fixed: scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han), where any place is a word border.
+_NO_SPACES = re.compile("[\u0e00-\u109f\u1780-\u17ff\u19e0-\u19ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                        "\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+
 LEAK = "array<struct<item_id:long,distance:int,start:int,stop:int>>"
 
 
@@ -25,6 +29,11 @@ def plain(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def _between_borders(text: str, a: int, b: int) -> bool:
+    """Whether no word of a plain text runs over either end of text[a:b]."""
+    return not any(0 < at < len(text) and " " not in (pair := text[at - 1:at + 1]) and not _NO_SPACES.search(pair) for at in (a, b))
+
+
 def myers(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
     """Smallest edit distance of a pattern to any substring of a text, and where that first ends.
 
@@ -65,7 +74,8 @@ class ItemFinder:
     An item with a budget of k edits is split into k + 1 pieces; k edits leave at least
     one of them whole. Its exact hits propose places, an exact count of shared character
     n-grams drops most chance hits, and Myers' distance decides. Nothing within the
-    budget is lost.
+    budget is lost. An item too short for an edit is one piece, and its hits are the
+    places; with fewer than MIN_WORDS words it must not begin or end inside a word.
     """
 
     def __init__(self, items: list[tuple[int, str]], share: float = ERROR_SHARE):
@@ -74,7 +84,7 @@ class ItemFinder:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = plain(text)
-            if text.count(" ") + 1 < MIN_WORDS:
+            if not text:
                 continue
             budget, number = int(len(text) * share), len(self.items)
             grams: dict[str, int] = {}
@@ -105,6 +115,12 @@ class ItemFinder:
         out = []
         for number in sorted(shifts):
             item_id, item, budget, masks, reverse, grams = self.items[number]
+            if not budget:
+                short = item.count(" ") + 1 < MIN_WORDS
+                place = min((a for a in shifts[number] if not short or _between_borders(text, a, a + len(item))), default=None)
+                if place is not None:
+                    out.append({"item_id": item_id, "distance": 0, "start": place, "stop": place + len(item)})
+                continue
             best = (budget + 1, 0, 0)
             # places whose regions overlap are looked at together
             first = last = None
@@ -150,11 +166,13 @@ def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_
     """Adds `leaks` to every run: the benchmark items whose text stands in its notes, with a few edits.
 
     Both sides are compared in plain form (lower case, other signs one space). An item
-    leaks where at most `share` edits per character lead to a substring of the notes.
-    Each entry has item_id, distance, and the place in the plain notes. NULL or empty
-    notes and items have no leaks, repeated items are reported once each, items with a
-    NULL id or fewer than MIN_WORDS words are left out. All columns of the runs stay; one
-    named `leaks` is replaced. Empty tables are fine on either side.
+    leaks where at most `share` edits per character lead to a substring of the notes. If
+    that allows no edit, an item of fewer than MIN_WORDS words must also stand between
+    word borders; in scripts without spaces these are everywhere. Each entry has item_id,
+    distance, and the place in the plain notes. Notes and items that are NULL or empty in
+    plain form have no leaks, repeated items are reported once each, items with a NULL id
+    are left out. All columns of the runs stay; one named `leaks` is replaced. Empty
+    tables are fine on either side.
 
     Notes are read once per block of items and never moved. A block is a share of the
     items by hash, sized by their summed bytes, so what is sent to the tasks is bounded.

@@ -76,3 +76,19 @@ def test_awkward_sides(spark, awkward, items):
     none = leaks.mark_leaks(awkward, odd.limit(0))
     assert none.where("size(leaks) > 0").count() == 0 and none.count() == awkward.count()
     assert leaks.mark_leaks(awkward.limit(0), odd).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "在标准大气压下水的沸点是多少摄氏度，如果气压降低到一半，沸点会升高还是降低，请说明理由？"
+    items = [(1, "What is 17 * 24?"), (2, "Who wrote Hamlet?"), (3, "art"), (4, "首都是哪"), (5, han), (6, "?!"), (7, "x y z"),
+             (8, "ประเทศไทย"), (9, "42"), (10, "photosynthesis"), (11, "GPT")]
+    notes = {"q: what is 17*24 ?": [1], "Ask: who  WROTE hamlet": [2], "who wrote hamlets": [2], "party start": [], "The art.": [3], "Art": [3],
+             "请问法国的首都是哪里": [4], "甲" + han.replace("大", "小") + "乙": [5], "什么是GPT呢": [11], "GPTs": [],
+             "ax y z x y zb": [], "ax y z, x y z!": [7], "อยู่ประเทศไทยนี้": [8], "142 42": [9], "142": [], "of photosyntheses": [10], "": [], "?!": []}
+    got = leaks.mark_leaks(spark.createDataFrame([(t,) for t in notes], "notes string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.notes: [x.item_id for x in r.leaks] for r in got.collect()} == notes
+    plains = {i: leaks.plain(t) for i, t in items}
+    for r in got.collect():
+        for x in r.leaks:
+            place = leaks.plain(r.notes)[x.start:x.stop]
+            assert brute(plains[x.item_id], place) == x.distance and (x.distance or place == plains[x.item_id])
