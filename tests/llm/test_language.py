@@ -75,3 +75,10 @@ def test_held_out_is_a_quarter_and_never_null(spark):
     got = spark.range(500).select("id", language.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
     assert spark.sql("SELECT cast(NULL AS long) AS id").select(language.held_out("id").alias("h")).first().h is False
+
+
+def test_longest_grams_are_kept(spark):
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:05d}") for i in range(6_000)]
+    rows = [("aa", " ".join(words[i::50])) for i in range(50)]
+    kept, every = (language.language_counts(frame(spark, rows), **own).where("n = 5").count() for own in ({}, {"grams": 10**6}))
+    assert kept == every > 12_000
