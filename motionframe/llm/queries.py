@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from motionframe.llm import (
-    archives, fingerprints, language, leaks, mixing, moderation, neighbours, repeats, rollups, tokens)
-from motionframe.llm.words import word_count
+    archives, fingerprints, interpolation, language, leaks, mixing, moderation, neighbours, periodic, phrases, repeats, rollups,
+    tokens)
+from motionframe.llm.words import WORD, word_count
 from motionframe.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +182,67 @@ def moderate_notes(spark, sf_dir):
         F.col("doc_id").alias("run_id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
     model = moderation.train_chain(runs, reviews)
     return moderation.moderate_notes(runs, model).withColumnRenamed("run_id", "doc_id")
+
+
+PHRASE_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS c
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+    GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT * FROM g WHERE c >= 30),
+x AS (SELECT lang, phrase, k, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+    SELECT x.lang, x.phrase, x.k, x.a, x.first_words, l.c AS l, r.c AS r, ((2000000::HUGEINT * x.a) // (l.c + r.c))::BIGINT AS score
+    FROM (SELECT *, unnest(range(1, k)) AS first_words FROM x) x
+    JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.first_words], ' ')
+    JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.first_words + 1:x.k], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, first_words) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM x)) GROUP BY ALL),
+kept AS (
+    SELECT low.* FROM low LEFT JOIN inside ON inside.lang = low.lang AND inside.phrase = low.phrase
+    WHERE inside.longer IS NULL OR 100 * inside.longer < 80 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank,
+       phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score
+FROM kept JOIN n ON n.lang = kept.lang
+QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op11_mine_phrases", PHRASE_SQL)
+def mine_phrases(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("run_id"), F.coalesce("lang", F.lit("und")).alias("dataset"), F.col("text").alias("notes"))
+    return phrases.mine_phrases(runs).withColumnRenamed("dataset", "lang")
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    """A tenth of the documents, by crc32 of the id, go on from a word with that word and those behind it over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    n = word_count("text")
+    docs = docs.withColumn("words", F.when((F.col("h") % 10 == 0) & (n > 0), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    a = F.col("g") % F.size("words")
+    docs = docs.withColumn("a", F.when(F.col("words").isNotNull(), a))
+    docs = docs.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    notes = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(again, " "))
+    return periodic.periodic_runs(docs.select(F.col("doc_id").alias("run_id"), notes.alias("notes"))).withColumnRenamed("run_id", "doc_id")
+
+
+@query("op13_note_scores")
+def note_scores(spark, sf_dir):
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
+    runs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("text").alias("notes"), learn.alias("learn"))
+    found = interpolation.note_scores(runs).withColumnRenamed("run_id", "doc_id")
+    return found.select("doc_id", (~learn).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
