@@ -16,7 +16,7 @@ TUNING_SHARE = 1 / 8   # of the notes to learn from: held out of the counts whil
 FREQUENCIES = 48       # buckets of context counts: powers of two
 ROUNDS = 15            # of expectation-maximisation
 CHANGE = 1e-4          # weights that move less are settled
-START = 0.5            # weight of a bucket that no tuning token falls into
+START = 0.5            # weight before the first round
 
 # Fixed: stand for the begin and the end of a note among the hashes of words.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
@@ -56,8 +56,8 @@ class Tokens:
 
 
 def _log_buckets(counts: Column) -> Column:
-    """The bucket of a context count: its power of two."""
-    return F.least(F.floor(F.log2(counts.cast("double"))), F.lit(FREQUENCIES - 1)).cast("int")
+    """The bucket of a context count, its power of two; NULL for contexts never seen."""
+    return F.when(counts > 0, F.least(F.floor(F.log2(counts.cast("double"))), F.lit(FREQUENCIES - 1))).cast("int")
 
 
 def _fit(events: DataFrame, n_types: int, n_tokens: int) -> list[list[float]]:
@@ -70,7 +70,7 @@ def _fit(events: DataFrame, n_types: int, n_tokens: int) -> list[list[float]]:
     part = {w: F.when(F.col(f"x{w}") > 0, F.col(f"c{w}") / F.col(f"x{w}")).otherwise(F.lit(0.0)) for w in (2, 3)}
     events = events.select("n", part[3].alias("m3"), part[2].alias("m2"), (F.col("c1") / max(n_tokens, 1)).alias("m1"),
                            _log_buckets(F.col("x3")).alias("b3"), _log_buckets(F.col("x2")).alias("b2"))
-    weights = [[START], [START] * FREQUENCIES, [START] * FREQUENCIES]
+    weights, reached = [[START], [START] * FREQUENCIES, [START] * FREQUENCIES], set()
     for _ in range(ROUNDS):
         def at(width):
             if width == 1:
@@ -94,10 +94,15 @@ def _fit(events: DataFrame, n_types: int, n_tokens: int) -> list[list[float]]:
         for width, b, weight in found:
             if weight is not None:
                 weight = round(weight, 6)  # sums of doubles depend on their order
+                reached.add((width, b))
                 moved = max(moved, abs(weight - weights[width - 1][b]))
                 weights[width - 1][b] = weight
         if moved < CHANGE:
             break
+    for width in (2, 3):  # contexts more frequent than the tuning notes know weigh as the nearest that they know
+        for b in range(1, FREQUENCIES):
+            if (width, b) not in reached:
+                weights[width - 1][b] = weights[width - 1][b - 1]
     return weights
 
 
@@ -117,7 +122,8 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
     powers of two; contexts never seen weigh nothing. Weights are learned by
     expectation-maximisation on about `tuning_share` of the training notes, drawn by hash
     of the key and left out of the counts meanwhile. The scores then use the counts of all
-    training notes.
+    training notes; a frequency that no tuning token has takes the weight of the next lower
+    one.
 
     NULL and blank notes consist of their end. NULL `learn` is false, a NULL key is drawn
     like any other. Repeated rows count and are scored each. Other columns are ignored,
