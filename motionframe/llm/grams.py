@@ -6,8 +6,8 @@ up and answers each part in the order of its question, so an answer is counts al
 n-gram that a third of all notes hold is one entry per part, wherever it stands. A message
 of few entries costs what a row of a shuffle would, so packing never loses.
 
-A hash has 20 bits more than it takes to number all n-grams of the input: a count is too
-large with a chance of one in a million, at every size. Words have all 64 bits.
+A hash has 17 bits more than it takes to number all n-grams of the input: a count is too
+large with a chance of one in a hundred thousand, at every size. Words have all 64 bits.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PART_BYTES = 4 << 20            # notes of one part; the number of parts follows the input
+PART_BYTES = 8 << 20            # notes of one part; the number of parts follows the input
 BYTES_PER_WORD = 6              # for sizing only
 ENTRIES_PER_BUCKET = 2_000_000  # n-grams that one task merges
-SPARE_BITS = 20
+SPARE_BITS = 17
 
 _CODEC = pa.Codec("zstd", 1)
-_ASKED = "bucket long, part int, width int, size int, hashes binary, counts array<binary>"
+_ASKED = "bucket long, part int, width int, size int, hashes binary, counts binary"
 _ANSWERED = "part int, width int, bucket long, size int, counts array<binary>, kinds long, mass long"
 
-# width of an n-gram -> (its distinct hashes in order, its own counts, one array per kind of count)
-Grams = Mapping[int, tuple[np.ndarray, list[np.ndarray]]]
+# width of an n-gram -> (the part's distinct hashes in order, their counts)
+Grams = Mapping[int, tuple[np.ndarray, np.ndarray]]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -95,12 +95,12 @@ def _ask(part: int, grams: Grams, sizes: Sizes) -> pa.Table:
             out["size"].append(len(own))
             out["hashes"].append(pack(np.diff(own, prepend=np.uint64(name) << np.uint64(sizes.bits(width) - sizes.bucket_bits)
                                                if sizes.bucket_bits else np.uint64(0))))
-            out["counts"].append([pack(c[start:stop]) for c in counts])
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
+            out["counts"].append(pack(counts[start:stop]))
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
 
-def _merge(bucket: int, table: pa.Table, sizes: Sizes, ceiling: int | None) -> pa.Table:
+def _merge(bucket: int, table: pa.Table, sizes: Sizes, ceiling: int | None, apart: int) -> pa.Table:
     out = {"part": [], "width": [], "bucket": [], "size": [], "counts": [], "kinds": [], "mass": []}
     rows = table.to_pylist()
     for width in sorted({r["width"] for r in rows}):
@@ -108,29 +108,32 @@ def _merge(bucket: int, table: pa.Table, sizes: Sizes, ceiling: int | None) -> p
         base = np.uint64(bucket) << np.uint64(sizes.bits(width) - sizes.bucket_bits) if sizes.bucket_bits else np.uint64(0)
         hashes = np.concatenate([np.cumsum(unpack(r["hashes"], r["size"]), dtype=np.uint64) + base for r in own])
         ends = np.cumsum([r["size"] for r in own])
-        _, _, index = distinct(hashes)
-        totals, kinds, mass = [], 0, 0
-        for kind in range(len(own[0]["counts"])):
-            sent = np.concatenate([unpack(r["counts"][kind], r["size"]) for r in own]).astype(np.int64)
-            total = np.zeros(int(index.max()) + 1, np.int64)
-            np.add.at(total, index, sent)
-            if kind == 0:  # n-grams with a count of the first kind, and these counts added up
-                kinds, mass = int((total > 0).sum()), int(total.sum())
-            totals.append((total if ceiling is None else np.minimum(total, ceiling))[index].astype(np.uint64))
+        found, _, index = distinct(hashes)
+        sent = np.concatenate([unpack(r["counts"], r["size"]) for r in own]).astype(np.int64)
+        total, others = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+        np.add.at(total, index, sent)
+        if apart:
+            away = np.repeat([r["part"] >= apart for r in own], [r["size"] for r in own])
+            np.add.at(others, index[away], sent[away])
         for i, (r, start, stop) in enumerate(zip(own, [0, *ends[:-1].tolist()], ends.tolist())):
+            told = [t[index[start:stop]] for t in ((total, others) if r["part"] < apart else (total,))]
             out["part"].append(r["part"])
             out["width"].append(width)
             out["bucket"].append(bucket)
             out["size"].append(r["size"])
-            out["counts"].append([pack(t[start:stop]) for t in totals])
-            out["kinds"].append(0 if i else kinds)  # told to one part only
-            out["mass"].append(0 if i else mass)
+            out["counts"].append([pack(t if ceiling is None else np.minimum(t, ceiling)) for t in told])
+            out["kinds"].append(0 if i else int((total > 0).sum()))  # told to one part only
+            out["mass"].append(0 if i else int(total.sum()))
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int64(), pa.int64())
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
 
 class Answers:
-    """What a part is told: counts per width in the order of its hashes; `kinds` and `mass` of width 1."""
+    """What a part is told: counts per width in the order of its hashes.
+
+    `kinds` and `mass` are, over all parts, the words that are counted at all and their
+    counts added up.
+    """
 
     def __init__(self, table: pa.Table):
         rows = sorted(table.to_pylist(), key=lambda r: (r["width"], r["bucket"]))
@@ -138,20 +141,21 @@ class Answers:
         self.kinds = sum(r["kinds"] for r in self.rows.get(1, ()))
         self.mass = sum(r["mass"] for r in self.rows.get(1, ()))
 
-    def counts(self, width: int, kind: int = 0) -> np.ndarray:
-        found = [unpack(r["counts"][kind], r["size"]) for r in self.rows.get(width, ())]
+    def counts(self, width: int, others: bool = False) -> np.ndarray:
+        found = [unpack(r["counts"][others], r["size"]) for r in self.rows.get(width, ())]
         return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 def count_and_tell(rows: DataFrame, grams: Callable[[pa.Table], Grams], use: Callable[[int, pa.Table, Answers], pa.Table],
-                   schema, sizes: Sizes, ceiling: int | None = None) -> DataFrame:
+                   schema, sizes: Sizes, ceiling: int | None = None, apart: int = 0) -> DataFrame:
     """Counts the n-grams of all parts and hands every part its rows with the counts of its own n-grams.
 
     `rows` holds a column `part` from 0 to `sizes.parts` and is moved once: both passes
-    read the same exchange. Counts above `ceiling` are told as the ceiling.
+    read the same exchange. Counts above `ceiling` are told as the ceiling. Parts below
+    `apart` are also told the counts over all parts from there on.
     """
     rows = rows.repartition(sizes.parts, "part")
     asked = rows.groupBy("part").applyInArrow(lambda key, t: _ask(key[0].as_py(), grams(t), sizes), _ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(lambda key, t: _merge(key[0].as_py(), t, sizes, ceiling), _ANSWERED)
+    answered = asked.groupBy("bucket").applyInArrow(lambda key, t: _merge(key[0].as_py(), t, sizes, ceiling, apart), _ANSWERED)
     return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(
         lambda key, t, a: use(key[0].as_py(), t, Answers(a)), schema)

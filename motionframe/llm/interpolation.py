@@ -12,7 +12,7 @@ from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, pack
 from motionframe.llm.words import hash_words, mix64, split_words, text_bytes
 from motionframe.session import scratch_dir, ship_package
 
-TUNING_SHARE = 1 / 8   # of the notes to learn from: held out of the counts while weights are learned
+TUNING_SHARE = 1 / 32  # of the notes to learn from: held out of the counts while weights are learned
 FREQUENCIES = 48       # buckets of context counts: powers of two
 ROUNDS = 15            # of expectation-maximisation
 CHANGE = 1e-4          # weights that move less are settled
@@ -24,7 +24,6 @@ _PAIR, _TRIPLE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564E27F8865B)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KINDS = (("kept", 0), ("all", 1))
 
 
 class Tokens:
@@ -141,7 +140,10 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
     fold = F.when(learns & drawn, 1).when(learns, 0).otherwise(2)
     rows = runs.select(k.alias("k"), F.coalesce(F.col(notes), F.lit("")).alias("notes"), fold.alias("fold"))
     sizes = sizes_of(rows, "notes", 2)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)).cast("int"))
+    apart = -(-sizes.parts // 32)  # parts of tuning notes alone come first
+    part = F.when(F.col("fold") == 1, F.pmod(F.xxhash64("k", "notes"), F.lit(apart))).otherwise(
+        apart + F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)))
+    rows, sizes.parts = rows.withColumn("part", part.cast("int")), sizes.parts + apart
 
     def grams(table: pa.Table) -> Grams:
         tokens = Tokens(table["notes"].combine_chunks())
@@ -149,7 +151,7 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
         out = {}
         for width, hashes in tokens.by_width().items():
             found, _, index = distinct(sizes.shorten(hashes, width))
-            out[width] = found, [np.bincount(index[fold < 2], minlength=len(found)), np.bincount(index[fold == 0], minlength=len(found))]
+            out[width] = found, np.bincount(index[fold < 2], minlength=len(found))
         return out
 
     def counted(part: int, table: pa.Table, answers: Answers) -> pa.Table:
@@ -157,20 +159,19 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
         index = {w: distinct(sizes.shorten(h, w))[2] for w, h in tokens.by_width().items()}
         fold = table["fold"].to_numpy()
         found = {}
-        for kind in (0, 1):
-            each = [answers.counts(w, kind)[index[w]] for w in (1, 2, 3)]
-            some = np.ones(len(fold), bool) if kind == 0 else fold == 1
-            found[kind] = [pack(np.concatenate([c[a:b] for c in each])) if yes else None
-                           for a, b, yes in zip(tokens.starts.tolist(), tokens.stops.tolist(), some.tolist())]
+        for others in (False, True):
+            each = [answers.counts(w, others)[index[w]] for w in (1, 2, 3)] if part < apart or not others else None
+            found[others] = [pack(np.concatenate([c[a:b] for c in each])) if each else None
+                             for a, b in zip(tokens.starts.tolist(), tokens.stops.tolist())]
         first = np.arange(len(fold)) == 0
         return pa.table({"k": table["k"], "fold": pa.array(fold, pa.int32()), "n_tokens": pa.array(tokens.sizes, pa.int64()),
-                         "seen": pa.array(found[0], pa.binary()), "kept": pa.array(found[1], pa.binary()),
+                         "seen": pa.array(found[False], pa.binary()), "kept": pa.array(found[True], pa.binary()),
                          "kinds": pa.array(np.where(first, answers.kinds, 0), pa.int64()),
                          "mass": pa.array(np.where(first, answers.mass, 0), pa.int64())})
 
     path = scratch_dir(spark, "token-counts")
     count_and_tell(rows, grams, counted, "k long, fold int, n_tokens long, seen binary, kept binary, kinds long, mass long",
-                   sizes).write.parquet(path)
+                   sizes, apart=apart).write.parquet(path)
     table = spark.read.parquet(path)
     n_types, n_tokens = (v or 0 for v in table.agg(F.sum("kinds"), F.sum("mass")).first())
     tuning = table.where("fold = 1").select("n_tokens", F.col("kept").alias("seen"))

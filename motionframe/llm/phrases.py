@@ -195,7 +195,7 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     def grams(table: pa.Table) -> Grams:
         _, pairs = Pieces(table).pairs()
         found, counts, _ = distinct(sizes.shorten(pairs, 2))
-        return {2: (found, [counts])}
+        return {2: (found, counts)}
 
     def graph(part: int, table: pa.Table, answers: Answers) -> pa.Table:
         pieces = Pieces(table)

@@ -9,7 +9,7 @@ import pytest
 from motionframe.llm import grams, interpolation, queries
 
 
-def brute(rows, share=interpolation.TUNING_SHARE, drawn=frozenset()):
+def brute(rows, drawn):
     """rows: (key, text, learns) in order; drawn: places of the tuning notes."""
     def tokens(text):
         return [w.lower() for w in (text or "").encode().split()] + ["end"]
@@ -91,14 +91,14 @@ def brute(rows, share=interpolation.TUNING_SHARE, drawn=frozenset()):
     return out
 
 
-def check(df, rows, spark):
+def check(df, rows, spark, share=interpolation.TUNING_SHARE):
     from pyspark.sql import functions as F
 
     keys = spark.createDataFrame([(k,) for k, _, _ in rows], "k long")
-    draw = [r[0] for r in keys.select(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 20)) < (1 << 17)).collect()]
+    draw = [r[0] for r in keys.select(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).collect()]
     drawn = {i for i, d in enumerate(draw) if d and rows[i][2]}
     want = [(r[0], *b) for r, b in zip(rows, brute(rows, drawn=drawn))]
-    got = [tuple(r) for r in interpolation.note_scores(df).collect()]
+    got = [tuple(r) for r in interpolation.note_scores(df, tuning_share=share).collect()]
     assert len(got) == len(want)
     order = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
     for a, b in zip(sorted(got, key=order), sorted(want, key=order)):
@@ -117,7 +117,7 @@ def test_random_notes(spark, make):
     notes = [" ".join(f"W{x}" for x in np.minimum(rng.geometric(0.2, rng.randint(0, 60)), 30)) for _ in range(150)]
     notes[7] = notes[8] = notes[9]
     rows = [(i, t, i % 5 != 2) for i, t in enumerate(notes)]
-    assert len(check(with_learn(make(notes)), rows, spark)) > 5
+    assert len(check(with_learn(make(notes)), rows, spark, 1 / 8)) > 5
 
 
 def test_awkward_notes(spark, awkward):
