@@ -7,12 +7,12 @@ n-gram that a third of all notes hold is one entry per part, wherever it stands.
 of few entries costs what a row of a shuffle would, so packing never loses.
 
 A hash has 17 bits more than it takes to number all n-grams of the input: a count is too
-large with a chance of one in a hundred thousand, at every size. Words have all 64 bits.
+large with a chance of one in a hundred thousand, at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,22 +63,24 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Sizes:
     """Parts, buckets and hash widths for an input of so many bytes."""
 
-    def __init__(self, n_bytes: int, widths: int, least_parts: int):
+    def __init__(self, n_bytes: int, widths: int, least_parts: int, exact: Sequence[int] = ()):
+        self.exact = exact
         words = max(1, n_bytes // BYTES_PER_WORD)
         self.parts = max(least_parts, -(-n_bytes // PART_BYTES))
         self.bucket_bits = max(0, (words * widths // ENTRIES_PER_BUCKET).bit_length())
         self.hash_bits = min(64, max(self.bucket_bits, (words * widths).bit_length()) + SPARE_BITS)
 
     def bits(self, width: int) -> int:
-        return 64 if width == 1 else self.hash_bits
+        return 64 if width in self.exact else self.hash_bits
 
     def shorten(self, hashes: np.ndarray, width: int) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits(width))
 
 
-def sizes_of(notes: DataFrame, column: str, widths: int) -> Sizes:
+def sizes_of(notes: DataFrame, column: str, widths: int, exact: Sequence[int] = ()) -> Sizes:
+    """Sizes for a column of notes with so many widths of n-grams; those of `exact` keep 64 bits."""
     n_bytes = notes.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return Sizes(n_bytes, widths, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return Sizes(n_bytes, widths, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), exact)
 
 
 def _ask(part: int, grams: Grams, sizes: Sizes) -> pa.Table:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, sizes_of
 from motionframe.llm.words import hash_words, mix64, split_words, text_bytes
+from motionframe.plans.ranking import group_ranks
 from motionframe.session import scratch_dir, ship_package
 
 LEAST = 30              # occurrences of a phrase
 LONGEST = 4             # words of a phrase, and of an edge of the graph
 TOP = 2_000             # phrases reported per dataset
 SCALE = 2_000_000       # of the score
+SHARES = 64             # of a dataset's phrases that are ranked apart first
 COVERED = 80            # percent of a phrase's occurrences that a longer one takes to stand for it
 
 # Fixed: pieces end at these signs, words at a space or tab.
@@ -57,18 +59,24 @@ class Pieces:
         at = np.flatnonzero(self.joined)
         return at, mix64(mix64(self.words[at] * _WIDTH[0] + self.words[at + 1]) + self.salt[at])
 
+    def singles(self) -> np.ndarray:
+        """Hashes of the words with their dataset's."""
+        return mix64(self.words + self.salt)
+
     def text(self, start: int, stop: int) -> str:
         """Words start to stop, joined by one space."""
         return b" ".join(self.raw[a:b] for a, b in zip(self.starts[start:stop].tolist(), self.ends[start:stop].tolist())).decode()
 
 
-def _runs_of(pieces: Pieces, joined: np.ndarray) -> dict:
+def _runs_of(pieces: Pieces, joined: np.ndarray, wanted: np.ndarray) -> dict:
     """The part's graph, compacted: unary paths of edges with their weight, and the ends of stretches.
 
     An edge is four words, from the node of its first three to that of its last three. A
     node is unary if one edge leads in, one leads out, and no stretch starts or ends
     there: all occurrences of the edges around it are the same, so they are one path.
     Such a path can be read off the notes at the first occurrence of its first edge.
+    Words alone at the end of their stretch are given out if `wanted`; rows without words
+    hold the number of all words of a dataset.
     """
     n = len(joined)
     out = {"dataset": [], "words": [], "n_words": [], "path": [], "n": []}
@@ -87,7 +95,7 @@ def _runs_of(pieces: Pieces, joined: np.ndarray) -> dict:
         cut = np.flatnonzero(~joined)
         left = cut[np.searchsorted(cut, np.arange(n))] - np.arange(n) + 1
         first = np.concatenate([[True], ~joined[:-1]])
-        hashes = [mix64(pieces.words + pieces.salt)]
+        hashes = [pieces.singles()]
         for width in (2, 3, 4):
             longer = hashes[-1].copy()
             longer[:n - width + 1] = mix64(hashes[-1][:n - width + 1] * _WIDTH[width - 2] + pieces.words[width - 1:])
@@ -97,6 +105,8 @@ def _runs_of(pieces: Pieces, joined: np.ndarray) -> dict:
             at = cut - width + 1
             at = at[at >= 0]
             at = at[left[at] == width]
+            if width == 1:
+                at = at[wanted[at]]
             _, counts, index = distinct(hashes[width - 1][at])
             where = np.zeros(len(counts), np.int64)
             where[index] = at
@@ -121,6 +131,10 @@ def _runs_of(pieces: Pieces, joined: np.ndarray) -> dict:
             start = where[head]
             stop = stops[np.searchsorted(stops, start + 1)]
             emit(start, stop - start + LONGEST - 1, weight[head], True)
+        codes, counts = np.unique(pieces.dataset, return_counts=True)
+        for code, count in zip(codes.tolist(), counts.tolist()):
+            for name, value in zip(out, (pieces.datasets[code] if code >= 0 else None, None, 0, False, count)):
+                out[name].append(value)
     return out
 
 
@@ -180,7 +194,7 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     Notes are dealt to parts by hash of `key`. Each edge of the graph is four words, between the nodes of its first and last three.
     Before edges are built, pairs of neighbours are counted exactly over all parts, and
     pieces are cut at pairs below `least`: no candidate holds one, so only its context
-    goes. Parts compact their unary paths, edges are added up over all parts, and the
+    goes. Words below `least` are no part of a candidate and left out as well. Parts compact their unary paths, edges are added up over all parts, and the
     counts of shorter phrases follow from the flow out of their node plus the stretches
     that end there. Every aggregate combines before its shuffle; sums are exact and
     products decimal.
@@ -189,28 +203,27 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     ship_package(spark)
     rows = runs.select(F.col(key).alias("k"), F.col(dataset).cast("string").alias("dataset"),
                        F.coalesce(F.col(notes), F.lit("")).alias("notes"))
-    sizes = sizes_of(rows, "notes", 1)
+    sizes = sizes_of(rows, "notes", 2)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)).cast("int")).drop("k")
 
     def grams(table: pa.Table) -> Grams:
-        _, pairs = Pieces(table).pairs()
-        found, counts, _ = distinct(sizes.shorten(pairs, 2))
-        return {2: (found, counts)}
+        pieces = Pieces(table)
+        return {width: distinct(sizes.shorten(hashes, width))[:2] for width, hashes in ((1, pieces.singles()), (2, pieces.pairs()[1]))}
 
     def graph(part: int, table: pa.Table, answers: Answers) -> pa.Table:
         pieces = Pieces(table)
         at, pairs = pieces.pairs()
         joined = np.zeros(len(pieces.words), bool)
-        if len(at):
-            joined[at] = answers.counts(2)[distinct(sizes.shorten(pairs, 2))[2]] >= least
-        out = _runs_of(pieces, joined)
+        frequent = lambda width, hashes: answers.counts(width)[distinct(sizes.shorten(hashes, width))[2]] >= least
+        joined[at] = frequent(2, pairs)
+        out = _runs_of(pieces, joined, frequent(1, pieces.singles()))
         types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
     path = scratch_dir(spark, "phrase-paths")
     count_and_tell(rows, grams, graph, _PATHS, sizes, ceiling=least).write.parquet(path)
     table = spark.read.parquet(path)
-    ends = table.where("not path")
+    ends = table.where("not path and words is not null")
     words = F.split("words", " ")
     edges = table.where("path").select("dataset", "n", words.alias("w"), F.explode(
         F.sequence(F.lit(1), F.col("n_words") - LONGEST + 1)).alias("at"))
@@ -220,15 +233,19 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     for width in range(LONGEST, 0, -1):
         level.write.parquet(f"{folder}/k={width}")
         level = spark.read.parquet(f"{folder}/k={width}")
-        totals, level = level, _flow(level, ends, width - 1)
+        level = _flow(level, ends, width - 1)
     # parts of a candidate are as frequent as it is
     every = spark.read.parquet(folder).where(F.col("n") >= least)
     candidates = every.where("k > 1").withColumnRenamed("n", "a")
     scored = _cut_scores(_kept(candidates), every)
-    rank = F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = scored.withColumn("rank", rank)
-    if top is not None:
-        best = best.where(F.col("rank") <= top)
-    totals = totals.groupBy(F.col("dataset").alias("_d")).agg(F.sum("n").alias("n"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is None:
+        ranked = group_ranks(scored.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), ["dataset"], "_score", ["_a", "phrase"])
+        best = ranked.withColumn("rank", F.col("rn").cast("int")).drop("rn", "n")
+    else:  # the best of every share of a dataset first, so that the last step sees a bounded number of rows
+        share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+        some = scored.withColumn("_rank", F.row_number().over(W.partitionBy("dataset", share).orderBy(*order))).where(F.col("_rank") <= top)
+        best = some.withColumn("rank", F.row_number().over(W.partitionBy("dataset").orderBy(*order))).where(F.col("rank") <= top)
+    totals = table.where("words is null").groupBy(F.col("dataset").alias("_d")).agg(F.sum("n").alias("n"))
     return best.join(totals, F.col("dataset").eqNullSafe(F.col("_d"))).select(
         "dataset", "rank", "phrase", "a", "l", "r", "n", "score")
