@@ -43,6 +43,17 @@ def whole_groups(batches, keys):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def whole_once(tables, key):
+    """Tables of whole groups; a group whose rows come back later in the same task is an error."""
+    done = set()
+    for table in tables:
+        met = table.column(key).unique().to_pylist()
+        if not done.isdisjoint(met):
+            raise ValueError("entities are not whole in their files: rows of one come apart")
+        done.update(met)
+        yield table
+
+
 def group_starts(table, keys):
     change = np.zeros(table.num_rows, dtype=bool)
     change[0] = True
@@ -173,8 +184,11 @@ def segment_block(table, keys, axes, size, window, order, smooth):
                  size, window, order, smooth)
 
 
-def entity_block(table, axes, window, order, smooth):
-    """Block of a table of whole entities in any row order; every channel is one segment."""
+def entity_block(table, axes, window, order, smooth, plain=False):
+    """Block of a table of whole entities in any row order; every channel is one segment.
+
+    `plain` takes the place of a row within its channel for its frame.
+    """
     code = np.asarray(pc.rank(table.column("entity_id"), tiebreaker="dense"), dtype=np.int64)
     channel, frame = np.asarray(table.column("row"), dtype=np.int64), _ints(table, "frame")
     by = np.lexsort((frame, channel, code))
@@ -186,10 +200,12 @@ def entity_block(table, axes, window, order, smooth):
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     entity = np.searchsorted(first, starts, "right") - 1  # of each group
     f0, f1 = np.minimum.reduceat(frame, first), np.maximum.reduceat(frame, first)
-    rel = frame - f0[np.searchsorted(first, np.arange(len(by)), "right") - 1]
+    rel, last = frame - f0[np.searchsorted(first, np.arange(len(by)), "right") - 1], (f1 - f0)[entity]
+    if plain:
+        rel, last = np.arange(len(by)) - starts[row_group], np.diff(np.append(starts, len(by))) - 1
     values = {a: _doubles(table, a)[by] for a in axes}
     zero = np.zeros(len(starts), np.int64)
-    return Block(row_group, rel, np.ones(len(by), bool), values, by[starts], zero, zero, (f1 - f0)[entity], f0[entity],
+    return Block(row_group, rel, np.ones(len(by), bool), values, by[starts], zero, zero, last, f0[entity],
                  1 << 40, window, order, smooth)
 
 
@@ -200,7 +216,8 @@ def _column(values):
 def frames(keys, carry, axes, size, window, order, smooth):
     """Task function: one row per segment frame, without the margins. Without a size, tables hold whole entities."""
     def run(batches):
-        for table in whole_groups(batches, keys):
+        tables = whole_groups(batches, keys)
+        for table in tables if size else whole_once(tables, keys[0]):
             b = (segment_block(table, keys, axes, size, window, order, smooth) if size
                  else entity_block(table, axes, window, order, smooth))
             pick = np.flatnonzero(b.core)
@@ -215,16 +232,19 @@ def frames(keys, carry, axes, size, window, order, smooth):
     return run
 
 
-def sums(keys, carry, axes, size, window, order):
+def sums(keys, carry, axes, size, window, order, plain=False):
     """Task function: one row of partial sums per (entity, channel, segment). Without a size, tables hold whole entities."""
     def run(batches):
-        for table in whole_groups(batches, keys):
+        tables = whole_groups(batches, keys)
+        for table in tables if size else whole_once(tables, keys[0]):
             b = (segment_block(table, keys, axes, size, window, order, True) if size
-                 else entity_block(table, axes, window, order, True))
+                 else entity_block(table, axes, window, order, True, plain))
             groups = len(b.source)
 
             def total(mask, weights=None):
-                return np.bincount(b.group[mask], None if weights is None else weights[mask], groups)
+                if weights is None:
+                    return np.bincount(b.group[mask], None, groups)
+                return np.bincount(b.group[mask], weights[mask], groups).astype(float)  # integers where the mask is empty
 
             linked = np.zeros(len(b.group), dtype=bool)
             linked[1:] = b.group[1:] == b.group[:-1]

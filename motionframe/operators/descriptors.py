@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from motionframe.operators.series import ATTRS, SEGMENT_FRAMES, rms_of, track_sums, whole
+from motionframe.operators.series import ATTRS, SEGMENT_FRAMES, rms_of, track_sums
 
 # Descriptor names in feature order.
 DESCRIPTORS = ("rms_speed_xy", "x_mean", "y_mean", "x_std", "y_std", "detection_rate")
@@ -29,13 +29,14 @@ def channel_descriptors(tracks: DataFrame, *, window: int = 7, order: int = 2,
     """Six descriptors per (entity, channel) and the number of valid transitions.
 
     Speed uses smoothed xy; means and deviations use raw values; the detection rate
-    is observed frames over the entity's frame range.
+    is observed frames over the entity's frame range. With `whole_entities`, an entity
+    that is read by several tasks is an error.
     """
     parts = track_sums(tracks, ("x", "y"), window=window, order=order, segment_frames=segment_frames,
                        whole_entities=whole_entities)
     attrs = [c for c in ATTRS if c in tracks.columns]
     return parts.groupBy("entity_id", *attrs, "row").agg(
-        whole(rms_of(("x", "y")), whole_entities).alias("rms_speed_xy"),
+        rms_of(("x", "y")).alias("rms_speed_xy"),
         _mean("x").alias("x_mean"), _mean("y").alias("y_mean"),
         _std_pop("x").alias("x_std"), _std_pop("y").alias("y_std"),
         (F.sum("x_n") / F.sum("n_frames")).alias("detection_rate"),

@@ -32,9 +32,13 @@ def scope_summary(energy: DataFrame) -> DataFrame:
     return grouped.agg(F.grouping("class").cast("int").alias("is_global"), *_stats("rms_speed"))
 
 
-def axis_energy_share(tracks: DataFrame, *, segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
-    """Mean speed per group over xyz and over xy, and the share of energy along z."""
-    parts = track_sums(tracks, ("x", "y", "z"), segment_frames=segment_frames)
+def axis_energy_share(tracks: DataFrame, *, segment_frames: int = SEGMENT_FRAMES,
+                      whole_entities: bool = False) -> DataFrame:
+    """Mean speed per group over xyz and over xy, and the share of energy along z.
+
+    With `whole_entities`, an entity that is read by several tasks is an error.
+    """
+    parts = track_sums(tracks, ("x", "y", "z"), segment_frames=segment_frames, whole_entities=whole_entities)
     per = parts.groupBy("entity_id", "grp", "row").agg(
         rms_of(("x", "y", "z")).alias("rms_xyz"), rms_of(("x", "y")).alias("rms_xy"))
     out = per.groupBy("grp").agg(

@@ -43,24 +43,19 @@ def _attrs(df: DataFrame) -> list[str]:
 
 
 def _boundary_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str],
-                   size: int, margin: int) -> tuple[DataFrame, bool]:
-    """One boundary row per (entity, channel, segment), and carry rows for longer tracks.
-
-    Also tells whether any track needs more than one segment.
-    """
+                   size: int, margin: int) -> DataFrame:
+    """One boundary row per (entity, channel, segment), and carry rows for longer tracks."""
     keys = [*KEY, *_attrs(tracks)]
     whole = f"OVER (PARTITION BY {', '.join(extent)})"
     span = tracks.groupBy(*keys).agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    # one row per track; written once because both branches below and the check read it
+    # one row per track; written once because both branches below read it
     span = materialize(span.selectExpr(*keys, f"min(lo) {whole} AS f0", f"max(hi) {whole} AS f1"))
     edges = span.selectExpr("*", f"explode(sequence(floor(f0 / {size}), floor(f1 / {size}))) AS seg")
     edges = edges.selectExpr(
         *keys, "seg", f"greatest(f0, seg * {size} - {margin}) AS frame",
         *[f"CAST(NULL AS DOUBLE) AS {a}" for a in axes], "f0", "f1", "false AS real")
     longer = span.where(f"floor(f0 / {size}) < floor(f1 / {size})").select(*KEY, "f0", "f1")
-    if longer.isEmpty():  # then there is nothing to carry
-        return edges, False
-    return edges.unionByName(_carry_rows(tracks, longer, axes, size, margin)), True
+    return edges.unionByName(_carry_rows(tracks, longer, axes, size, margin))
 
 
 def _carry_rows(tracks: DataFrame, longer: DataFrame, axes: Sequence[str], size: int,
@@ -130,9 +125,9 @@ def _segment_rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str],
     keys = [*KEY, *_attrs(tracks)]
     tracks = tracks.selectExpr(*keys, "CAST(frame AS BIGINT) AS frame",
                                *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes])
-    edges, several = _boundary_rows(tracks, axes, extent, size, margin)
+    edges = _boundary_rows(tracks, axes, extent, size, margin)
     seg = f"floor(frame / {size})"
-    if several:  # rows near a boundary also go to the neighbouring segment
+    if margin:  # rows near a boundary also go to the neighbouring segment
         pos = f"(frame - floor(frame / {size}) * {size})"
         seg = f"""explode(CASE WHEN {pos} < {margin} THEN array({seg} - 1, {seg})
             WHEN {pos} >= {size - margin} THEN array({seg}, {seg} + 1) ELSE array({seg}) END)"""
@@ -162,11 +157,20 @@ def _rows(tracks: DataFrame, axes: Sequence[str], extent: Sequence[str], margin:
                              *[f"CAST({a} AS DOUBLE) AS {a}" for a in axes]), ["entity_id"], 0
 
 
-def whole(value: Column, whole_entities: bool) -> Column:
-    """The value, or an error where an entity that was declared whole came in several tasks."""
+def _only_whole(result: DataFrame, tracks: DataFrame, whole_entities: bool) -> DataFrame:
+    """The result, or an error if an entity that was declared whole is read by several tasks.
+
+    Which tasks read an entity is a scan of its id alone, combined within each task: one
+    row per entity and task is moved. The verdict is one row, sent to all tasks. That a
+    task meets an entity's rows in one go is checked where it reads them.
+    """
     if not whole_entities:
-        return value
-    return F.when(F.count("*") > 1, F.raise_error(F.lit("entities are not whole in their files")).cast("double")).otherwise(value)
+        return result
+    tasks = tracks.select("entity_id", F.spark_partition_id().alias("task")).distinct()
+    most = tasks.groupBy("entity_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    apart = F.raise_error(F.lit("entities are not whole in their files")).cast("boolean")
+    return result.crossJoin(F.broadcast(most.select(F.when(F.col("n") > 1, apart).otherwise(True).alias("_whole")))).where(
+        "_whole").drop("_whole")
 
 
 def _frames(tracks: DataFrame, axes: Sequence[str], size: int, smooth: bool,
@@ -175,9 +179,9 @@ def _frames(tracks: DataFrame, axes: Sequence[str], size: int, smooth: bool,
     carry = [*KEY, *_attrs(tracks)]
     schema = _fields(rows, carry) + ["frame bigint", "f0 bigint", "f1 bigint"]
     schema += [f"{a} double" for a in axes] + [f"{a}_out double" for a in axes] + ["seen boolean"]
-    return rows.mapInArrow(
+    return _only_whole(rows.mapInArrow(
         track_kernel.frames(keys, carry, list(axes), size, window, order, smooth),
-        ", ".join(schema))
+        ", ".join(schema)), tracks, whole_entities)
 
 
 def frame_grid(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
@@ -210,19 +214,22 @@ def savgol_smooth(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *,
 
 def track_sums(tracks: DataFrame, axes: Sequence[str], *, window: int = 7, order: int = 2,
                extent: Sequence[str] = ("entity_id",),
-               segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
+               segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False, plain: bool = False) -> DataFrame:
     """Partial sums per (entity, channel, segment); the shared input of every speed measure.
 
     `whole_entities` says that each file, and so each task, holds all rows of its
-    entities, as track files do. Then nothing is moved or sorted by Spark, and tracks
-    are not cut into segments.
+    entities one after the other, as track files do. Then nothing is moved or sorted by
+    Spark, and tracks are not cut into segments. It is an error if an entity is read by
+    several tasks, as with a file that Spark splits, or comes twice in one.
+    `plain` numbers each channel's rows by frame and takes the numbers for frames; only
+    with `whole_entities`.
     """
     rows, keys, segment_frames = _rows(tracks, axes, extent, REACH, segment_frames, whole_entities)
     carry = [*KEY, *_attrs(tracks)]
     schema = _fields(rows, carry) + [f"{n} {t}" for n, t in track_kernel.sum_fields(axes)]
-    return rows.mapInArrow(
-        track_kernel.sums(keys, carry, list(axes), segment_frames, window, order),
-        ", ".join(schema))
+    return _only_whole(rows.mapInArrow(
+        track_kernel.sums(keys, carry, list(axes), segment_frames, window, order, plain),
+        ", ".join(schema)), tracks, whole_entities)
 
 
 def rms_of(axes: Sequence[str], kind: str = "valid") -> Column:
@@ -236,11 +243,11 @@ def rms_speed(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *, windo
               order: int = 2, segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
     """RMS speed per (entity, channel); a step counts only if both ends were observed.
 
-    With `whole_entities`, an entity that was read by several tasks is an error.
+    With `whole_entities`, an entity that is read by several tasks is an error.
     """
     parts = track_sums(tracks, axes, window=window, order=order, segment_frames=segment_frames, whole_entities=whole_entities)
     return parts.groupBy("entity_id", *_attrs(tracks), "row").agg(
-        whole(rms_of(axes), whole_entities).alias("rms_speed"), F.sum("n_valid").alias("n_valid_transitions"))
+        rms_of(axes).alias("rms_speed"), F.sum("n_valid").alias("n_valid_transitions"))
 
 
 def _positions(tracks: DataFrame, size: int) -> DataFrame:
@@ -257,14 +264,15 @@ def _positions(tracks: DataFrame, size: int) -> DataFrame:
 
 
 def rms_speed_plain(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z"), *, window: int = 7,
-                    order: int = 2, segment_frames: int = SEGMENT_FRAMES) -> DataFrame:
+                    order: int = 2, segment_frames: int = SEGMENT_FRAMES, whole_entities: bool = False) -> DataFrame:
     """RMS speed without a frame grid: rows in order, every transition counts.
 
     NULL when the channel has fewer rows than the window or an axis was never observed.
+    With `whole_entities`, an entity that is read by several tasks is an error.
     """
-    rows = _positions(tracks, segment_frames)
+    rows = tracks if whole_entities else _positions(tracks, segment_frames)
     parts = track_sums(rows, axes, window=window, order=order, extent=KEY,
-                       segment_frames=segment_frames)
+                       segment_frames=segment_frames, whole_entities=whole_entities, plain=whole_entities)
     unknown = F.sum(F.expr(" + ".join(f"{a}_unknown" for a in axes)))
     return parts.groupBy("entity_id", *_attrs(tracks), "row").agg(
         F.when((F.sum("n_frames") >= window) & (unknown == 0), rms_of(axes, "linked"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from motionframe.operators.descriptors import channel_descriptors
+from motionframe.functions import track_summary
+from motionframe.operators.descriptors import DESCRIPTORS, channel_descriptors
+from motionframe.operators.series import ATTRS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,33 +28,75 @@ def track_stream(spark: SparkSession, path: str, schema: StructType | str, *,
     return reader.parquet(path)
 
 
-def incremental_descriptors(tracks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def incremental_descriptors(tracks: DataFrame, out: str, checkpoint: str,
+                            stored: Callable[[SparkSession], DataFrame] | None = None) -> StreamingQuery:
     """Descriptors of all entities with frames that are new since the last run.
 
-    An entity's frames may come in several files and batches. Each micro-batch stores
-    its rows below `tracks/batch=`, computes the touched entities again from all their
-    rows so far, and writes them below `descriptors/batch=`; a retried batch overwrites
-    its own folders. `read_descriptors` gives the latest rows of every entity. The
-    stream checkpoint takes the place of a work manifest.
+    An entity's frames may come in several files and batches. Its state is a summary of
+    bounded size per channel (`functions.track_summary`), which new frames are merged
+    into: a batch reads its own rows and the summaries of the entities in it, whatever
+    came before. It writes these entities' descriptors below `batch=`; a retried batch
+    overwrites its own folder. `read_descriptors` gives the latest rows of every entity.
+    The stream checkpoint takes the place of a work manifest.
+
+    Frames of a channel that do not come after all its earlier ones, repeats included,
+    cannot be merged. Their entities are computed again, now and in all later batches,
+    from `stored`, a function that gives all track rows so far; without it such a batch
+    fails. Rows of one entity in one batch are held by one task.
     """
+    types = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
+    attrs = [c for c in ATTRS if c in types]
+    names = ["entity_id", *attrs, "row", *DESCRIPTORS, "n_valid_transitions", "apart"]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in ["entity_id", *attrs, "row"]) + ", " + ", ".join(
+        f"{c} double" for c in DESCRIPTORS) + ", n_valid_transitions long, apart boolean"
+
+    def step(key, chunks, state):
+        import numpy as np
+        import pandas as pd
+
+        rows = pd.concat(list(chunks))
+        known, apart = None, False
+        if state.exists:
+            channels, points, apart = state.get
+            known = None if apart else track_summary.Summary.unpack(channels, points)
+        if not apart:
+            known = track_summary.merge(known or track_summary.empty(rows, attrs), rows, attrs)
+            apart = known is None
+        state.update((*((None, None) if apart else known.pack()), apart))
+        if apart:
+            blank = {c: np.nan if c in DESCRIPTORS else None if types.get(c) == "string" else 0 for c in names}
+            yield pd.DataFrame({**blank, "entity_id": [key[0]], "apart": [True]})[names]
+        else:
+            yield track_summary.descriptors(known, attrs).assign(entity_id=key[0], apart=False)[names]
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/tracks/batch={number}")
-        schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
-        stored = spark.read.schema(schema).parquet(f"{out}/tracks").where(F.col("batch") <= number)
-        touched = stored.where(F.col("batch") == number).select("entity_id").distinct()
-        rows = stored.join(touched, "entity_id", "left_semi").select(*batch.columns)
-        channel_descriptors(rows).write.mode("overwrite").parquet(f"{out}/descriptors/batch={number}")
-
-    return (tracks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        folder = f"{out}/descriptors/way=merged/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        apart = spark.read.parquet(folder).where("apart").select("entity_id")
+        if apart.isEmpty():
+            return
+        if stored is None:
+            raise ValueError("frames came after later ones of their channel; pass `stored` to compute their entities again")
+        rows = stored(spark).join(apart, "entity_id", "left_semi")
+        again = channel_descriptors(rows).withColumn("apart", F.lit(False))
+        again.write.mode("overwrite").parquet(f"{out}/descriptors/way=again/batch={number}")
+
+    # NULL is the missing value of the model; pandas has NaN for it
+    rows = tracks.select("entity_id", *attrs, "row", F.col("frame").cast("long").alias("frame"),
+                         *[F.col(a).cast("double").alias(a) for a in track_summary.AXES])
+    found = rows.groupBy("entity_id").applyInPandasWithState(
+        step, schema, "channels binary, points binary, apart boolean", "append", "NoTimeout")
+    found = found.select(*[F.nanvl(c, F.lit(None)).alias(c) if c in DESCRIPTORS else F.col(c) for c in names])
+    return (found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_descriptors(spark: SparkSession, out: str) -> DataFrame:
     """The latest descriptors of every entity that `incremental_descriptors` has written."""
-    rows = spark.read.parquet(f"{out}/descriptors")
+    rows = spark.read.parquet(f"{out}/descriptors").where("not apart")
     last = rows.groupBy("entity_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["entity_id", "batch"], "left_semi").drop("batch")
+    return rows.join(last, ["entity_id", "batch"], "left_semi").drop("batch", "way", "apart")
 
 
 CAUSAL_STATE = ("channels array<bigint>, last_frame array<bigint>, last_x array<double>, last_y array<double>, "

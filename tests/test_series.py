@@ -156,16 +156,72 @@ def _values(df):
     return sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
 
 
+def _whole_functions():
+    from motionframe.operators.energy import axis_energy_share
+    from motionframe.operators.geometry import acceleration
+
+    return (se.rms_speed, channel_descriptors, se.interpolate_gaps, se.savgol_smooth, se.frame_grid, se.rms_speed_plain,
+            axis_energy_share, acceleration)
+
+
 def test_whole_entities_straight_from_their_tasks(spark, tracks):
-    """No exchange of rows; frames in any order, below zero too; an entity in two tasks is an error."""
+    """No exchange of rows; frames in any order, below zero too."""
     moved = tracks.withColumn("frame", F.col("frame") - 20)
     own = moved.repartition(3, "entity_id").sortWithinPartitions("entity_id", F.xxhash64("row", "frame"))
-    for fn in (se.rms_speed, channel_descriptors, se.interpolate_gaps, se.savgol_smooth, se.frame_grid):
+    for fn in _whole_functions():
         assert _values(fn(own, whole_entities=True)) == _values(fn(moved)), fn.__name__
-    plan = se.rms_speed(spark.createDataFrame(moved.limit(0).collect(), moved.schema), whole_entities=True)
-    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the small aggregate
-    with pytest.raises(Exception, match="not whole"):
-        se.rms_speed(moved.repartition(7), whole_entities=True).collect()
+    stored = spark.createDataFrame(moved.limit(0).collect(), moved.schema)
+    plan = se.savgol_smooth(stored, whole_entities=True)._jdf.queryExecution().executedPlan().toString()
+    rows = plan[plan.index("MapInArrow"):plan.index("BroadcastExchange")]
+    assert "Exchange" not in rows and "Sort" not in rows
+
+
+def test_entities_in_several_tasks_are_an_error(spark, tracks):
+    """By frames, and by channels, where no (entity, channel) comes twice."""
+    one = "cast(1 as long) as entity_id", "'c' as class", "'g0' as grp"
+    places = "1.0D as x", "1.0D as y", "1.0D as z"
+    by_frame = spark.range(0, 6, 1, 2).selectExpr(*one, "0 as idx", "0 as row", "cast(id + if(id < 3, 0, 5) as int) as frame", *places)
+    by_channel = spark.range(0, 6, 1, 2).selectExpr(
+        *one, "cast(id div 3 as int) as idx", "cast(id div 3 as int) as row", "cast(id % 3 + 5 * (id div 5) as int) as frame", *places)
+    for fn in _whole_functions():
+        for split in (by_frame, by_channel):
+            assert split.rdd.getNumPartitions() == 2
+            with pytest.raises(Exception, match="not whole"):
+                fn(split, whole_entities=True).collect()
+
+
+def test_entities_that_come_twice_in_a_task_are_an_error(spark, tracks):
+    from motionframe.functions import track_kernel
+
+    n = track_kernel.BLOCK_ROWS + 1
+    rows = spark.range(3 * n).selectExpr(
+        f"case when id < {n} then 1 when id < {2 * n} then 2 else 1 end as entity_id", "'c' as class", "'g' as grp", "0 as idx", "0 as row",
+        "cast(id as int) as frame", "1.0D as x", "1.0D as y", "1.0D as z").coalesce(1)
+    for fn in _whole_functions():
+        with pytest.raises(Exception, match="not whole"):
+            fn(rows, whole_entities=True).count()
+
+
+def test_a_file_that_spark_splits_is_an_error(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr(
+        "cast(1 as long) as entity_id", "'c' as class", "'g' as grp", "cast(id % 3 as int) as idx", "cast(id % 3 as int) as row",
+        "cast(id div 3 as int) as frame", "rand(1) as x", "rand(2) as y", "rand(3) as z").coalesce(1)
+    rows.write.option("parquet.block.size", 200_000).parquet(str(tmp_path / "t"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        spark.conf.set(names[2], "1")  # one task reads the file
+        assert se.frame_grid(spark.read.parquet(str(tmp_path / "t")), whole_entities=True).count() == 60_000
+        for k in names[:2]:
+            spark.conf.set(k, "100000")
+        split = spark.read.parquet(str(tmp_path / "t"))
+        assert split.rdd.getNumPartitions() > 1
+        for fn in (se.frame_grid, se.savgol_smooth, channel_descriptors):
+            with pytest.raises(Exception, match="not whole"):
+                fn(split, whole_entities=True).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_repeated_frames_take_the_larger_value(spark):
@@ -174,3 +230,11 @@ def test_repeated_frames_take_the_larger_value(spark):
     for kw in ({}, {"whole_entities": True}):
         got = se.frame_grid(df.coalesce(1), ("x",), **kw).orderBy("frame").collect()
         assert [r.x for r in got] == [1.0, 5.0, 3.0]
+
+
+def test_a_block_without_any_transition(spark):
+    rows = [(1, 0, f, 1.0, 2.0, 3.0) for f in (0, 2, 4)]
+    df = spark.createDataFrame(rows, "entity_id long, row int, frame int, x double, y double, z double").coalesce(1)
+    for kw in ({}, {"whole_entities": True}):
+        got = se.rms_speed(df, **kw).first()
+        assert got.rms_speed is None and got.n_valid_transitions == 0
