@@ -12,16 +12,17 @@ large with a chance of one in a hundred thousand, at every size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PART_BYTES = 8 << 20            # notes of one part; the number of parts follows the input
+PART_BYTES = 4 << 20            # notes of one part; the number of parts follows the input
 BYTES_PER_WORD = 6              # for sizing only
 ENTRIES_PER_BUCKET = 2_000_000  # n-grams that one task merges
 SPARE_BITS = 17
+WORD_BITS = 8                   # that the hash of a word has besides, where words are told apart exactly
 
 _CODEC = pa.Codec("zstd", 1)
 _ASKED = "bucket long, part int, width int, size int, hashes binary, counts binary"
@@ -71,14 +72,14 @@ class Sizes:
         self.hash_bits = min(64, max(self.bucket_bits, (words * widths).bit_length()) + SPARE_BITS)
 
     def bits(self, width: int) -> int:
-        return 64 if width in self.exact else self.hash_bits
+        return min(64, self.hash_bits + WORD_BITS) if width in self.exact else self.hash_bits
 
     def shorten(self, hashes: np.ndarray, width: int) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits(width))
 
 
 def sizes_of(notes: DataFrame, column: str, widths: int, exact: Sequence[int] = ()) -> Sizes:
-    """Sizes for a column of notes with so many widths of n-grams; those of `exact` keep 64 bits."""
+    """Sizes for a column of notes with so many widths of n-grams; those of `exact` are told apart all."""
     n_bytes = notes.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return Sizes(n_bytes, widths, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), exact)
 
@@ -148,16 +149,38 @@ class Answers:
         return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by part, each part's as one compressed table."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        part = batch.column(batch.num_columns - 1).to_numpy()
+        by = np.argsort(part, kind="stable")
+        names, at = np.unique(part[by], return_index=True)
+        packed = []
+        for rows in np.split(by, at[1:]):
+            own = pa.table(batch).select(range(batch.num_columns - 1)).take(pa.array(rows))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=options) as out:
+                out.write_table(own)
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], ["part", "rows"])
+
+
+def _unpack_rows(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in table["rows"].to_pylist()])
+
+
 def count_and_tell(rows: DataFrame, grams: Callable[[pa.Table], Grams], use: Callable[[int, pa.Table, Answers], pa.Table],
                    schema, sizes: Sizes, ceiling: int | None = None, apart: int = 0) -> DataFrame:
     """Counts the n-grams of all parts and hands every part its rows with the counts of its own n-grams.
 
-    `rows` holds a column `part` from 0 to `sizes.parts` and is moved once: both passes
-    read the same exchange. Counts above `ceiling` are told as the ceiling. Parts below
-    `apart` are also told the counts over all parts from there on.
+    `rows` has `part`, from 0 to `sizes.parts`, as its last column and is moved once,
+    compressed: both passes read the same exchange. Counts above `ceiling` are told as the
+    ceiling. Parts below `apart` are also told the counts over all parts from there on.
     """
-    rows = rows.repartition(sizes.parts, "part")
-    asked = rows.groupBy("part").applyInArrow(lambda key, t: _ask(key[0].as_py(), grams(t), sizes), _ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(lambda key, t: _merge(key[0].as_py(), t, sizes, ceiling, apart), _ANSWERED)
+    rows = rows.mapInArrow(_pack_rows, "part int, rows binary").repartition(sizes.parts, "part")
+    asked = rows.groupBy("part").applyInArrow(lambda key, t: _ask(key[0].as_py(), grams(_unpack_rows(t)), sizes), _ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(
+        lambda key, t: _merge(key[0].as_py(), t, sizes, ceiling, apart), _ANSWERED)
     return rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(
-        lambda key, t, a: use(key[0].as_py(), t, Answers(a)), schema)
+        lambda key, t, a: use(key[0].as_py(), _unpack_rows(t), Answers(a)), schema)

@@ -17,6 +17,7 @@ FREQUENCIES = 48       # buckets of context counts: powers of two
 ROUNDS = 15            # of expectation-maximisation
 CHANGE = 1e-4          # weights that move less are settled
 START = 0.5            # weight before the first round
+NOTES_PER_ROW = 500    # of the written counts
 
 # Fixed: stand for the begin and the end of a note among the hashes of words.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
@@ -158,81 +159,87 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
         tokens = Tokens(table["notes"].combine_chunks())
         index = {w: distinct(sizes.shorten(h, w))[2] for w, h in tokens.by_width().items()}
         fold = table["fold"].to_numpy()
-        found = {}
-        for others in (False, True):
-            each = [answers.counts(w, others)[index[w]] for w in (1, 2, 3)] if part < apart or not others else None
-            found[others] = [pack(np.concatenate([c[a:b] for c in each])) if each else None
-                             for a, b in zip(tokens.starts.tolist(), tokens.stops.tolist())]
-        first = np.arange(len(fold)) == 0
-        return pa.table({"k": table["k"], "fold": pa.array(fold, pa.int32()), "n_tokens": pa.array(tokens.sizes, pa.int64()),
-                         "seen": pa.array(found[False], pa.binary()), "kept": pa.array(found[True], pa.binary()),
+        seen = [answers.counts(w)[index[w]] for w in (1, 2, 3)]
+        kept = [answers.counts(w, True)[index[w]] for w in (1, 2, 3)] if part < apart else None
+        out = {"ks": [], "sizes": [], "kept_tokens": [], "seen": [], "kept": []}
+        for at in range(0, len(fold), NOTES_PER_ROW):
+            some = slice(at, at + NOTES_PER_ROW)
+            a, b = int(tokens.starts[at]), int(tokens.stops[some][-1])
+            out["ks"].append(table["k"][some].to_pylist())
+            out["sizes"].append(tokens.sizes[some])
+            out["kept_tokens"].append(int(tokens.sizes[some][fold[some] == 0].sum()))
+            out["seen"].append(pack(np.concatenate([c[a:b] for c in seen])))
+            out["kept"].append(pack(np.concatenate([c[a:b] for c in kept])) if kept else None)
+        first = np.arange(len(out["ks"])) == 0
+        types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({**{k: pa.array(v, t) for (k, v), t in zip(out.items(), types)},
                          "kinds": pa.array(np.where(first, answers.kinds, 0), pa.int64()),
                          "mass": pa.array(np.where(first, answers.mass, 0), pa.int64())})
 
     path = scratch_dir(spark, "token-counts")
-    count_and_tell(rows, grams, counted, "k long, fold int, n_tokens long, seen binary, kept binary, kinds long, mass long",
+    count_and_tell(rows, grams, counted, "ks array<long>, sizes array<long>, kept_tokens long, seen binary, kept binary, kinds long, mass long",
                    sizes, apart=apart).write.parquet(path)
     table = spark.read.parquet(path)
-    n_types, n_tokens = (v or 0 for v in table.agg(F.sum("kinds"), F.sum("mass")).first())
-    tuning = table.where("fold = 1").select("n_tokens", F.col("kept").alias("seen"))
+    n_types, n_tokens, n_kept = (v or 0 for v in table.agg(F.sum("kinds"), F.sum("mass"), F.sum("kept_tokens")).first())
+    tuning = table.where("kept is not null").select("sizes", "kept")
     events = tuning.mapInArrow(_events, "c3 long, x3 long, c2 long, x2 long, c1 long, n long").groupBy(
         "c3", "x3", "c2", "x2", "c1").agg(F.sum("n").alias("n"))
     events_path = scratch_dir(spark, "tuning-events")
     events.write.parquet(events_path)
     events = spark.read.parquet(events_path)
-    n_kept = table.where("fold = 0").agg(F.sum("n_tokens")).first()[0] or 0
     weights = _fit(events, n_types, n_kept)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, three = (np.array([*w, 0.0]) for w in weights)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                size = rows.column(1).to_numpy()
-                c1, c2, c3, x2, x3 = _contexts(size, rows.column(2).to_pylist())
-                probability = one[0] * c1 / max(n_tokens, 1) + (1 - one[0]) / (n_types + 1)
-                if not n_tokens:
-                    probability = np.ones(len(c1))
-                for c, x, w in ((c2, x2, two), (c3, x3, three)):
-                    weight = w[np.where(x > 0, np.minimum(np.frexp(np.maximum(x, 1))[1] - 1, FREQUENCIES - 1), FREQUENCIES)]
-                    probability = weight * c / np.maximum(x, 1) + (1 - weight) * probability
-                starts = np.cumsum(size) - size
-                add = lambda v: np.add.reduceat(v, starts) if len(size) else np.zeros(0)
-                base = np.log10(c1 + 1) - np.log10(n_tokens + n_types + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(add((c1 > 0).astype(np.int64)), pa.int64()),
-                     pa.array(np.full(len(size), n_tokens), pa.int64()), pa.array(add(base), pa.float64()),
-                     pa.array(add(np.log10(probability)), pa.float64())],
-                    [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for keys, size, counts in _rows_of(batches):
+            c1, c2, c3, x2, x3 = _contexts(size, counts)
+            probability = one[0] * c1 / max(n_tokens, 1) + (1 - one[0]) / (n_types + 1)
+            if not n_tokens:
+                probability = np.ones(len(c1))
+            for c, x, w in ((c2, x2, two), (c3, x3, three)):
+                weight = w[np.where(x > 0, np.minimum(np.frexp(np.maximum(x, 1))[1] - 1, FREQUENCIES - 1), FREQUENCIES)]
+                probability = weight * c / np.maximum(x, 1) + (1 - weight) * probability
+            starts = np.cumsum(size) - size
+            add = lambda v: np.add.reduceat(v, starts) if len(size) else np.zeros(0)
+            base = np.log10(c1 + 1) - np.log10(n_tokens + n_types + 1)
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(size, pa.int64()), pa.array(add((c1 > 0).astype(np.int64)), pa.int64()),
+                 pa.array(np.full(len(size), n_tokens), pa.int64()), pa.array(add(base), pa.float64()),
+                 pa.array(add(np.log10(probability)), pa.float64())],
+                [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     shape = runs.select(k.alias(key)).schema.add("n_tokens", "long").add("n_known", "long").add(
         "train_tokens", "long").add("base_score", "double").add("score", "double")
-    return table.select(F.col("k").alias(key), "n_tokens", "seen").mapInArrow(scored, shape)
+    return table.select("sizes", "seen", "ks").mapInArrow(scored, shape)
 
 
-def _contexts(sizes: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array | None, np.ndarray, np.ndarray]]:
+    """Keys, numbers of tokens, and counts (word, pair, triple) per token, of one row of notes after the other."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sizes = batch.column(0)[i].values.to_numpy(zero_copy_only=False)
+            n = int(sizes.sum())
+            counts = unpack(batch.column(1)[i].as_py(), 3 * n).astype(np.int64).reshape(3, n)
+            yield (batch.column(2)[i].values if batch.num_columns > 2 else None), sizes, counts
+
+
+def _contexts(sizes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Per token the counts of its word, pair and triple, and of what comes before it in pair and triple.
 
     A context is counted by the shorter n-gram that ends one token earlier; the begin of a
     note by the number of notes, which is the count of their ends.
     """
-    if not len(sizes):
-        return [np.zeros(0, np.int64)] * 5
-    each = [unpack(blob, 3 * n).astype(np.int64).reshape(3, n) for n, blob in zip(sizes.tolist(), blobs)]
-    c1, c2, c3 = np.concatenate(each, axis=1)
+    c1, c2, c3 = counts
     starts = np.cumsum(sizes) - sizes
-    n_notes = c1[sizes[0] - 1]
     x2, x3 = np.concatenate([[0], c1[:-1]]), np.concatenate([[0], c2[:-1]])
-    x2[starts] = x3[starts] = n_notes
+    x2[starts] = x3[starts] = c1[sizes[0] - 1]
     return [c1, c2, c3, x2, x3]
 
 
 def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tuning tokens that look alike in all counts, as one row with their number."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            rows = batch.slice(at, 500)
-            c1, c2, c3, x2, x3 = _contexts(rows.column(0).to_numpy(), rows.column(1).to_pylist())
-            found, n = np.unique(np.stack([c3, x3, c2, x2, c1], axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in found.T), pa.array(n, pa.int64())],
-                                             ["c3", "x3", "c2", "x2", "c1", "n"])
+    for _, sizes, counts in _rows_of(batches):
+        c1, c2, c3, x2, x3 = _contexts(sizes, counts)
+        found, n = np.unique(np.stack([c3, x3, c2, x2, c1], axis=1), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in found.T), pa.array(n, pa.int64())],
+                                         ["c3", "x3", "c2", "x2", "c1", "n"])
