@@ -6,8 +6,8 @@ up and answers each part in the order of its question, so an answer is counts al
 n-gram that a third of all notes hold is one entry per part, wherever it stands. A message
 of few entries costs what a row of a shuffle would, so packing never loses.
 
-A hash has 17 bits more than it takes to number all n-grams of the input: a count is too
-large with a chance of one in a hundred thousand, at every size.
+A hash has 15 bits more than it takes to number all n-grams of the input: a count is too
+large with a chance of one in thirty thousand, at every size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 PART_BYTES = 4 << 20            # notes of one part; the number of parts follows the input
 BYTES_PER_WORD = 6              # for sizing only
 ENTRIES_PER_BUCKET = 2_000_000  # n-grams that one task merges
-SPARE_BITS = 17
+SPARE_BITS = 15
 WORD_BITS = 8                   # that the hash of a word has besides, where words are told apart exactly
 
 _CODEC = pa.Codec("zstd", 1)
@@ -64,10 +64,10 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Sizes:
     """Parts, buckets and hash widths for an input of so many bytes."""
 
-    def __init__(self, n_bytes: int, widths: int, least_parts: int, exact: Sequence[int] = ()):
+    def __init__(self, n_bytes: int, widths: int, least_parts: int, exact: Sequence[int] = (), part_bytes: int = PART_BYTES):
         self.exact = exact
         words = max(1, n_bytes // BYTES_PER_WORD)
-        self.parts = max(least_parts, -(-n_bytes // PART_BYTES))
+        self.parts = max(least_parts, -(-n_bytes // part_bytes))
         self.bucket_bits = max(0, (words * widths // ENTRIES_PER_BUCKET).bit_length())
         self.hash_bits = min(64, max(self.bucket_bits, (words * widths).bit_length()) + SPARE_BITS)
 
@@ -78,10 +78,10 @@ class Sizes:
         return hashes >> np.uint64(64 - self.bits(width))
 
 
-def sizes_of(notes: DataFrame, column: str, widths: int, exact: Sequence[int] = ()) -> Sizes:
+def sizes_of(notes: DataFrame, column: str, widths: int, exact: Sequence[int] = (), part_bytes: int = PART_BYTES) -> Sizes:
     """Sizes for a column of notes with so many widths of n-grams; those of `exact` are told apart all."""
     n_bytes = notes.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return Sizes(n_bytes, widths, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), exact)
+    return Sizes(n_bytes, widths, int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions")), exact, part_bytes)
 
 
 def _ask(part: int, grams: Grams, sizes: Sizes) -> pa.Table:
@@ -151,7 +151,7 @@ class Answers:
 
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a batch by part, each part's as one compressed table."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
     for batch in batches:
         part = batch.column(batch.num_columns - 1).to_numpy()
         by = np.argsort(part, kind="stable")

@@ -17,6 +17,7 @@ FREQUENCIES = 48       # buckets of context counts: powers of two
 ROUNDS = 15            # of expectation-maximisation
 CHANGE = 1e-4          # weights that move less are settled
 START = 0.5            # weight before the first round
+PART_BYTES = 6 << 20   # of notes per part
 NOTES_PER_ROW = 500    # of the written counts
 
 # Fixed: stand for the begin and the end of a note among the hashes of words.
@@ -140,7 +141,7 @@ def note_scores(runs: DataFrame, *, key: str = "run_id", notes: str = "notes", l
     drawn = F.pmod(F.xxhash64(k, F.lit(3)), F.lit(1 << 20)) < int(tuning_share * (1 << 20))
     fold = F.when(learns & drawn, 1).when(learns, 0).otherwise(2)
     rows = runs.select(k.alias("k"), F.coalesce(F.col(notes), F.lit("")).alias("notes"), fold.alias("fold"))
-    sizes = sizes_of(rows, "notes", 2, exact=(1,))
+    sizes = sizes_of(rows, "notes", 2, exact=(1,), part_bytes=PART_BYTES)
     apart = -(-sizes.parts // 32)  # parts of tuning notes alone come first
     part = F.when(F.col("fold") == 1, F.pmod(F.xxhash64("k", "notes"), F.lit(apart))).otherwise(
         apart + F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)))
