@@ -31,54 +31,55 @@ _PATHS = "dataset string, words string, n_words int, path boolean, n long"
 
 
 class Pieces:
-    """The words of a part's notes in order, and which neighbours stand in one piece."""
+    """The words of a part's notes in order, where their pieces end, and the hashes of their phrases."""
 
     def __init__(self, table: pa.Table):
         raw, bounds = text_bytes(table["notes"].combine_chunks())
         raw = _PLAIN[raw]
         self.raw = raw.tobytes()
         self.starts, self.ends, firsts = split_words(raw, bounds)
-        self.words = hash_words(raw, self.starts, self.ends)
+        words = hash_words(raw, self.starts, self.ends)
         datasets = table["dataset"].combine_chunks().dictionary_encode()
         self.datasets = datasets.dictionary.to_pylist()
-        code = datasets.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        self.dataset = np.repeat(code, np.diff(firsts))
+        self.dataset = np.repeat(datasets.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.diff(firsts))
         raw_names, name_bounds = text_bytes(pa.array([n + "\x00" for n in self.datasets] + [""], pa.string()))
-        names = hash_words(raw_names, name_bounds[:-1], name_bounds[1:])
-        self.salt = names[self.dataset]
-        breaks = np.cumsum(raw == 10)
-        n = len(self.words)
-        self.joined = np.zeros(n, bool)  # the next word follows in the same piece
-        if n > 1:
-            self.joined[:-1] = breaks[self.starts[1:]] == breaks[self.starts[:-1]]
+        salt = hash_words(raw_names, name_bounds[:-1], name_bounds[1:])[self.dataset]
+        n = len(words)
+        joined = np.zeros(n, bool)  # the next word follows in the same piece
+        if n:
+            breaks = np.cumsum(raw == 10)
+            joined[:-1] = breaks[self.starts[1:]] == breaks[self.starts[:-1]]
             last = firsts[1:] - 1
-            self.joined[last[last >= 0]] = False
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where pairs of neighbours stand, and their hashes with their dataset's."""
-        at = np.flatnonzero(self.joined)
-        return at, mix64(mix64(self.words[at] * _WIDTH[0] + self.words[at + 1]) + self.salt[at])
-
-    def singles(self) -> np.ndarray:
-        """Hashes of the words with their dataset's."""
-        return mix64(self.words + self.salt)
+            joined[last[last >= 0]] = False
+        cut = np.flatnonzero(~joined)
+        self.left = cut[np.searchsorted(cut, np.arange(n))] - np.arange(n) + 1  # words to the end of the piece
+        self.hashes = [mix64(words + salt)]  # of the phrases of 1, 2, ... words that start at each word
+        for width in range(2, LONGEST + 1):
+            longer, size = self.hashes[-1].copy(), max(0, n - width + 1)
+            longer[:size] = mix64(self.hashes[-1][:size] * _WIDTH[width - 2] + words[width - 1:])
+            self.hashes.append(longer)
+
+    def phrases(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases of so many words start, and their hashes."""
+        at = np.flatnonzero(self.left >= width)
+        return at, self.hashes[width - 1][at]
 
     def text(self, start: int, stop: int) -> str:
         """Words start to stop, joined by one space."""
         return b" ".join(self.raw[a:b] for a, b in zip(self.starts[start:stop].tolist(), self.ends[start:stop].tolist())).decode()
 
 
-def _runs_of(pieces: Pieces, joined: np.ndarray, wanted: np.ndarray) -> dict:
-    """The part's graph, compacted: unary paths of edges with their weight, and the ends of stretches.
+def _paths_of(pieces: Pieces, reach: np.ndarray) -> dict:
+    """The part's graph, compacted: unary paths of edges with their weight, and what ends short of an edge.
 
-    An edge is four words, from the node of its first three to that of its last three. A
-    node is unary if one edge leads in, one leads out, and no stretch starts or ends
-    there: all occurrences of the edges around it are the same, so they are one path.
-    Such a path can be read off the notes at the first occurrence of its first edge.
-    Words alone at the end of their stretch are given out if `wanted`; rows without words
+    `reach` is, for every word, the length of the longest phrase from there that is
+    followed up. An edge is four words, from the node of its first three to that of its
+    last three; where a shorter phrase is all, the flow through its node ends. A node is
+    unary if one edge leads in, one leads out, and no flow starts or ends there: all
+    occurrences of the edges around it are the same, so they are one path. Such a path can
+    be read off the notes at the first occurrence of its first edge. Rows without words
     hold the number of all words of a dataset.
     """
-    n = len(joined)
     out = {"dataset": [], "words": [], "n_words": [], "path": [], "n": []}
 
     def emit(starts, sizes, counts, path):
@@ -90,56 +91,42 @@ def _runs_of(pieces: Pieces, joined: np.ndarray, wanted: np.ndarray) -> dict:
             out["path"].append(path)
             out["n"].append(count)
 
-    if n:
-        # words from each place to the end of its stretch, itself included
-        cut = np.flatnonzero(~joined)
-        left = cut[np.searchsorted(cut, np.arange(n))] - np.arange(n) + 1
-        first = np.concatenate([[True], ~joined[:-1]])
-        hashes = [pieces.singles()]
-        for width in (2, 3, 4):
-            longer = hashes[-1].copy()
-            longer[:n - width + 1] = mix64(hashes[-1][:n - width + 1] * _WIDTH[width - 2] + pieces.words[width - 1:])
-            hashes.append(longer)
-        # the last one, two and three words of every stretch
-        for width in range(1, LONGEST):
-            at = cut - width + 1
-            at = at[at >= 0]
-            at = at[left[at] == width]
-            if width == 1:
-                at = at[wanted[at]]
-            _, counts, index = distinct(hashes[width - 1][at])
-            where = np.zeros(len(counts), np.int64)
-            where[index] = at
-            emit(where, np.full(len(counts), width), counts, False)
-        edge_at = np.flatnonzero(left >= LONGEST)
-        if len(edge_at):
-            _, weight, edge = distinct(hashes[3][edge_at])
-            where = np.zeros(len(weight), np.int64)
-            where[edge[::-1]] = edge_at[::-1]  # first occurrence
-            _, _, node = distinct(hashes[2][np.flatnonzero(left >= LONGEST - 1)])
-            node_of = np.full(n, -1)
-            node_of[left >= LONGEST - 1] = node
-            n_nodes = int(node.max()) + 1
-            leads_in = np.bincount(node_of[where + 1], minlength=n_nodes)
-            leads_out = np.bincount(node_of[where], minlength=n_nodes)
-            unary = (leads_in == 1) & (leads_out == 1)
-            unary[node_of[first & (left >= LONGEST - 1)]] = False
-            unary[node_of[left == LONGEST - 1]] = False
-            head = ~unary[node_of[where]]
-            # a path goes on while the node ahead is unary
-            stops = np.flatnonzero((node_of >= 0) & ~unary[node_of])
-            start = where[head]
-            stop = stops[np.searchsorted(stops, start + 1)]
-            emit(start, stop - start + LONGEST - 1, weight[head], True)
-        codes, counts = np.unique(pieces.dataset, return_counts=True)
-        for code, count in zip(codes.tolist(), counts.tolist()):
-            for name, value in zip(out, (pieces.datasets[code] if code >= 0 else None, None, 0, False, count)):
-                out[name].append(value)
+    def first_of(width, at):
+        _, counts, index = distinct(pieces.hashes[width - 1][at])
+        where = np.zeros(len(counts), np.int64)
+        where[index[::-1]] = at[::-1]
+        return where, counts
+
+    for width in range(1, LONGEST):
+        where, counts = first_of(width, np.flatnonzero(reach == width))
+        emit(where, np.full(len(counts), width), counts, False)
+    edge_at = np.flatnonzero(reach == LONGEST)
+    if len(edge_at):
+        where, weight = first_of(LONGEST, edge_at)
+        at = np.flatnonzero(reach >= LONGEST - 1)
+        node = distinct(pieces.hashes[LONGEST - 2][at])[2]
+        node_of = np.full(len(reach), -1)
+        node_of[at] = node
+        n_nodes = int(node.max()) + 1
+        unary = (np.bincount(node_of[where + 1], minlength=n_nodes) == 1) & (np.bincount(node_of[where], minlength=n_nodes) == 1)
+        entered = np.zeros(len(reach), bool)
+        entered[edge_at + 1] = True
+        unary[node_of[at[~entered[at] | (reach[at] < LONGEST)]]] = False
+        # a path goes on while the node ahead is unary
+        stops = at[~unary[node]]
+        head = ~unary[node_of[where]]
+        start = where[head]
+        stop = stops[np.searchsorted(stops, start + 1)]
+        emit(start, stop - start + LONGEST - 1, weight[head], True)
+    codes, counts = np.unique(pieces.dataset, return_counts=True)
+    for code, count in zip(codes.tolist(), counts.tolist()):
+        for name, value in zip(out, (pieces.datasets[code] if code >= 0 else None, None, 0, False, count)):
+            out[name].append(value)
     return out
 
 
 def _flow(edges: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """Counts of the phrases one word shorter than `edges`: what leaves a node, plus the stretches that end there."""
+    """Counts of the phrases one word shorter than `edges`: the flow out of a node, plus what ends there."""
     out = edges.select("dataset", F.substring_index("phrase", " ", width).alias("phrase"), "n")
     return out.unionByName(ends.where(F.col("n_words") == width).select("dataset", F.col("words").alias("phrase"), "n")).groupBy(
         "dataset", "phrase").agg(F.sum("n").alias("n"))
@@ -191,32 +178,36 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     Other columns are ignored, whatever their names. Blank notes or an empty table give
     no rows.
 
-    Notes are dealt to parts by hash of `key`. Each edge of the graph is four words, between the nodes of its first and last three.
-    Before edges are built, pairs of neighbours are counted exactly over all parts, and
-    pieces are cut at pairs below `least`: no candidate holds one, so only its context
-    goes. Words below `least` are no part of a candidate and left out as well. Parts compact their unary paths, edges are added up over all parts, and the
-    counts of shorter phrases follow from the flow out of their node plus the stretches
-    that end there. Every aggregate combines before its shuffle; sums are exact and
-    products decimal.
+    Notes are dealt to parts by hash of `key`. Each edge of the graph is four words,
+    between the nodes of its first and last three. Before edges are built, phrases are
+    counted by hash over all parts, never too low: those below `least` are no candidate
+    and no part of one, so flow ends where the next word would make one. Parts compact
+    the unary paths of what is left, edges are added up over all parts, and the counts of
+    shorter phrases follow from the flow out of their node plus what ends there: at the
+    end of a piece, or short of a rare phrase. Every aggregate combines before its
+    shuffle; sums are exact and products decimal.
     """
     spark = runs.sparkSession
     ship_package(spark)
     rows = runs.select(F.col(key).alias("k"), F.col(dataset).cast("string").alias("dataset"),
                        F.coalesce(F.col(notes), F.lit("")).alias("notes"))
-    sizes = sizes_of(rows, "notes", 2)
+    sizes = sizes_of(rows, "notes", LONGEST)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)).cast("int")).drop("k")
 
+    widths = range(1, LONGEST + 1)
+
     def grams(table: pa.Table) -> Grams:
         pieces = Pieces(table)
-        return {width: distinct(sizes.shorten(hashes, width))[:2] for width, hashes in ((1, pieces.singles()), (2, pieces.pairs()[1]))}
+        return {w: distinct(sizes.shorten(pieces.phrases(w)[1], w))[:2] for w in widths}
 
     def graph(part: int, table: pa.Table, answers: Answers) -> pa.Table:
         pieces = Pieces(table)
-        at, pairs = pieces.pairs()
-        joined = np.zeros(len(pieces.words), bool)
-        frequent = lambda width, hashes: answers.counts(width)[distinct(sizes.shorten(hashes, width))[2]] >= least
-        joined[at] = frequent(2, pairs)
-        out = _runs_of(pieces, joined, frequent(1, pieces.singles()))
+        reach = np.zeros(len(pieces.left), np.int64)
+        for w in widths:
+            at, hashes = pieces.phrases(w)
+            frequent = answers.counts(w)[distinct(sizes.shorten(hashes, w))[2]] >= least
+            reach[at[frequent & (reach[at] == w - 1)]] = w
+        out = _paths_of(pieces, reach)
         types = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 

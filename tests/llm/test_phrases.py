@@ -87,7 +87,7 @@ def test_unary_paths_are_compacted():
     passage = " ".join(f"p{i}" for i in range(50))
     notes = [passage, passage, "q " + passage + " r", "p1 p2 p3 p9"]
     pieces = phrases.Pieces(pa.table({"notes": pa.chunked_array([notes]), "dataset": pa.chunked_array([["a"] * 4])}))
-    out = phrases._runs_of(pieces, pieces.joined, pieces.joined)
+    out = phrases._paths_of(pieces, np.minimum(pieces.left, 4))
     paths = [(w.split(), n) for w, p, n in zip(out["words"], out["path"], out["n"]) if p]
     edges = Counter()
     for w, n in paths:
