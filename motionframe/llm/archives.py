@@ -11,7 +11,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from motionframe.session import scratch_dir, ship_package
 
@@ -101,6 +101,16 @@ def parse_records(data: bytes):
         at = end + len(RECORD_END)
 
 
+def _name(key: Column) -> Column:
+    """A key as part of a record's id: no colons, spaces or line ends, and NULL apart from empty."""
+    return F.when(key.isNull(), "").otherwise(F.concat(F.lit("="), F.url_encode(key.cast("string"))))
+
+
+def _key_of(record_id: Column, kind) -> Column:
+    name = F.split(record_id, ":")[2]
+    return F.when(name != "", F.url_decode(F.substring(name, 2, 1 << 30))).cast(kind)
+
+
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html",
                    segment: int = SEGMENT_BYTES) -> None:
     """Writes one response or revisit record per page to gzip-compressed archive files.
@@ -113,7 +123,7 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     spark = pages.sparkSession
     ship_package(spark)
     text = F.coalesce(F.col(payload), F.lit(""))
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    name = _name(F.col(key))
     rows = pages.select(F.col(key).alias("k"), name.alias("name"), F.coalesce(F.col(url), F.lit("")).alias("url"),
                         text.alias("payload"), F.sha2(F.encode(text, "utf-8"), 256).alias("digest"))
     size = pages.agg(F.sum(F.octet_length(F.col(payload)))).first()[0] or 0
@@ -129,7 +139,7 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     name = F.concat("name", F.lit(":"), F.substring("digest", 1, 16), F.lit(":"))
     rows = rows.select(
         F.concat(F.lit("urn:page:"), name, F.col("n").cast("string")).alias("id"), "url", "payload", "digest",
-        F.when(~is_first, F.concat(F.lit("urn:page:"), F.col("first").cast("string"), F.lit(":"),
+        F.when(~is_first, F.concat(F.lit("urn:page:"), _name(F.col("first")), F.lit(":"),
                                    F.substring("digest", 1, 16), F.lit(":1"))).alias("refers_to"))
 
     def tasks(batches):
@@ -265,8 +275,5 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, *, key: str =
     found = reassemble(read_records(spark, path))
     ok = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat("id", F.lit(": "), "fault")).cast("string")).otherwise(F.col("id"))
 
-    def page(c):
-        return F.when(F.split(c, ":")[2] != "", F.split(c, ":")[2]).cast(kind)
-
-    return found.select(page(ok).alias(key), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
-                        page(F.col("refers_to")).alias("refers_to"))
+    return found.select(_key_of(ok, kind).alias(key), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+                        _key_of(F.col("refers_to"), kind).alias("refers_to"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from motionframe.llm.words import row_id, text_bytes
+from motionframe.llm.words import free_name, row_id, text_bytes
 from motionframe.session import materialize, ship_package
 
 RADIUS = 3                     # differing bits of a link
@@ -245,10 +245,11 @@ def one_note_of_each_group(runs: DataFrame, *, key: str = "run_id", notes: str =
     All columns stay. Which row stays is decided on narrow rows; the notes move once, to
     meet the kept rows. Rows that are equal in all columns are one.
     """
-    rows = runs.withColumn("_row", row_id(runs.columns))
-    prints = materialize(note_fingerprints(rows, key=key, notes=notes, row="_row"))
+    own = free_name(runs.columns, "_row")
+    rows = runs.withColumn(own, row_id(runs.columns))
+    prints = materialize(note_fingerprints(rows, key=key, notes=notes, row=own))
     classes = _classes(prints)
     turn = F.struct(F.col("k").isNull().alias("last"), "k", "row")
     kept = prints.join(classes, F.col("fp") == F.col("node")).groupBy("root").agg(F.min(turn).alias("t"))
-    kept = kept.select(F.col("t.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*runs.columns)
+    kept = kept.select(F.col("t.row").alias(own))
+    return rows.join(kept, own, "left_semi").dropDuplicates([own]).select(*runs.columns)

@@ -143,7 +143,7 @@ def language_counts(labelled: DataFrame, *, key: str = "run_id", notes: str = "n
 
 
 def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id", notes: str = "notes",
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Predicts the language of whole notes from `language_counts`.
 
     Returns (key, *keep, lang_pred, score) per input row; only the notes are looked at.
@@ -151,7 +151,7 @@ def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id",
     and notes without a letter give `und` and 0, as do all notes if nothing was learnt;
     equal scores go to the first language in code point order. Repeated rows are kept,
     other columns ignored, an empty table gives no rows. Columns of `keep` must not be
-    named lang_pred or score.
+    named as `pred` and `score`, which can be chosen.
 
     The model is a bounded table (languages times the limits above), so it is sent to
     all tasks; a Python worker builds it once.
@@ -162,7 +162,7 @@ def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id",
     model = spark.sparkContext.broadcast(BackoffModel([tuple(r) for r in counts.collect()]))
     names = list(dict.fromkeys([key, *keep]))
     read = names if notes in names else [*names, notes]
-    shape = runs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    shape = runs.select(*names, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
 
     def tasks(batches):
         for batch in batches:
@@ -171,7 +171,7 @@ def detect_language(runs: DataFrame, counts: DataFrame, *, key: str = "run_id",
                 found = [model.value.note(t) for t in part.column(read.index(notes)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(names)], pa.array([f[0] for f in found], pa.string()),
-                     pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+                     pa.array([f[1] for f in found], pa.float64())], [*names, pred, score])
 
     return runs.select(*read).mapInArrow(tasks, shape)
 

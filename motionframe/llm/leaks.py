@@ -162,8 +162,8 @@ class ItemFinder:
 
 
 def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_id: str = "item_id", text: str = "text",
-               share: float = ERROR_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds `leaks` to every run: the benchmark items whose text stands in its notes, with a few edits.
+               share: float = ERROR_SHARE, block_bytes: int = BLOCK_BYTES, out: str = "leaks") -> DataFrame:
+    """Adds `leaks`, or the name `out`, to every run: the benchmark items whose text stands in its notes, with a few edits.
 
     Both sides are compared in plain form (lower case, other signs one space). An item
     leaks where at most `share` edits per character lead to a substring of the notes. If
@@ -171,7 +171,7 @@ def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_
     word borders; in scripts without spaces these are everywhere. Each entry has item_id,
     distance, and the place in the plain notes. Notes and items that are NULL or empty in
     plain form have no leaks, repeated items are reported once each, items with a NULL id
-    are left out. All columns of the runs stay; one named `leaks` is replaced. Empty
+    are left out. All columns of the runs stay; one named as `out` is replaced. Empty
     tables are fine on either side.
 
     Notes are read once per block of items and never moved. A block is a share of the
@@ -182,12 +182,12 @@ def mark_leaks(runs: DataFrame, items: DataFrame, *, notes: str = "notes", item_
         F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    columns = [c for c in runs.columns if c != "leaks"]
-    out = runs.select(*columns, F.array().cast(LEAK).alias("leaks"))
+    columns = [c for c in runs.columns if c != out]
+    marked = runs.select(*columns, F.array().cast(LEAK).alias(out))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        out = _one_block(out, [tuple(r) for r in part.orderBy("item_id", "text").collect()], notes, share)
-    return out
+        marked = _one_block(marked, [tuple(r) for r in part.orderBy("item_id", "text").collect()], notes, share)
+    return marked
 
 
 def _one_block(runs: DataFrame, items: list[tuple[int, str]], notes: str, share: float) -> DataFrame:

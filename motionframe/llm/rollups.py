@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from motionframe.llm.words import WORD
@@ -90,25 +91,54 @@ def commit_batch(changes: DataFrame, ledger: str, batch_id: int) -> None:
     Changes combine before the shuffle, so one hot dataset is one row per task. The
     batch's own folder of the ledger is overwritten as a whole when the job commits:
     committing a batch again, after a lost driver or a repeated trigger, replaces what it
-    wrote and adds nothing twice. An empty batch commits no rows.
+    wrote and adds nothing twice. A batch that is part of a compacted ledger is left out
+    for the same reason. An empty batch commits no rows.
     """
+    again = compacted_batches(changes.sparkSession, ledger).where(F.col("batch_id") == int(batch_id))
+    if not again.isEmpty():
+        return
     totals = changes.groupBy(*GROUP).agg(F.sum("d_notes").alias("d_notes"), F.sum("d_tokens").alias("d_tokens"))
     totals.write.mode("overwrite").parquet(f"{ledger}/batch_id={int(batch_id)}")
 
 
+_ROWS = "dataset string, lang string, tokenizer_version string, d_notes long, d_tokens long, batch_id int"
+_COMPACTED = "_compacted"  # beside the batches; readers of the ledger pass over such folders
+
+
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The table, or no rows where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def compacted_batches(spark: SparkSession, ledger: str) -> DataFrame:
+    """Numbers (batch_id) of the batches whose changes a compacted ledger began with."""
+    return _read(spark, "batch_id int", f"{ledger}/{_COMPACTED}")
+
+
 def token_totals(spark: SparkSession, ledger: str) -> DataFrame:
     """Totals (dataset, lang, tokenizer_version, n_notes, n_tokens) over all committed batches.
 
     Groups whose notes are all deleted stay, with zeros. NULL datasets and languages are
-    groups of their own. Additive, so the order of batches does not matter.
+    groups of their own. Additive, so the order of batches does not matter. A ledger
+    without any batch has no totals.
     """
-    schema = "dataset string, lang string, tokenizer_version string, d_notes long, d_tokens long, batch_id int"
-    rows = spark.read.schema(schema).parquet(ledger)
-    return rows.groupBy(*GROUP).agg(F.sum("d_notes").alias("n_notes"), F.sum("d_tokens").alias("n_tokens"))
+    return _read(spark, _ROWS, ledger).groupBy(*GROUP).agg(
+        F.sum("d_notes").alias("n_notes"), F.sum("d_tokens").alias("n_tokens"))
 
 
 def compact(spark: SparkSession, ledger: str, into: str) -> None:
-    """Writes the totals so far as batch 0 of a new ledger, for ledgers of very many batches."""
+    """Writes the totals so far as batch 0 of a new ledger, for ledgers of very many batches.
+
+    The new ledger knows the numbers of the batches in it, and committing one of them
+    again changes nothing. Batch numbers start at 1.
+    """
     rows = token_totals(spark, ledger)
+    batches = _read(spark, _ROWS, ledger).where("batch_id > 0").select("batch_id").union(compacted_batches(spark, ledger)).distinct()
+    batches.write.mode("overwrite").parquet(f"{into}/{_COMPACTED}")
     rows.select(*GROUP, F.col("n_notes").alias("d_notes"), F.col("n_tokens").alias("d_tokens")).write.mode(
         "overwrite").parquet(f"{into}/batch_id=0")

@@ -33,6 +33,14 @@ def hash_share(key: str | Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column is called so, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_id(columns: list[str]) -> Column:
     """128 hash bits of all columns of a row as text, NULL told from empty; equal rows have equal ones."""
     text = [F.col(f"`{c}`").cast("string") for c in columns]

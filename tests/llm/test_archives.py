@@ -24,7 +24,17 @@ def test_round_trip(spark, tmp_path):
         want.append((k, len(v), hashlib.sha256(v).hexdigest(), "response" if fresh else "revisit", None if fresh else first))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     records = archives.read_records(spark, str(tmp_path / "w"))
-    assert records.where("origin LIKE 'urn:page:7:%'").count() == -(-len(archives.chunked(big.encode())) // archives.SEGMENT_BYTES)
+    assert records.where("origin LIKE 'urn:page:=7:%'").count() == -(-len(archives.chunked(big.encode())) // archives.SEGMENT_BYTES)
+
+
+def test_text_keys(spark, tmp_path):
+    """Keys with colons, spaces, line ends and other scripts; an empty key is not a NULL one."""
+    keys = ["a:b", "a:c", "", None, "x y+%3A", "ü:\r\n", "plain"]
+    rows = [(k, "u", ("same " * 30) if i % 2 else f"own {i} " * 30) for i, k in enumerate(keys)]
+    got = archives.archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "w")).collect()
+    first = min(k for k, _, v in rows if v.startswith("same") and k is not None)
+    want = [(k, "revisit" if v.startswith("same") and k != first else "response", first if v.startswith("same") and k != first else None) for k, _, v in rows]
+    assert sorted(str((r.page_id, r.record_type, r.refers_to)) for r in got) == sorted(map(str, want))
 
 
 def test_empty_table(spark, tmp_path):

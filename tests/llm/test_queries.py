@@ -88,3 +88,43 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert len(last) == mixed.count() and last.start.iloc[0] == 0
     assert (last.start.values[1:] == (last.start + last.n_tokens).values[:-1]).all()
     assert corpus_pipeline.run(spark, SMALL).count() == len(last)
+
+
+CLASHING = ("score", "lang_pred", "_row", "leaks", "_copies", "_copy", "k", "part", "fp", "LEAKS_")
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Documents with columns named as what the stages use inside; NULLs, blanks, repeats, a NULL id."""
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    texts = ["plain words of some length here", None, "", "1 2 3", "plain words of some length here", f"x {item} y", "ein ganz anderer Text mit Wörtern"]
+    rows = [(i, t, "en" if i % 2 else None, "a" if i % 3 else None, len(t or ""), *[f"{c}{i}" for c in CLASHING]) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "no id at all in this one", "en", "b", 1, *CLASHING)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_clashing_columns(spark, odd_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd_docs, SMALL)
+    assert got.columns == odd_docs.columns
+    rows = [tuple(r) for r in got.collect()]
+    known = [tuple(r) for r in odd_docs.collect()]
+    langless = lambda r: (*r[:2], *r[3:])
+    assert rows and {langless(r) for r in rows} <= {langless(r) for r in known}
+    ids = sorted((r[0] is None, r[0] or 0) for r in rows)
+    if name == "identify_language":
+        assert ids == [(False, 0), (False, 0), (False, 4), (False, 5), (False, 6), (True, 0)]
+        assert all(r[2] for r in rows)
+    if name == "drop_near_duplicates":
+        assert ids == [(False, 0), (False, 1), (False, 3), (False, 5), (False, 6), (True, 0)]
+    if name == "drop_leaks":
+        assert [i for i in ids if i == (False, 5)] == [] and len(ids) == len(known) - 1
+    assert stage(spark, odd_docs.limit(0), SMALL).collect() == [] and stage(spark, odd_docs.limit(0), SMALL).columns == odd_docs.columns
+
+
+def test_last_stage_on_odd_documents(spark, odd_docs):
+    got = corpus_pipeline.write_tokens(spark, odd_docs, SMALL).orderBy("start").collect()
+    assert len(got) == odd_docs.count() and got[0].doc_id is None and got[0].start == 0
+    assert [r.n_tokens for r in got if r.doc_id in (1, 2)] == [1, 1]
+    assert corpus_pipeline.write_tokens(spark, odd_docs.limit(0), SMALL).count() == 0

@@ -47,6 +47,26 @@ def test_batches_add_up_and_repeat_safely(spark, tmp_path):
     assert totals(spark, str(tmp_path / "small")) == totals(spark, ledger)
 
 
+def test_a_compacted_ledger_knows_its_batches(spark, tmp_path):
+    df = spark.createDataFrame([(1, "s", "en", "one two", 7, "v")], SCHEMA)
+    ledger, small, smaller = (str(tmp_path / n) for n in ("ledger", "small", "smaller"))
+    assert totals(spark, ledger) == {}  # nothing committed yet
+    for batch in (1, 2):
+        rollups.commit_batch(rollups.inserts(df, VERSIONS), ledger, batch)
+    rollups.compact(spark, ledger, small)
+    want = {("s", "en", "words-1"): (2, 4), ("s", "en", "pieces-1"): (2, 4)}
+    for batch in (1, 2, 1):
+        rollups.commit_batch(rollups.inserts(df, VERSIONS), small, batch)
+        assert totals(spark, small) == want
+    for _ in range(2):
+        rollups.commit_batch(rollups.inserts(df, VERSIONS), small, 3)
+    rollups.compact(spark, small, smaller)
+    for batch in (1, 3, 2):
+        rollups.commit_batch(rollups.inserts(df, VERSIONS), smaller, batch)
+    assert totals(spark, smaller) == {k: (3, 6) for k in want}
+    assert sorted(r[0] for r in rollups.compacted_batches(spark, smaller).collect()) == [1, 2, 3]
+
+
 def test_empty_batch(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     rollups.commit_batch(rollups.inserts(spark.createDataFrame([], SCHEMA), VERSIONS), ledger, 1)
