@@ -51,13 +51,18 @@ LIVE = """live AS (SELECT ts, event_type, CAST(value > 50 AS INTEGER) AS present
 def _live(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     e = inc.track_stream(spark, sf, schema, pattern="events.parquet")
-    return e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 50).alias("present"))
+    return _frames(e)
+
+
+def _frames(events):
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("value") > 50).alias("present"))
 
 
 def _windows(spark, sf, **options):
     out, state = scratch_dir(spark, "out"), scratch_dir(spark, "state")
-    inc.run_to_end(inc.live_presence(_live(spark, sf), ["event_type"], **options), out, state)
-    df = spark.read.parquet(out)
+    stored = _frames(fx.table(spark, sf, "events"))
+    inc.run_presence_to_end(_live(spark, sf), stored, ["event_type"], out, state, **options)
+    df = inc.read_presence(spark, out)
     return rounded(df.withColumn("window_start", F.unix_timestamp("window_start")).withColumn(
         "window_end", F.unix_timestamp("window_end")))
 

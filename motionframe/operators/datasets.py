@@ -150,9 +150,9 @@ def encode_labels(df: DataFrame, label_map: DataFrame, col: str = "class") -> Da
 
 
 def encode_sorted(df: DataFrame, col: str = "class") -> DataFrame:
-    """Adds `label`, the position of the class in sorted order."""
-    classes = ordered_prefix(df.select(col).distinct(), [col])
-    return df.join(classes.withColumnRenamed("before", "label"), col).withColumn("label", F.col("label").cast("int"))
+    """Adds `label`, the position of the class in sorted order; rows without a class stay, with a NULL label."""
+    classes = ordered_prefix(df.select(col).where(F.col(col).isNotNull()).distinct(), [col])
+    return df.join(classes.withColumnRenamed("before", "label"), col, "left").withColumn("label", F.col("label").cast("int"))
 
 
 def label_distribution(df: DataFrame, col: str = "class", by: Sequence[str] = ()) -> DataFrame:
@@ -244,8 +244,8 @@ def split_three_way(df: DataFrame, seed: int, *, cls: str = "class", key: str =
 
 def disjoint_slices(units: DataFrame, order: str, size: int, n_slices: int) -> DataFrame:
     """First n_slices * size units, cut into non-overlapping slices; fails if there are too few."""
-    first = units.orderBy(order).limit(size * n_slices)
-    found = first.count()
+    found = units.count()
     if found < size * n_slices:
         raise ValueError(f"{found} units are too few for {n_slices} slices of {size}")
-    return ordered_prefix(first, [order]).withColumn("slice", F.floor(F.col("before") / size)).drop("before")
+    first = ordered_prefix(units, [order]).where(F.col("before") < size * n_slices)
+    return first.withColumn("slice", F.floor(F.col("before") / size)).drop("before")

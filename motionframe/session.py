@@ -67,9 +67,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df):
-    """Write a result that several later steps read, and go on from the files."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result that several later steps read, as columns that they read by need, and go on from the files."""
+    path = scratch_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 _shipped: set[str] = set()

@@ -141,6 +141,64 @@ def causal_features(tracks: DataFrame, timeout_ms: int | None = None) -> DataFra
                                     "ProcessingTimeTimeout" if timeout_ms else "NoTimeout"))
 
 
+HELD_STATE = CAUSAL_STATE + ", held_row array<bigint>, held_frame array<bigint>, held_ts array<bigint>, held_x array<double>, held_y array<double>"
+
+
+def causal_features_in_order(tracks: DataFrame, *, ts: str = "ts", wait: str = "1 minute", idle_ms: int | None = None) -> DataFrame:
+    """As `causal_features`, with frames held until none before them can come.
+
+    `ts` is a frame's time. Frames wait in the entity's state until the watermark, `wait`
+    behind the latest time seen, has reached them, and are then given out in frame order:
+    frames that come up to `wait` late, in whatever batch, change nothing. Spark drops
+    frames behind the watermark and counts them in its progress. The state holds the
+    frames of the last `wait` besides the running sums. With `idle_ms`, an entity without
+    frames for that long in event time is forgotten. Times rise with frames; a frame that
+    does not come after those given out is dropped and counted in `n_late`.
+    """
+    types = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
+    out = (f"entity_id {types['entity_id']}, row {types['row']}, frame long, dx double, dy double, "
+           "running_std double, n_late long")
+    names = ["entity_id", "row", "frame", "dx", "dy", "running_std", "n_late"]
+    held_columns = ["row", "frame", "ms", "x", "y"]
+
+    def step(key, chunks, state):
+        import pandas as pd
+
+        known, held = {}, pd.DataFrame(columns=held_columns)
+        if state.exists:
+            *running, rows, frames, times, xs, ys = state.get
+            known = {row: rest for row, *rest in zip(*running)}
+            held = pd.DataFrame(dict(zip(held_columns, (rows, frames, times, xs, ys))))
+        expired = state.hasTimedOut
+        if not expired:
+            held = pd.concat([held, *(c[held_columns] for c in chunks)], ignore_index=True) if len(held) else pd.concat(
+                [c[held_columns] for c in chunks], ignore_index=True)
+        now = state.getCurrentWatermarkMs()
+        due = held["ms"].astype("int64") <= now
+        ready, held = held[due], held[~due]
+        parts = []
+        for row, pdf in ready.groupby("row", sort=True):
+            pdf = pdf.astype({"x": float, "y": float}).groupby("frame", sort=True)[["x", "y"]].max().reset_index()
+            known[int(row)], part = _causal_channel(pdf, known.get(int(row)))
+            parts.append(part.assign(entity_id=key[0], row=row))
+        if expired and not len(ready) and not len(held):
+            state.remove()
+            return
+        blank = lambda v: None if v != v else float(v)
+        running = tuple(list(c) for c in zip(*[(row, *rest) for row, rest in known.items()])) if known else ([],) * 8
+        state.update((*running, *([int(v) for v in held[c]] for c in held_columns[:3]), *([blank(v) for v in held[c].astype(float)] for c in ("x", "y"))))
+        if len(held):
+            state.setTimeoutTimestamp(max(int(held["ms"].min()), now + 1))
+        elif idle_ms:
+            state.setTimeoutTimestamp(now + idle_ms)
+        if parts:
+            yield pd.concat(parts)[names]
+
+    rows = tracks.where(F.col(ts).isNotNull()).withWatermark(ts, wait).select(
+        "entity_id", "row", "frame", "x", "y", ts, F.unix_millis(ts).alias("ms"))
+    return rows.groupBy("entity_id").applyInPandasWithState(step, out, HELD_STATE, "append", "EventTimeTimeout")
+
+
 def _causal_channel(pdf, state):
     """New state and output rows of one channel from its rows of a batch, in frame order."""
     import numpy as np
@@ -183,7 +241,7 @@ def _causal_channel(pdf, state):
 
 def live_presence(frames: DataFrame, keys: Sequence[str], *, ts: str = "ts", present: str = "present",
                   window: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
-    """Presence rate per key and event-time window; frames later than `late` are dropped."""
+    """Presence rate per key and event-time window; frames of windows that end `late` before the latest frame are dropped."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (frames.withWatermark(ts, late).groupBy(w.alias("w"), *keys)
             .agg(F.count("*").alias("n_frames"), F.avg(F.col(present).cast("double")).alias("rate"))
@@ -191,16 +249,37 @@ def live_presence(frames: DataFrame, keys: Sequence[str], *, ts: str = "ts", pre
                     *keys, "n_frames", "rate"))
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process everything that has arrived into parquet, then stop."""
-    (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Process everything that has arrived into parquet, then stop; the query that ended."""
+    query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """As `run_available`, with the windows that are still open: the whole result, written anew by each batch."""
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def run_presence_to_end(frames: DataFrame, stored: DataFrame, keys: Sequence[str], out: str, checkpoint: str, *,
+                        ts: str = "ts", window: str = "1 hour", slide: str | None = None, **options) -> StreamingQuery:
+    """`live_presence` of all frames that have arrived, with the windows that are still open.
 
-    (stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
-     .trigger(availableNow=True).start().awaitTermination())
+    Windows close behind the watermark: they are appended once to `closed`, their state
+    goes, and frames that come for them later are dropped. Windows that are open in the
+    end have had no frame dropped, so they are computed from `stored`, the same frames as
+    a batch, of which only those since the watermark's window are read; they replace the
+    `open` ones of the run before. A run that finds nothing new changes nothing.
+    `read_presence` gives both.
+    """
+    options = dict(options, ts=ts, window=window, slide=slide)
+    query = run_available(live_presence(frames, keys, **options), f"{out}/closed", checkpoint)
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in (p.get("eventTime") or {})]
+    if not marks:
+        return query
+    mark = F.lit(marks[-1]).cast("timestamp")
+    since = F.expr(f"timestamp '{marks[-1]}' - interval {window}")
+    open_ = live_presence(stored.where(F.col(ts) >= since), keys, **options).where(F.col("window_end") > mark)
+    open_.write.mode("overwrite").parquet(f"{out}/open")
+    return query
+
+
+def read_presence(spark: SparkSession, out: str) -> DataFrame:
+    """All windows that `run_presence_to_end` has written, closed and open."""
+    return spark.read.parquet(f"{out}/closed").unionByName(spark.read.parquet(f"{out}/open"))

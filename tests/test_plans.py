@@ -180,6 +180,63 @@ def test_probe_equals_a_plain_solver(spark):
     right = (z[~train] @ w + b).argmax(1) == cls[~train]
     assert abs(summary.first().probe_acc - right.mean()) < 1e-9
     assert {r.label: r.recall for r in per_class.collect()} == {c: right[cls[~train] == c].mean() for c in range(k)}
+    got = summary.first()
+    p = np.exp(z[train] @ w + b)
+    p /= p.sum(1, keepdims=True)
+    loss = -np.log(p[np.arange(train.sum()), cls[train]]).mean() + 0.5 * (w ** 2).sum() / train.sum()
+    assert abs(got.loss - loss) < 1e-6 and got.gradient_norm <= 1e-7 and got.n_channels == 2
+    assert abs(got.majority - np.bincount(cls[~train]).max() / (~train).sum()) < 1e-12
+
+
+def test_probes_fitted_together_equal_those_fitted_alone(spark):
+    from motionframe.operators import learning as ln
+
+    rng = np.random.default_rng(4)
+    cls = rng.integers(0, 4, 300) * 10 - 10
+    x = rng.normal(size=(300, 12)) + cls[:, None] * rng.normal(size=12) / 20
+    x[:, 5] = 3.0  # constant
+    rows = [(i, int(c), [None if i == 7 and j == 2 else float(t) for j, t in enumerate(v)], "x") for i, (c, v) in enumerate(zip(cls, x))]
+    rows += [(900, None, [0.0] * 12, "x"), (901, 20, None, "x")]
+    df = spark.createDataFrame(rows, "entity_id int, class int, features array<double>, label string").repartition(5)
+    subsets = {"few": [1], "some": [0, 2, 3], "all": range(6)}
+    board, per_class = ln.fit_probes(df, subsets, 2, tol=1e-6)
+    together = {r.subset: r for r in board.collect()}
+    for name, own in subsets.items():
+        alone, recalls = ln.probe_subset(df, own, 2, tol=1e-6)
+        a, b = alone.first(), together[name]
+        assert a.probe_acc == b.probe_acc and a.n_channels == b.n_channels == len(own) and abs(a.loss - b.loss) < 1e-9
+        assert sorted(map(tuple, recalls.collect())) == sorted(tuple(r)[1:] for r in per_class.collect() if r.subset == name)
+    assert together["all"].loss < together["some"].loss < np.log(4) and all(r.gradient_norm <= 1e-6 for r in together.values())
+    ranked = ln.probe_leaderboard(df, subsets, 2, spark.createDataFrame([("few", 1.0)], "subset string, s double")).collect()
+    assert [r.probe_macro for r in ranked] == sorted((r.probe_macro for r in ranked), reverse=True)
+    with pytest.raises(ValueError, match="no training rows"):
+        ln.fit_probes(df.limit(0), subsets, 2)
+    stopped = ln.probe_subset(df, range(6), 2, tol=1e-12, max_iter=3)[0].first()
+    assert stopped.n_iter == 3 and stopped.gradient_norm > 1e-12
+
+
+def test_labels_of_rows_without_a_class(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "class string")
+    assert sorted(map(str, (tuple(r) for r in ds.encode_sorted(df).collect()))) == sorted(
+        map(str, [("a", 0), ("b", 1), ("b", 1), (None, None)]))
+
+
+@pytest.mark.parametrize("prefix, per_bucket", [(1, 5), (1, 1), (2, 40), (3, 100_000)])
+def test_selection_refines_its_thresholds(spark, prefix, per_bucket):
+    """The same rows for any depth; only the last, small bucket of each group is ranked."""
+    from motionframe.plans import selection
+
+    df = spark.range(3_000).selectExpr("id AS key", "CASE WHEN id % 5 < 3 THEN 'big' WHEN id % 5 = 3 THEN 'mid' END AS class", "1 AS hb", "2 AS k")
+    quota = spark.createDataFrame([("big", 700), ("mid", 600), (None, 0)], "class string, take long")
+    got = selection.mark_first(df, ["class"], quota, 3, "key", prefix=prefix, rows_per_bucket=per_bucket)
+    order = {}
+    for r in df.withColumn("h", selection.hash_order(3, "key")).collect():
+        order.setdefault(r["class"], []).append((r.h, r.key))
+    want = {k for c, n in (("big", 700), ("mid", 600)) for _, k in sorted(order[c])[:n]}
+    assert got.columns == [*df.columns, "selected"] and got.count() == 3_000
+    assert {r.key for r in got.where("selected").collect()} == want
+    whole = selection.sample_n(df, 1_234, 9, "key")
+    assert {r.key for r in whole.collect()} == {r.key for r in selection.sample_n(df.repartition(7), 1_234, 9, "key").collect()}
 
 
 def test_selection_with_null_groups_and_empty_quota(spark):

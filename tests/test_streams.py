@@ -130,3 +130,80 @@ def test_awkward_rows(spark, tmp_path):
     inc.incremental_descriptors(inc.track_stream(spark, src, TRACK), out, state).awaitTermination()
     got = {r.entity_id: r for r in spark.read.parquet(f"{out}/descriptors").collect()}
     assert set(got) == {None, 3, 4} and got[3].x_mean is None and got[3].detection_rate == 0 and got[4].x_mean == 2 and got[4].y_std is None
+
+
+FRAMES = "entity_id long, row int, frame int, ts timestamp, x double, y double"
+
+
+def _timed(order, rows=(0, 3)):
+    """Frames one second apart, in some order of arrival."""
+    start = pd.Timestamp("2024-01-01")
+    return [(1, r, f, (start + pd.Timedelta(seconds=f)).to_pydatetime(), float(f * f % 11) if f % 4 else None, float(f + r)) for f in order for r in rows]
+
+
+def test_frames_within_the_wait_come_out_in_order(spark, tmp_path):
+    """Shuffled over batches within the watermark: the same rows as in order, all but the last wait."""
+    rng = np.random.default_rng(5)
+    order = sorted(range(120), key=lambda f: f + rng.uniform(0, 9))
+    given = {}
+    for name, frames in (("shuffled", order), ("sorted", range(120))):
+        src, out, state = (str(tmp_path / f"{name}-{n}") for n in ("src", "out", "state"))
+        for at in range(0, 120, 20):
+            spark.createDataFrame(_timed(list(frames)[at:at + 20]), FRAMES).coalesce(1).write.mode("append").parquet(src)
+            inc.run_available(inc.causal_features_in_order(inc.track_stream(spark, src, FRAMES), wait="10 seconds"), out, state)
+        given[name] = sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in spark.read.parquet(out).collect())
+    assert given["shuffled"] == given["sorted"]
+    rows = spark.read.parquet(out).where("row = 3").orderBy("frame").collect()
+    assert [r.frame for r in rows] == list(range(110)) and all(r.n_late == 0 for r in rows)
+    assert rows[7].dy == 1.0 and rows[0].dx == 0.0 and rows[4].dx is None
+
+
+def test_idle_entities_are_forgotten_and_late_frames_dropped(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    other = lambda f: [(2, *r[1:]) for r in _timed([f], rows=(0,))]
+    for rows in (_timed([0, 1, 2], rows=(0,)), other(30), other(31), _timed([3], rows=(0,)) + other(100), other(101), _timed([200], rows=(0,)), other(300)):
+        spark.createDataFrame(rows, FRAMES).coalesce(1).write.mode("append").parquet(src)
+        query = inc.run_available(inc.causal_features_in_order(inc.track_stream(spark, src, FRAMES), wait="5 seconds", idle_ms=20_000), out, state)
+    got = sorted((r.frame, r.dx) for r in spark.read.parquet(out).where("entity_id = 1").collect())
+    assert [f for f, _ in got] == [0, 1, 2, 200]  # frame 3 came behind the watermark
+    assert got[-1][1] == 0.0                      # known no longer: starts anew
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+EVENTS = "ts timestamp, who string, present boolean"
+
+
+def _events(hours):
+    start = pd.Timestamp("2024-01-01")
+    return [((start + pd.Timedelta(hours=h)).to_pydatetime(), "a" if i % 2 else "b", i % 3 == 0) for i, h in enumerate(hours)]
+
+
+@pytest.mark.parametrize("slide", [None, "30 minutes"])
+def test_windows_close_and_late_frames_are_dropped(spark, tmp_path, slide):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    arrived, totals = [], []
+    for n, hours in enumerate(([0.1, 0.2, 0.6, 1.2], [5.1, 5.4, 4.2], [0.3, 9.9, 9.1], [30.5, 30.1, 9.2], [60.0, 2.0], [])):
+        if hours:
+            spark.createDataFrame(_events(hours), EVENTS).coalesce(1).write.mode("append").parquet(src)
+        stored = spark.read.schema(EVENTS).parquet(src)
+        query = inc.run_presence_to_end(inc.track_stream(spark, src, EVENTS), stored, ["who"], out, state, ts="ts", window="1 hour", slide=slide,
+                                        late="2 hours")
+        # late: the window has closed behind the latest frame of the batches before
+        seen = max((h for h, _ in arrived), default=-10)
+        arrived += [(h, r) for h, r in zip(hours, _events(hours)) if not _late(h, seen, slide)]
+        if query.lastProgress:
+            totals.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        got = sorted((r.window_start, r.who, r.n_frames, r.rate) for r in inc.read_presence(spark, out).collect())
+        rows = spark.createDataFrame([r for _, r in arrived], EVENTS)
+        want = sorted((r.window_start, r.who, r.n_frames, r.rate) for r in inc.live_presence(rows, ["who"], ts="ts", window="1 hour", slide=slide).collect())
+        assert got == want, n
+    assert max(totals) <= 8
+
+
+def _late(h, seen, slide):
+    """Whether all windows that hold hour h have ended two hours before the latest frame (whole windows: tests avoid mixed ones)."""
+    first_end = np.floor(h) + 1 if slide is None else np.floor(h * 2) / 2 + 0.5
+    ends = [first_end] if slide is None else [first_end, first_end + 0.5]
+    flags = {e <= seen - 2 for e in ends}
+    assert len(flags) == 1
+    return flags.pop()
