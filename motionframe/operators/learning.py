@@ -202,10 +202,10 @@ def fit_probes(features: DataFrame, subsets: Mapping[str, Sequence[int]], n_desc
         "features", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("raw")).where("label is not null and raw is not null")
     data = materialize(stratified_split(data, frac, seed, cls="label", key="entity_id"))
     train = data.where("split = 'train'")
-    stats = train.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("raw")).alias("s")).first().s
-    n_train = stats["count"] if stats else 0
+    n_train = train.count()
     if not n_train:
         raise ValueError("no training rows")
+    stats = train.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("raw")).alias("s")).first().s
     mean = stats["mean"].toArray()
     var = stats["variance"].toArray() * (n_train - 1) / n_train
     scale = np.where(var <= (np.abs(mean) * 1e-12) ** 2, 1.0, np.sqrt(var))

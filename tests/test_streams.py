@@ -191,7 +191,7 @@ def test_windows_close_and_late_frames_are_dropped(spark, tmp_path, slide):
         # late: the window has closed behind the latest frame of the batches before
         seen = max((h for h, _ in arrived), default=-10)
         arrived += [(h, r) for h, r in zip(hours, _events(hours)) if not _late(h, seen, slide)]
-        if query.lastProgress:
+        if query.lastProgress and query.lastProgress["stateOperators"]:
             totals.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
         got = sorted((r.window_start, r.who, r.n_frames, r.rate) for r in inc.read_presence(spark, out).collect())
         rows = spark.createDataFrame([r for _, r in arrived], EVENTS)
