@@ -14,6 +14,8 @@ from motionframe.session import scratch_dir, ship_package
 LEAST = 30              # occurrences of a phrase
 LONGEST = 4             # words of a phrase, and of an edge of the graph
 TOP = 2_000             # phrases reported per dataset
+PART_BYTES = 6 << 20    # of notes per part
+PARTS_PER_TASK = 8      # whose paths a task adds up before they are moved
 SCALE = 2_000_000       # of the score
 SHARES = 64             # of a dataset's phrases that are ranked apart first
 COVERED = 80            # percent of a phrase's occurrences that a longer one takes to stand for it
@@ -191,7 +193,7 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
     ship_package(spark)
     rows = runs.select(F.col(key).alias("k"), F.col(dataset).cast("string").alias("dataset"),
                        F.coalesce(F.col(notes), F.lit("")).alias("notes"))
-    sizes = sizes_of(rows, "notes", LONGEST)
+    sizes = sizes_of(rows, "notes", LONGEST, part_bytes=PART_BYTES)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("k", "notes"), F.lit(sizes.parts)).cast("int")).drop("k")
 
     widths = range(1, LONGEST + 1)
@@ -213,7 +215,7 @@ def mine_phrases(runs: DataFrame, *, key: str = "run_id", notes: str = "notes",
 
     path = scratch_dir(spark, "phrase-paths")
     count_and_tell(rows, grams, graph, _PATHS, sizes, ceiling=least).write.parquet(path)
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(path).coalesce(-(-sizes.parts // PARTS_PER_TASK))
     ends = table.where("not path and words is not null")
     words = F.split("words", " ")
     edges = table.where("path").select("dataset", "n", words.alias("w"), F.explode(
