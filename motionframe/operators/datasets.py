@@ -134,6 +134,22 @@ def padded_batches(lengths: DataFrame, order: str, batch: int, length: str = "n_
                        F.max(length).over(w).alias("padded_to"))
 
 
+def padded_values(sequences: DataFrame, order: str, batch: int, dim: int) -> DataFrame:
+    """Sequences (order, n_frames, seq) with the values of their place in a padded batch.
+
+    Batches, slots and `padded_to` are those of `padded_batches`; `values` is the flat
+    array of padded_to * dim numbers, the sequence's own first and zeros behind. NULL
+    values are zero, a NULL sequence is all zeros. A row is one slot of one batch, so no
+    task holds more than it, however large the batch.
+    """
+    places = padded_batches(sequences.select(order, "n_frames"), order, batch)
+    rows = places.join(sequences.select(order, "seq"), order)
+    own = F.transform(F.coalesce("seq", F.array().cast("array<double>")), lambda v: null_to_zero(v.cast("double")))
+    width = (F.col("padded_to") * dim).cast("int")
+    filled = F.concat(own, F.array_repeat(F.lit(0.0), F.greatest(width - F.size(own), F.lit(0))))
+    return rows.select("batch_id", "slot", order, "n_frames", "padded_to", F.slice(filled, F.lit(1), width).alias("values"))
+
+
 def chunk_ids(df: DataFrame, order: str, size: int) -> DataFrame:
     """Deterministic chunks of `size` consecutive rows by the order key."""
     rows = ordered_prefix(df, [order])

@@ -183,7 +183,7 @@ def fit_probes(features: DataFrame, subsets: Mapping[str, Sequence[int]], n_desc
     number of training rows; intercepts are free.
 
     Returns per subset (subset, n_channels, probe_acc, probe_macro, n_val, majority,
-    n_iter, loss, gradient_norm), and (subset, label, recall, n_val) per class of the
+    n_classes, n_iter, loss, gradient_norm), and (subset, label, recall, n_val) per class of the
     validation rows. `majority` is the share of their commonest class; `gradient_norm`
     the largest component of the gradient over all training rows at the weights found,
     `tol` at most unless `max_iter` steps were made. A class without training rows has
@@ -245,14 +245,15 @@ def fit_probes(features: DataFrame, subsets: Mapping[str, Sequence[int]], n_desc
     per_class = materialize(val.select("subset", F.col("label").cast(features.schema["class"].dataType).alias("label"),
                                        (F.col("right") / F.col("n")).alias("recall"), F.col("n").alias("n_val")))
     fit = spark.createDataFrame(
-        [(name, len(subsets[name]), m.n_iter, float(m.value), float(np.abs(m.gradient).max(initial=0.0))) for name, m in fits.items()],
-        "subset string, n_channels int, n_iter int, loss double, gradient_norm double")
+        [(name, len(subsets[name]), n_classes, m.n_iter, float(m.value), float(np.abs(m.gradient).max(initial=0.0)))
+         for name, m in fits.items()],
+        "subset string, n_channels int, n_classes int, n_iter int, loss double, gradient_norm double")
     board = per_class.groupBy("subset").agg(
         (F.sum(F.col("recall") * F.col("n_val")) / F.sum("n_val")).alias("probe_acc"), F.avg("recall").alias("probe_macro"),
         F.sum("n_val").alias("n_val"), (F.max("n_val") / F.sum("n_val")).alias("majority"))
     board = fit.join(board, "subset", "left").select(
-        "subset", "n_channels", "probe_acc", "probe_macro", F.coalesce("n_val", F.lit(0)).alias("n_val"), "majority", "n_iter", "loss",
-        "gradient_norm")
+        "subset", "n_channels", "probe_acc", "probe_macro", F.coalesce("n_val", F.lit(0)).alias("n_val"), "majority", "n_classes",
+        "n_iter", "loss", "gradient_norm")
     return board, per_class
 
 

@@ -5,11 +5,12 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from motionframe import schemas
 from motionframe.functions.columns import missing_to_null, null_to_zero
-from motionframe.operators import operations as op, quality as ql, registry as rg
+from motionframe.operators import datasets as ds, operations as op, quality as ql, registry as rg
 from motionframe.operators.datasets import subset_sizes
 from motionframe.sources import runs as rs, sinks, tracks as tr
 from motionframe.streaming import incremental as inc
@@ -167,3 +168,33 @@ def test_track_files_with_odd_names(spark, tmp_path):
     assert rows.count() == 2
     left = tr.unmatched_files(spark, f"{root}/*.parquet", cat).collect()
     assert [os.path.basename(r.file_path) for r in left] == ["c.parquet"]
+
+
+def test_slices_of_a_frame_store(spark, tmp_path):
+    """Offsets across blocks, empty choices, entities that are not there; only the blocks of a slice are read."""
+    from motionframe.sources import frame_store as fs
+
+    rows = [(e, f, [float(e), float(f)]) for e, n in ((3, 7), (1, 1), (9, 12), (5, 3)) for f in range(n)] + [(5, 1, [5.0, 1.5])]
+    frames = spark.createDataFrame(rows, "entity_id int, frame int, features array<double>").repartition(4)
+    path = str(tmp_path / "store")
+    fs.write_frame_store(frames, path, frames_per_block=5)
+    index = {r.entity_id: (r.start, r.end) for r in spark.read.parquet(f"{path}/index").collect()}
+    assert index == {1: (0, 1), 3: (1, 8), 5: (8, 12), 9: (12, 24)}
+    want = spark.createDataFrame([(9,), (5,), (5,), (77,)], "entity_id int")
+    got = sorted((r.entity_id, r.position, r.features) for r in fs.read_slices(spark, path, want).collect())
+    assert [(e, p) for e, p, _ in got] == [(5, i) for i in range(4)] + [(9, i) for i in range(12)]
+    assert [v[1] for e, _, v in got if e == 9] == [float(i) for i in range(12)] and {v[1] for e, _, v in got if e == 5} == {0.0, 1.0, 1.5, 2.0}
+    assert fs.read_slices(spark, path, want.limit(0)).count() == 0
+    plan = fs.read_slices(spark, path, want.where("entity_id = 9"))._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    with pytest.raises(Exception, match="without an entity"):
+        fs.write_frame_store(spark.createDataFrame([(None, 1, [1.0])], frames.schema), str(tmp_path / "bad"))
+
+
+def test_padded_values_of_odd_sequences(spark):
+    seqs = spark.createDataFrame([(1, 2, [1.0, None, float("nan"), 4.0]), (2, 3, [1.0] * 6), (3, 0, None), (4, 1, [7.0, 8.0])],
+                                 "key int, n_frames long, seq array<double>")
+    got = {r.key: r for r in ds.padded_values(seqs, "key", 2, 2).collect()}
+    assert got[1]["values"] == [1.0, 0.0, 0.0, 4.0, 0.0, 0.0] and got[2].slot == 0 and got[2]["values"] == [1.0] * 6
+    assert got[3]["values"] == [0.0, 0.0] and got[4]["values"] == [7.0, 8.0] and got[4].padded_to == 1
+    assert ds.padded_values(seqs.limit(0), "key", 2, 2).count() == 0
