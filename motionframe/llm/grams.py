@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from motionframe.llm.words import hash_words
+
 PART_BYTES = 4 << 20            # notes of one part; the number of parts follows the input
 BYTES_PER_WORD = 6              # for sizing only
 ENTRIES_PER_BUCKET = 2_000_000  # n-grams that one task merges
@@ -61,6 +63,17 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[at], np.diff(np.append(at, len(by))), index
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """`hash_words`, about `size` bytes at a time: its tables are eight times as large as the text."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + size, "right")))
+        out[at:to] = hash_words(raw[low:int(ends[to - 1])], starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
 class Sizes:
     """Parts, buckets and hash widths for an input of so many bytes."""
 

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, pack, sizes_of, unpack
-from motionframe.llm.words import hash_words, mix64, split_words, text_bytes
+from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, pack, sizes_of, unpack, word_hashes
+from motionframe.llm.words import mix64, split_words, text_bytes
 from motionframe.session import scratch_dir, ship_package
 
 TUNING_SHARE = 1 / 32  # of the notes to learn from: held out of the counts while weights are learned
@@ -35,7 +35,7 @@ class Tokens:
         raw, bounds = text_bytes(notes)
         raw = _LOWER[raw]
         starts, ends, firsts = split_words(raw, bounds)
-        words = hash_words(raw, starts, ends)
+        words = word_hashes(raw, starts, ends)
         n_notes = len(bounds) - 1
         self.sizes = np.diff(firsts) + 1
         self.stops = np.cumsum(self.sizes)              # one behind the end token of each note

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, sizes_of
+from motionframe.llm.grams import Answers, Grams, count_and_tell, distinct, sizes_of, word_hashes
 from motionframe.llm.words import hash_words, mix64, split_words, text_bytes
 from motionframe.plans.ranking import group_ranks
 from motionframe.session import scratch_dir, ship_package
@@ -40,7 +40,7 @@ class Pieces:
         raw = _PLAIN[raw]
         self.raw = raw.tobytes()
         self.starts, self.ends, firsts = split_words(raw, bounds)
-        words = hash_words(raw, self.starts, self.ends)
+        words = word_hashes(raw, self.starts, self.ends)
         datasets = table["dataset"].combine_chunks().dictionary_encode()
         self.datasets = datasets.dictionary.to_pylist()
         self.dataset = np.repeat(datasets.indices.fill_null(-1).to_numpy(zero_copy_only=False), np.diff(firsts))

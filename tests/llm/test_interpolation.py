@@ -139,6 +139,15 @@ def test_empty_table_and_clashing_names(make):
     assert interpolation.note_scores(again).first().n_tokens == 4
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_words_hash_alike_in_any_slices(size):
+    from motionframe.llm.words import hash_words, split_words
+
+    raw = np.frombuffer(b" one two  one three\n" * 9 + b"two", np.uint8)
+    starts, ends, _ = split_words(raw, np.array([0, len(raw)]))
+    assert (grams.word_hashes(raw, starts, ends, size) == hash_words(raw, starts, ends)).all()
+
+
 def test_packing_round_trip():
     rng = np.random.RandomState(0)
     for values in ([], [0], [0, 0], [255, 256], rng.randint(0, 1 << 62, 1000), [2**64 - 1]):
