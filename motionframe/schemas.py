@@ -15,6 +15,7 @@ CATALOG = _struct(path=T.StringType(), participant_id=T.LongType(), sequence_id=
                   sign=T.StringType())
 ARCHIVE_FRAMES = "id string, label string, fps float, frame int, row smallint, x float, y float, z float"
 
+# The fields of run records and their parts.
 METRICS = _struct(train_val_acc=T.DoubleType(), eval_status=T.StringType(),
                   overall_accuracy=T.DoubleType(), macro_accuracy=T.DoubleType(),
                   median_class_accuracy=T.DoubleType(), n_classes_below_50pct=T.LongType())
