@@ -82,3 +82,72 @@ def test_longest_grams_are_kept(spark):
     rows = [("aa", " ".join(words[i::50])) for i in range(50)]
     kept, every = (language.language_counts(frame(spark, rows), **own).where("n = 5").count() for own in ({}, {"grams": 10**6}))
     assert kept == every > 12_000
+
+
+def test_whole_table_against_a_plain_version(spark):
+    """op5 over all documents of the smallest tables: counts, backoff and shares written out anew."""
+    import math
+    import unicodedata
+    import zlib
+    from collections import Counter, defaultdict
+
+    from motionframe.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def words(text):
+        out, run = Counter(), ""
+        for c in (text or "").lower() + " ":
+            if unicodedata.category(c).startswith("L"):
+                run += c
+            elif run:
+                out[run] += 1
+                run = ""
+        return out
+
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in docs}
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for d, text, lang in docs:
+        if lang is not None and text is not None and not held[d]:
+            for w, n in words(text).items():
+                counts[0][lang][w] += n
+                for size in range(1, 6):
+                    for i in range(len(w) + 2 - size + 1):
+                        counts[size][lang][f" {w} "[i:i + size]] += n
+    assert max(len(c) for table in counts for c in table.values()) <= 20_000  # below the documented bounds
+    langs = sorted(counts[0])
+    known = [set().union(*table.values()) for table in counts]
+
+    def log(size, lang, item):
+        total = sum(counts[size][lang].values()) + 0.5 * (len(known[size]) + 1)
+        return math.log((counts[size][lang][item] + 0.5) / total)
+
+    totals = {}
+
+    def note(text):
+        own = words(text)
+        if not own:
+            return "und", 0.0
+        score = dict.fromkeys(langs, 0.0)
+        for w, n in own.items():
+            if w not in totals:
+                parts = []
+                if w in known[0]:
+                    parts = [(0, w)]
+                else:
+                    rest = f" {w} "
+                    while rest:
+                        size = next((s for s in range(min(5, len(rest)), 0, -1) if rest[:s] in known[s]), 0)
+                        parts.append((size or 1, rest[:size or 1]))
+                        rest = rest[size or 1:]
+                totals[w] = {lang: sum(log(s, lang, p) for s, p in parts) for lang in langs}
+            for lang in langs:
+                score[lang] += n * totals[w][lang]
+        best = max(langs, key=lambda x: score[x])
+        return best, 1 / sum(math.exp(min(score[x] - score[best], 0)) for x in langs)
+
+    got = {r.doc_id: r for r in queries.QUERIES["op5_detect_language"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for d, text, _ in docs:
+        lang, share = note(text)
+        assert got[d].held_out == held[d] and got[d].lang_pred == lang and abs(got[d].score - share) < 1e-6, d
